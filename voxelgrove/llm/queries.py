@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .language_id import op5_language_id
+from .quality_fm import op2_quality_fm
 from .sharding import op10_sharding
 
 
 def queries() -> dict:
-    return {"op10_sharding": op10_sharding}
+    return {"op2_quality_fm": op2_quality_fm, "op5_language_id": op5_language_id, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
