@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from .decontaminate import op7_decontaminate
+from .jaccard_join import op4_jaccard_join
 from .language_id import op5_language_id
+from .packing import op9_packing
 from .quality_fm import op2_quality_fm
 from .sharding import op10_sharding
 
 
 def queries() -> dict:
-    return {"op2_quality_fm": op2_quality_fm, "op5_language_id": op5_language_id, "op10_sharding": op10_sharding}
+    return {"op2_quality_fm": op2_quality_fm, "op4_jaccard_join": op4_jaccard_join, "op5_language_id": op5_language_id, "op7_decontaminate": op7_decontaminate, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
