@@ -84,9 +84,17 @@ def by_slice(work: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordB
     return run
 
 
-def with_arrow(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """Only the columns that a Python stage reads, so that nothing else is sent to it."""
-    return df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])])
+def for_python(docs: DataFrame, cols: list[str], text: str, more: list[Column] | None = None) -> tuple[DataFrame, list[str]]:
+    """What a Python stage reads, the text last and sent once, as ``_text``; and the columns of ``cols`` that it hands back, of which the text too is last."""
+    others = [c for c in cols if c != text]
+    rows = docs.select(*[F.col(f"`{c}`") for c in others], *(more or []), F.col(f"`{text}`").alias("_text"))
+    return rows, [*others, *([text] if text in cols else [])]
+
+
+def handed_back(batch: pa.RecordBatch, back: list[str], text: str) -> list[pa.Array]:
+    """The columns named by ``for_python``, of a batch or a slice of it."""
+    n = len(back) - (text in back)
+    return [*batch.columns[:n], *([batch.column(batch.num_columns - 1)] if text in back else [])]
 
 
 def blob(values: np.ndarray) -> bytes:

@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index for each shard of the training texts.
 
-A shard is what one task gathers from its partition, up to ``SHARD_SYMBOLS``. Words become numbers of the benchmark's vocabulary; runs of such words that
+A shard is what one task gathers from its partition, up to ``SHARD_SYMBOLS``, ``SHARD_ROWS`` or ``SHARD_BYTES``. Words become numbers of the benchmark's vocabulary; runs of such words that
 are too short for any window are left out, as no window can lie in them. The windows of the benchmark's items are searched backwards all at once,
 their occurrences located by sampled suffix positions, and overlapping occurrences merged into removal spans.
 
@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import ALNUM, hashed_words, words
-from .common import slices, text_buffer
+from .common import for_python, handed_back, slices, text_buffer
 from .fm_index import FMIndex
 
 WINDOW = 10
 BLOCK_BYTES = 32 << 20
 SHARD_SYMBOLS = 1 << 17
 SHARD_ROWS = 1 << 16
+SHARD_BYTES = 48 << 20
 
 ADDED = ("n_words", "n_hit", "items", "spans")
 #: spans: first and last word of a stretch that is to go, and its bytes in the UTF-8 text (end exclusive).
@@ -131,19 +132,19 @@ class Shard:
 
 
 def _scan(docs: DataFrame, windows: Windows, text: str, cols: list[str], numbered: bool) -> DataFrame:
-    rows = docs.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text}`").alias("_text"))
+    rows, back = for_python(docs, cols, text)
     more = {"_row": F.lit(0).cast("long")} if numbered else {}
-    schema = rows.select(*cols, *[v.alias(k) for k, v in more.items()], F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast(f"array<{SPAN}>").alias("spans")).schema
+    schema = docs.select(*back, *[v.alias(k) for k, v in more.items()], F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast(f"array<{SPAN}>").alias("spans")).schema
     span_type = pa.list_(pa.struct([(n, pa.int64()) for n in ("first_word", "last_word", "start", "end")]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, base = Shard(windows), [], TaskContext.get().partitionId() << 33
+        shard, held, n_bytes, base = Shard(windows), [], 0, TaskContext.get().partitionId() << 33
 
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal base
             n_words, n_hit, items, spans = shard.search()
-            kept = pa.Table.from_batches(held).combine_chunks() if cols else None
-            columns = [c.chunk(0) if c.num_chunks == 1 else c.combine_chunks() for c in kept.columns] if cols else []
+            kept = [handed_back(b, back, text) for b in held]
+            columns = [pa.concat_arrays(x) for x in zip(*kept, strict=True)]
             n = len(n_words)
             if numbered:
                 columns.append(pa.array(np.arange(base, base + n)))
@@ -157,14 +158,15 @@ def _scan(docs: DataFrame, windows: Windows, text: str, cols: list[str], numbere
             raw, at = text_buffer(batch.column(batch.num_columns - 1))
             for a, b in slices(at):
                 shard.add(raw[at[a] : at[b]], at[a : b + 1] - at[a])
-                held.append(batch.slice(a, b - a).select(list(range(len(cols)))))
-                if shard.n_symbols > SHARD_SYMBOLS or shard.n_docs > SHARD_ROWS:
+                held.append(batch.slice(a, b - a))
+                n_bytes += at[b] - at[a]
+                if shard.n_symbols > SHARD_SYMBOLS or shard.n_docs > SHARD_ROWS or n_bytes > SHARD_BYTES:
                     yield from out()
-                    shard, held = Shard(windows), []
+                    shard, held, n_bytes = Shard(windows), [], 0
         if shard.n_docs:
             yield from out()
 
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(work, schema).select(*cols, *more, *ADDED)
 
 
 def merge_spans(spans: list[dict]) -> list[dict]:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob, bounded_sample, held_out, written
+from .common import blob, bounded_sample, for_python, handed_back, held_out, written
 
 SAMPLE = 3000
 LANDMARKS = 96
@@ -165,17 +165,17 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", keep: list
     names = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
     if model is None:
         return docs.select(*names, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    rows = docs.select(*names, F.col(text).alias("_text"))
-    schema = rows.drop("_text").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    rows, back = for_python(docs, names, text)
+    schema = docs.select(*back, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, BATCH):
                 s = b.slice(i, BATCH)
                 lang, p = model.predict(s.column(s.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*s.columns[:-1], pa.array(lang, pa.string()), pa.array(p, pa.float64())], [*s.schema.names[:-1], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*handed_back(s, back, text), pa.array(lang, pa.string()), pa.array(p, pa.float64())], [*back, "lang_pred", "score"])
 
-    return rows.mapInArrow(score, schema)
+    return rows.mapInArrow(score, schema).select(*names, "lang_pred", "score")
 
 
 def identify_languages(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob, bounded_sample, by_slice, held_out
+from .common import blob, bounded_sample, by_slice, for_python, handed_back, held_out
 from .features import BINS, STATISTICS, number_bins, text_features
 
 SAMPLE = 10_000
@@ -131,14 +131,14 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", numbers: tup
     if model is None:
         return docs.select(*cols, F.lit(0.5).alias(name))
     names = [f"_n{k}" for k in range(len(numbers))]
-    rows = docs.select(*cols, *[F.col(c).cast("double").alias(n) for c, n in zip(numbers, names, strict=True)], F.col(text).alias("_text"))
-    schema = rows.select(*cols, F.lit(0.0).alias(name)).schema
+    rows, back = for_python(docs, cols, text, [F.col(c).cast("double").alias(n) for c, n in zip(numbers, names, strict=True)])
+    schema = docs.select(*back, F.lit(0.0).alias(name)).schema
 
     def work(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
         p = model.scores(*_sparse(data, at, _numbers(batch, names)))
-        return pa.RecordBatch.from_arrays([*batch.columns[: len(cols)], pa.array(p, pa.float64())], [*cols, name])
+        return pa.RecordBatch.from_arrays([*handed_back(batch, back, text), pa.array(p, pa.float64())], [*back, name])
 
-    return rows.mapInArrow(by_slice(work, "_text"), schema)
+    return rows.mapInArrow(by_slice(work, "_text"), schema).select(*cols, name)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", numbers: tuple[str, ...] = ("n_chars",), keep: list[str] | None = None) -> DataFrame:

@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
+from .audio_fingerprint import op1_audio_fingerprint
 from .decontaminate import op7_decontaminate
 from .jaccard_join import op4_jaccard_join
 from .language_id import op5_language_id
+from .license_scan import op3_license_scan
 from .packing import op9_packing
 from .quality_fm import op2_quality_fm
 from .sharding import op10_sharding
+from .toxicity_chain import op8_toxicity
+from .training_order import op6_training_order
+
+QUERIES = (
+    op1_audio_fingerprint,
+    op2_quality_fm,
+    op3_license_scan,
+    op4_jaccard_join,
+    op5_language_id,
+    op6_training_order,
+    op7_decontaminate,
+    op8_toxicity,
+    op9_packing,
+    op10_sharding,
+)
 
 
 def queries() -> dict:
-    return {"op2_quality_fm": op2_quality_fm, "op4_jaccard_join": op4_jaccard_join, "op5_language_id": op5_language_id, "op7_decontaminate": op7_decontaminate, "op9_packing": op9_packing, "op10_sharding": op10_sharding}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
