@@ -1 +1 @@
-
+"""Where volumes come from: tables, archives, TIFF stacks, text tables."""
