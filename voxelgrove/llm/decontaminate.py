@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import ALNUM, hashed_words, words
-from .common import for_python, handed_back, slices, text_buffer
+from .common import for_python, handed_back, slices, text_buffer, written
 from .fm_index import FMIndex
 
 WINDOW = 10
@@ -194,7 +194,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     scans = []
     for k in range(blocks):
         block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        scans.append(_scan(docs, Windows.of(sorted((r[0], r[1]) for r in block.collect()), window), text, cols, blocks > 1))
+        scan = _scan(docs, Windows.of(sorted((r[0], r[1]) for r in block.collect()), window), text, cols, blocks > 1)
+        # Written one by one: rows are numbered by the partition, which in a union would be another one.
+        scans.append(scan if blocks == 1 else written(scan, f"block_{k}"))
     if blocks == 1:
         return scans[0]
     whole = scans[0]

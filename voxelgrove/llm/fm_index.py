@@ -66,7 +66,7 @@ class FMIndex:
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Backward search of patterns (rows of equal length): those that occur, and their rows of the index from and to."""
-        known = np.flatnonzero((patterns < len(self.before) - 1).all(axis=1))
+        known = np.flatnonzero((patterns < 1 << self.levels).all(axis=1))
         low, high = np.zeros(len(known), np.int64), np.full(len(known), self.n, np.int64)
         for j in reversed(range(patterns.shape[1])):
             c = patterns[known, j].astype(np.int64)
