@@ -260,10 +260,10 @@ def tail_cut_u16(spark, sf):
 
 @query(
     f"WITH {V_SQL}, {hist_sql('e', 1024)}, k AS (SELECT *, (hi - lo) / 1024 AS bw, sum(density) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING) AS cum FROM h) "
-    "SELECT round(coalesce(max(CASE WHEN 0.013 / bw >= cum THEN bin END), 0) * any_value(bw) + any_value(lo), 6) AS lo, round(coalesce(min(CASE WHEN 0.987 / bw <= cum THEN bin END), 1024) * any_value(bw) + any_value(lo), 6) AS hi FROM k"
+    "SELECT round(coalesce(max(CASE WHEN 0.0137123 / bw >= cum THEN bin END), 0) * any_value(bw) + any_value(lo), 6) AS lo, round(coalesce(min(CASE WHEN 0.9862877 / bw <= cum THEN bin END), 1024) * any_value(bw) + any_value(lo), 6) AS hi FROM k"
 )
 def tail_cut_float(spark, sf):
-    return hist.tail_values(hist.histogram(event_volume(spark, sf), 1024), 0.013, 1024).select(r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"))
+    return hist.tail_values(hist.histogram(event_volume(spark, sf), 1024), 0.0137123, 1024).select(r6(F.col("lo")).alias("lo"), r6(F.col("hi")).alias("hi"))
 
 
 def quantile_sql(p: float, bins: int) -> str:
