@@ -7,8 +7,11 @@ and summed per pair. Only pairs that can reach the threshold are counted:
    (n - ceil(t n)) + l n-grams, so a class stays only if enough of that prefix is found in another class's prefix. Most texts end here.
 2. Of the remaining classes, n-grams are ordered by document frequency, rarest first; a class whose unshared n-grams alone exceed n - ceil(t n) goes.
 3. Candidates share an n-gram of the prefixes in that order. An n-gram's holders are not all paired with one another: each is paired with the smallest
-   holder of fitting size, and the links found join groups; then with the nearest in size of another group; and only holders that are still in
-   different groups after these ``STARS`` are all paired. Links inside a group need no count, since they can't change the groups.
+   holder of fitting size, and the links found join groups; then with the nearest in size of another group. Links inside a group need no count, since
+   they can't change the groups.
+4. What these ``STARS`` leave undecided, classes in different groups that share a prefix n-gram, is gathered into clusters by chains along the n-gram's holders.
+   A cluster is cut into blocks of at most about ``BLOCK`` classes; a task counts the overlaps between two blocks at once, stretch by stretch of the order, and
+   hands back the links that join groups: at most one fewer than there are groups.
 
 All tables are spread by fragment, class or pair; nothing about the documents comes to the driver but counts.
 """
@@ -39,6 +42,9 @@ CHUNK = 1 << 20
 #: Parts in which the overlap of a pair is counted.
 SEGMENTS = 4
 STARS = ("smallest", "nearest")
+BLOCK = 512
+#: N-grams whose holders are multiplied at once within a block.
+STRETCH = 1024
 
 _C = np.random.default_rng(20240313).integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 
@@ -220,8 +226,8 @@ def _shared_sets(docs: DataFrame, kept: DataFrame, text: str, doc_id: str, n: in
     return written(shared.groupBy("f").applyInArrow(prefixes, "key long, n long, shared binary, prefix binary"), "shared_sets")
 
 
-def _candidates(sets: DataFrame, labels: DataFrame | None, star: str | None, fragments: int) -> DataFrame:
-    """Distinct (a, b): classes in different groups that share an n-gram of their prefixes and whose sizes fit; with ``star``, each with one such only."""
+def _candidates(sets: DataFrame, labels: DataFrame | None, star: str, fragments: int) -> DataFrame:
+    """Distinct (a, b): classes that share an n-gram of their prefixes and whose sizes fit, of n-grams held in several groups; each holder with one other ("chain": the next smaller one) at most."""
     rows = sets.select("key", "n", "prefix", F.col("key").alias("group")) if labels is None else sets.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "n", "prefix", F.coalesce("root", "key").alias("group"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,26 +263,18 @@ def _candidates(sets: DataFrame, labels: DataFrame | None, star: str | None, fra
         place = (lists << 32) + n
         low = np.searchsorted(place, (lists << 32) + least_overlap(n))
         own = np.arange(len(k))
-        if star:
-            changed = np.ones(len(k), bool)
-            changed[1:] = (lists[1:] != lists[:-1]) | (g[1:] != g[:-1])
-            starts = np.flatnonzero(changed)
-            if star == "smallest":  # or, where that is of the same group, the first of another one
-                after = np.append(starts, len(k))[np.searchsorted(starts, low, side="right")]
-                to = np.where(g[low] != g, low, after)
-            else:  # the nearest of another group among those no larger
-                to = starts[np.searchsorted(starts, own, side="right") - 1] - 1
-            good = (to >= low) & (to < own)
-            return _pairs(k[to[good]], k[own[good]])
-        parts = []
-        for i in range(0, len(k), 4096):
-            j = own[i : i + 4096]
-            many = j - low[j]
-            a = np.repeat(low[j] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-            b = np.repeat(j, many)
-            good = g[a] != g[b]
-            parts.append(_pairs(k[a[good]], k[b[good]]))
-        return pa.concat_tables(parts) if parts else _pairs(k[:0], k[:0])
+        changed = np.ones(len(k), bool)
+        changed[1:] = (lists[1:] != lists[:-1]) | (g[1:] != g[:-1])
+        starts = np.flatnonzero(changed)
+        if star == "smallest":  # or, where that is of the same group, the first of another one
+            after = np.append(starts, len(k))[np.searchsorted(starts, low, side="right")]
+            to = np.where(g[low] != g, low, after)
+        elif star == "nearest":  # of another group among those no larger
+            to = starts[np.searchsorted(starts, own, side="right") - 1] - 1
+        else:
+            to = own - 1
+        good = (to >= low) & (to < own)
+        return _pairs(k[to[good]], k[own[good]])
 
     found = rows.mapInArrow(deal, "f int, h binary, k binary, n binary, g binary").groupBy("f").applyInArrow(pair, "a long, b long")
     return found.distinct()
@@ -324,6 +322,64 @@ def _segments(sets: DataFrame) -> DataFrame:
     return written(sets.select("key", "n", "shared").mapInArrow(cut, "key long, s int, n long, part binary"), "segments")
 
 
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many n-grams each set of ``a`` has in common with each of ``b``: the order is cut into stretches, and the stretches' counts are summed."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    x, y = np.concatenate(a), np.concatenate(b)
+    row_x, row_y = np.repeat(np.arange(len(a)), [len(s) for s in a]), np.repeat(np.arange(len(b)), [len(s) for s in b])
+    both = np.intersect1d(x, y)
+    for i in range(0, len(both), STRETCH):
+        part = both[i : i + STRETCH]
+        sides = []
+        for h, row, n in ((x, row_x, len(a)), (y, row_y, len(b))):
+            at = np.minimum(np.searchsorted(part, h), len(part) - 1)
+            hit = part[at] == h
+            m = np.zeros((n, len(part)), np.float32)
+            m[row[hit], at[hit]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
+    return out.astype(np.int64)
+
+
+def _undecided(sets: DataFrame, chains: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The links (a, b, overlap, n_a, n_b) that join groups within the clusters of ``chains``."""
+    clusters = contract(chains, "clusters").withColumnRenamed("node", "key").withColumnRenamed("root", "cluster")
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    rows = sets.select("key", "n", "shared").join(clusters, "key")
+    rows = rows.withColumn("g", F.col("key")) if labels is None else rows.join(labels.select(F.col("node").alias("key"), F.col("root").alias("_r")), "key", "left").withColumn("g", F.coalesce("_r", "key")).drop("_r")
+    rows = rows.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "key", "n", "g", "shared")
+
+    def solve(table: pa.Table) -> pa.Table:
+        block, key, n, g = (table.column(c).to_numpy() for c in ("block", "key", "n", "g"))
+        shared = [np.frombuffer(x, np.uint64) for x in table.column("shared").to_pylist()]
+        i, j = int(table.column("i")[0].as_py()), int(table.column("j")[0].as_py())
+        out: list[tuple] = []
+        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if len(a) and len(b) and len(np.unique(g)) > 1:
+            common = _overlaps([shared[k] for k in a], [shared[k] for k in b])
+            linked = (common * DEN >= NUM * (n[a][:, None] + n[b][None, :] - common)) & (g[a][:, None] != g[b][None, :])
+            x, y = np.nonzero(linked)
+            groups = np.stack([np.minimum(g[a[x]], g[b[y]]), np.maximum(g[a[x]], g[b[y]])], axis=1)
+            _, first = np.unique(groups, axis=0, return_index=True)
+            roots: dict[int, int] = {}
+
+            def root(v: int) -> int:
+                while roots.get(v, v) != v:
+                    v = roots[v]
+                return v
+
+            for k in first.tolist():
+                p, q = root(int(g[a[x[k]]])), root(int(g[b[y[k]]]))
+                if p != q:
+                    roots[max(p, q)] = min(p, q)
+                    out.append((int(key[a[x[k]]]), int(key[b[y[k]]]), int(common[x[k], y[k]]), int(n[a[x[k]]]), int(n[b[y[k]]])))
+        return pa.table([pa.array([r[c] for r in out], pa.int64()) for c in range(5)], names=["a", "b", "overlap", "n_a", "n_b"])
+
+    return rows.groupBy("cluster", "i", "j").applyInArrow(solve, "a long, b long, overlap long, n_a long, n_b long")
+
+
 def link_classes(docs: DataFrame, classes: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N) -> tuple[DataFrame, DataFrame]:
     """The links counted between classes (a, b, overlap, n_a, n_b), enough to connect each group, and the groups (node, root)."""
     spark = docs.sparkSession
@@ -332,20 +388,17 @@ def link_classes(docs: DataFrame, classes: DataFrame, text: str = "text", doc_id
     segments = _segments(sets)
     total = sets.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     fragments = _fragments(int(total), 28)
-    links = spark.createDataFrame([], "a long, b long, overlap long, n_a long, n_b long")
-    labels, tested, linked = None, None, False
-    for k, star in enumerate((*STARS, None)):
-        pairs = _candidates(sets, labels, star, fragments)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, f"pairs_{k}")
+    links, labels = None, None
+    for star in (*STARS, "chain"):
+        pairs = written(_candidates(sets, labels, star, fragments), f"pairs_{star}")
         if pairs.isEmpty():
             continue
-        found = written(_linked(pairs, segments), f"links_{k}")
-        tested = pairs if tested is None else tested.union(pairs)
+        found = written(_linked(pairs, segments) if star in STARS else _undecided(sets, pairs, labels), f"links_{star}")
         if not found.isEmpty():
-            links, linked = (links.union(found) if linked else found), True
-            labels = contract(links, f"groups_{k}")
+            links = found if links is None else links.union(found)
+            labels = contract(links, f"groups_{star}")
+    if links is None:
+        links = spark.createDataFrame([], "a long, b long, overlap long, n_a long, n_b long")
     return links, labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
