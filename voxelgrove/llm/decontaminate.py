@@ -217,3 +217,19 @@ def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = find_contamination(docs, benchmark, keep=["doc_id"])
     ids = F.concat_ws(",", F.array_sort("items"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids.cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_SQL_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({_SQL_WORDS}, []) AS ws FROM documents),
+it AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, ws, least({WINDOW}, len(ws)) AS n FROM (SELECT item_id, {_SQL_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+win AS (SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS g FROM (SELECT item, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM it)),
+sizes AS (SELECT DISTINCT n FROM win),
+places AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes)),
+occ AS (SELECT places.doc_id, places.i, places.n, item FROM places JOIN win ON places.n = win.n AND places.g = win.g),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM occ) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN found ON found.doc_id = d.doc_id
+"""

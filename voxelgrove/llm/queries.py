@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .audio_fingerprint import op1_audio_fingerprint
-from .decontaminate import op7_decontaminate
+from .decontaminate import OP7_SQL, op7_decontaminate
 from .jaccard_join import op4_jaccard_join
 from .language_id import op5_language_id
 from .license_scan import op3_license_scan
@@ -32,4 +32,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontaminate": OP7_SQL}
