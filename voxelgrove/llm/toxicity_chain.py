@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from .common import blob, bounded_sample, by_slice, for_python, handed_back
 from .features import text_features
 
-SAMPLE = 8000
+SAMPLE = 12_000
 WORD_BITS = 20
 WORDS = 192
 FOLDS = 5
 RIDGE = 1.0
-TOXIC_AT = 0.5
+TOXIC_AT = 0.25
 
 #: Fixed values. Words that make a toxic document one of a category; the last category is the label itself.
 INSULT = ("clown", "fool", "idiot", "imbecile", "loser", "moron", "scum")
