@@ -39,6 +39,8 @@ FRAGMENT_BYTES = 24 << 20
 FRAGMENTS = (64, 1 << 16)
 #: Postings that a task gathers before it deals them out to fragments.
 CHUNK = 1 << 20
+#: Of the bitmap that tells the classes with company: 32 MB.
+MOST_BITS = 1 << 28
 #: Parts in which the overlap of a pair is counted.
 SEGMENTS = 4
 STARS = ("smallest", "nearest")
@@ -137,8 +139,8 @@ def _in_chunks(batches: Iterator[pa.RecordBatch], n: int, cut, names: list[str])
 
 
 def _with_company(docs: DataFrame, classes: DataFrame, text: str, n: int) -> DataFrame:
-    """(key, n_shingles, doc_id) of the classes with enough of their prefix in others' prefixes; doc_id is the least of the class."""
-    sizes = classes.where("key is not null").groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"))
+    """(key, n_shingles) of the classes with enough of their prefix in others' prefixes."""
+    sizes = classes.where("key is not null").groupBy("key").agg(F.first("n_shingles").alias("n_shingles"))
     total = classes.agg(F.sum(F.col("n_shingles") / 3 + 1)).first()[0] or 0
     fragments = _fragments(int(total), 12)
 
@@ -176,15 +178,51 @@ def _with_company(docs: DataFrame, classes: DataFrame, text: str, n: int) -> Dat
     return written(sizes.join(enough, "key").where(F.col("found") >= 1 + F.floor(F.floor(F.col("n_shingles") * 3 / 4) / MORE)).drop("found"), "with_company")
 
 
-def _shared_sets(docs: DataFrame, kept: DataFrame, text: str, doc_id: str, n: int) -> DataFrame:
-    """(key, n, shared, prefix) of the classes that can still be linked: their n-grams held by several classes, and the rarest of these that any link must meet."""
+def _bitmap(keys: DataFrame, count: int) -> np.ndarray:
+    """A bit for each hash of a key, as bytes: at most ``MOST_BITS``, however many keys there are. Made on the executors in pieces."""
+    bits = min(MOST_BITS, 1 << max(18, (16 * count).bit_length()))
+    piece = 1 << 15
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(bits >> 3, np.uint8)
+        for b in batches:
+            at = _bit(b.column(0).to_numpy(), bits)
+            np.bitwise_or.at(flags, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        parts = flags.reshape(-1, piece)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[k].tobytes() for k in some], pa.binary())], ["p", "flags"])
+
+    def join(table: pa.Table) -> pa.Table:
+        flags = np.zeros(piece, np.uint8)
+        for x in table.column("flags").to_pylist():
+            flags |= np.frombuffer(x, np.uint8)
+        return pa.table({"p": table.column("p").slice(0, 1), "flags": pa.array([flags.tobytes()], pa.binary())})
+
+    out = np.zeros(bits >> 3, np.uint8)
+    for r in keys.select("key").mapInArrow(mark, "p int, flags binary").groupBy("p").applyInArrow(join, "p int, flags binary").collect():
+        out[r[0] * piece : (r[0] + 1) * piece] = np.frombuffer(bytes(r[1]), np.uint8)
+    return out
+
+
+def _bit(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(keys.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _shared_sets(docs: DataFrame, kept: DataFrame, text: str, n: int) -> DataFrame:
+    """(key, n, shared, prefix) of the classes that can still be linked: their n-grams held by several classes, and the rarest of these that any link must meet.
+
+    Texts are cut into n-grams again; a bitmap of the classes tells which to go on with. Where it takes in a few classes more, nothing changes in the result.
+    """
     size = kept.agg(F.sum("n_shingles"), F.count("*")).first()
     fragments, buckets = _fragments(size[0] or 0, 20), min(FRAGMENTS[1], max(FRAGMENTS[0], (size[1] or 0) // 2000))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    rows = rows.join(kept.select("key", F.col("doc_id").alias("_rep")), F.col("doc_id").eqNullSafe(F.col("_rep"))).select("key", "text")
-
-    def whole(batch: pa.RecordBatch, row: int, key: int, s: np.ndarray) -> tuple | None:
-        if batch.column(0)[row].as_py() != key:  # another text with the same id
+    rows = docs.select(F.col(f"`{text}`").alias("text"))
+    flags = _bitmap(kept, size[1])
+    shipped = docs.sparkSession.sparkContext.broadcast(flags)
+
+    def whole(_batch: pa.RecordBatch, _row: int, key: int, s: np.ndarray) -> tuple | None:
+        known = shipped.value
+        at = int(_bit(np.array([key]), len(known) * 8)[0])
+        if not known[at >> 3] >> (at & 7) & 1:
             return None
         return _fragment(s, fragments), s, np.full(len(s), key, np.int64), np.full(len(s), len(s), np.int32)
 
@@ -380,11 +418,11 @@ def _undecided(sets: DataFrame, chains: DataFrame, labels: DataFrame | None) ->
     return rows.groupBy("cluster", "i", "j").applyInArrow(solve, "a long, b long, overlap long, n_a long, n_b long")
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = N) -> tuple[DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, classes: DataFrame, text: str = "text", n: int = N) -> tuple[DataFrame, DataFrame]:
     """The links counted between classes (a, b, overlap, n_a, n_b), enough to connect each group, and the groups (node, root)."""
     spark = docs.sparkSession
     kept = _with_company(docs, classes, text, n)
-    sets = _shared_sets(docs, kept, text, doc_id, n)
+    sets = _shared_sets(docs, kept, text, n)
     segments = _segments(sets)
     total = sets.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     fragments = _fragments(int(total), 28)
@@ -409,7 +447,7 @@ def jaccard_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     copies of one another; a null id takes part, and is a component_id only where no other id is reached; other columns of ``docs`` are ignored.
     """
     classes = _classes(docs, text, doc_id, n)
-    _, labels = link_classes(docs, classes, text, doc_id, n)
+    _, labels = link_classes(docs, classes, text, n)
     per_class = classes.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     grouped = per_class.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     grouped = written(grouped, "grouped")
