@@ -23,6 +23,7 @@ from .common import by_slice, written
 ACCEPT = 0.6
 #: Lines between two that mention a licence, at most, within one header.
 GAP = 3
+SALTS = 32
 CUE = re.compile(rb"licen[cs]|copyright|spdx|redistribut|warrant")
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LICENSE_FILES = ("license", "licence", "copying", "unlicense", "notice")
@@ -162,16 +163,18 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", temp
 
     found = written(rows.mapInArrow(by_slice(match, "_text"), schema).withColumn("_dir", directory(F.col("_path"))), "own_licenses")
     name = F.lower(F.regexp_replace(F.regexp_extract(F.col("_path"), "([^/]*)$", 1), r"\..*$", ""))
-    licensed = found.where(name.isin(*LICENSE_FILES) & F.col("own_license").isNotNull()).groupBy("_dir").agg(F.max(F.struct("score", F.col("own_license"))).alias("best"))
-    # Among equal scores the least name: a second grouping of the few rows with the highest score.
-    licensed = found.join(licensed.select("_dir", F.col("best.score").alias("_top")), "_dir").where(name.isin(*LICENSE_FILES) & (F.col("score") == F.col("_top"))).groupBy("_dir").agg(F.min("own_license").alias("dir_license"))
+    notices = found.where(name.isin(*LICENSE_FILES) & F.col("own_license").isNotNull()).select("_dir", "own_license", "score")
+    top = notices.groupBy("_dir").agg(F.max("score").alias("score"))
+    licensed = notices.join(top, ["_dir", "score"]).groupBy("_dir").agg(F.min("own_license").alias("dir_license"))
     # Directories, not files, look up their ancestors: each directory once, however many files it has.
     dirs = found.where("_dir is not null").select("_dir").distinct()
     parts = F.split("_dir", "/")
     ancestors = dirs.select("_dir", F.explode(F.when(F.col("_dir") == "", F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.size(parts)))).alias("depth"))
     ancestors = ancestors.withColumn("above", F.array_join(F.slice(F.split("_dir", "/"), F.lit(1), F.col("depth")), "/"))
-    above = licensed.select(F.col("_dir").alias("above"), "dir_license")
-    nearest = ancestors.join(above, "above").groupBy("_dir").agg(F.max(F.struct("depth", "above", "dir_license")).alias("n")).select("_dir", F.col("n.dir_license").alias("dir_license"), F.col("n.above").alias("above"))
+    # The top of a tree is above every directory, so the lookups are spread over SALTS copies of the licensed directories.
+    ancestors = ancestors.withColumn("salt", F.pmod(F.xxhash64("_dir"), F.lit(SALTS)).cast("int"))
+    above = licensed.select(F.col("_dir").alias("above"), "dir_license", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    nearest = ancestors.join(above, ["above", "salt"]).groupBy("_dir").agg(F.max(F.struct("depth", "above", "dir_license")).alias("n")).select("_dir", F.col("n.dir_license").alias("dir_license"), F.col("n.above").alias("above"))
     out = found.join(nearest, "_dir", "left")
     own = F.col("own_license").isNotNull()
     return out.select(*cols, "own_license", "score", F.coalesce("own_license", "dir_license").alias("license"), F.when(~own, F.col("above")).alias("inherited_from"))
