@@ -1,3 +1,5 @@
+from math import log, sqrt
+
 from voxelgrove.llm.license_scan import scan_licenses
 
 
@@ -23,3 +25,20 @@ def test_inheritance(spark):
     assert (find("a/b/d/w.txt").license, find("a/b/d/w.txt").inherited_from) == ("GPL-3.0", "a/b/d")
     assert find("ab/v.txt").license is None and find("top.txt").license is None
     assert got[None, "Licensed"].license == "CC-BY-NC-4.0" and got[None, "no path"].license is None
+
+
+def test_a_name_beside_a_notice_does_not_hide_it_in_a_large_corpus(spark):
+    header = "Licensed under the Apache License, Version 2.0 by Example Corp"
+    words = "licensed under the apache license version 2 0".split()
+    for n in (200, 20_000):
+        others = spark.range(1, n).selectExpr("concat('d/', id) as path", "case when id % 10 = 0 then 'version 2 0 of apache is licensed, a license' else 'the work under way' end as text")
+        files = others.union(spark.createDataFrame([("a/x.py", f"code\n# {header}\nmore code")], "path string, text string"))
+        got = scan_licenses(files).where("path = 'a/x.py'").first()
+        assert got.own_license == "Apache-2.0" and abs(got.score - 1) < 1e-9
+    # A word inside the notice weighs by the files that hold it: 'project' is in all.
+    files = [(f"d/{k}", "project of the work" if k else "Licensed under the project Apache License, Version 2.0") for k in range(100)]
+    got = scan_licenses(spark.createDataFrame(files, "path string, text string")).where("path = 'd/0'").first()
+    df = dict.fromkeys(words, 1) | {"the": 100, "project": 100}
+    idf = {w: log(101 / (c + 1)) + 1 for w, c in df.items()}
+    want = sqrt(sum(idf[w] ** 2 for w in words) / sum(x * x for x in idf.values()))
+    assert got.own_license == "Apache-2.0" and abs(got.score - want) < 1e-9

@@ -1,19 +1,19 @@
 """License scans of a file tree: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor directory.
 
-A unit is a line that mentions a licence, a run of such lines, or the whole of a text that has any; its vector has term frequencies weighted by inverse document
-frequencies, which are counted over all files for the templates' words (a word of no template is as rare as can be). A file without a licence of its
-own takes that of the licence file in its directory or the nearest one above, found by joins on paths.
+A unit is a line that mentions a licence, a run of such lines, the whole of a text that has any, or any stretch of as many words as a template, so that a name or a year
+beside a notice does not count against it. Term frequencies are weighted by inverse document frequencies, counted over all files for every word of the units that could be
+accepted. A file without a licence of its own takes that of the licence file in its directory or the nearest one above, found by joins on paths.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from math import log, sqrt
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +24,9 @@ ACCEPT = 0.6
 #: Lines between two that mention a licence, at most, within one header.
 GAP = 3
 SALTS = 32
+#: Words whose counts a task holds before it hands them on.
+MOST_COUNTS = 1 << 20
 CUE = re.compile(rb"licen[cs]|copyright|spdx|redistribut|warrant")
-WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LICENSE_FILES = ("license", "licence", "copying", "unlicense", "notice")
 
 #: Fixed values. Notices that files carry, by the licence's identifier; several for one licence are parted by a bar.
@@ -44,45 +45,62 @@ TEMPLATES = {
 }
 
 
-def _words(raw: bytes) -> list[bytes]:
-    return WORD.findall(raw.lower())
+def _hashes(raw: bytes) -> np.ndarray:
+    return hashed_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM)[0]
 
 
 class Templates:
+    """Templates as unit vectors over the hashes of their words."""
+
     def __init__(self, texts: dict[str, str]):
-        self.names, self.terms = [], []
-        for name, variants in texts.items():
-            for v in variants.split("|"):
-                self.names.append(name)
-                self.terms.append(Counter(_words(v.encode())))
-        self.vocabulary = sorted({w for t in self.terms for w in t})
-
-    def weigh(self, df: dict[bytes, int], n: int) -> None:
+        pairs = [(name, _hashes(v.encode())) for name, variants in texts.items() for v in variants.split("|")]
+        self.names, terms = [p[0] for p in pairs], [p[1] for p in pairs]
+        self.lengths = [len(t) for t in terms]
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *terms]))
+        self.counts = np.array([np.bincount(np.searchsorted(self.vocabulary, t), minlength=len(self.vocabulary)) for t in terms], float).reshape(len(terms), len(self.vocabulary))
+
+    def weigh(self, df: dict[int, int], n: int) -> None:
         """Weights from document frequencies of the vocabulary over n files."""
-        self.rare = log((n + 1) / 1.0) + 1
-        self.idf = {w: log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in self.vocabulary}
-        self.vectors = []
-        for t in self.terms:
-            v = {w: c * self.idf[w] for w, c in t.items()}
-            norm = sqrt(sum(x * x for x in v.values()))
-            self.vectors.append({w: x / norm for w, x in v.items()})
-        self.by_word: dict[bytes, list[tuple[int, float]]] = {}
-        for k, v in enumerate(self.vectors):
-            for w, x in v.items():
-                self.by_word.setdefault(w, []).append((k, x))
-
-    def best(self, raw: bytes) -> tuple[float, str | None]:
-        """The highest cosine and its licence, the first in the list of equal ones."""
-        terms = Counter(_words(raw))
-        norm = sqrt(sum((c * self.idf.get(w, self.rare)) ** 2 for w, c in terms.items()))
-        dots: dict[int, float] = {}
-        for w, c in terms.items():
-            for k, x in self.by_word.get(w, ()):
-                dots[k] = dots.get(k, 0.0) + x * c * self.idf[w]
-        if not dots:
-            return 0.0, None
-        k = min(dots, key=lambda k: (-dots[k], k))
-        return dots[k] / norm, self.names[k]
+        self.rare = float(np.log(n + 1) + 1)
+        self.idf = np.array([np.log((n + 1) / (df.get(int(h), 0) + 1)) + 1 for h in self.vocabulary])
+        self.vectors = self.counts * self.idf
+        self.vectors /= np.maximum(np.sqrt((self.vectors**2).sum(axis=1, keepdims=True)), 1e-300)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Each word's place in the vocabulary; its length for other words."""
+        at = np.minimum(np.searchsorted(self.vocabulary, hashes), max(0, len(self.vocabulary) - 1))
+        return np.where(self.vocabulary[at] == hashes, at, len(self.vocabulary)) if len(self.vocabulary) else np.zeros(len(hashes), np.int64)
+
+    def stretches(self, hashes: np.ndarray, before: np.ndarray, accept: float) -> list[tuple[int, int, int, int]]:
+        """(row, template, first word, word after the last) of all stretches as long as a template that could reach ``accept``; no word weighs less than 1."""
+        place, row_of, found = self.places(hashes), np.repeat(np.arange(len(before) - 1), np.diff(before)), []
+        weight = np.append(self.idf**2, 1.0)[place]
+        norms = np.concatenate([[0], weight.cumsum()])
+        for k, n in enumerate(self.lengths):
+            dots = np.concatenate([[0], np.append(self.vectors[k] * self.idf, 0.0)[place].cumsum()])
+            first = np.arange(max(0, len(hashes) - n + 1))
+            first = first[row_of[first] == row_of[first + n - 1]] if n else first[:0]
+            # A text shorter than the template is one stretch, if it has at least half as many words.
+            short = np.flatnonzero((np.diff(before) < n) & (2 * np.diff(before) >= max(n, 1)))
+            a, b = np.concatenate([first, before[short]]), np.concatenate([first + n, before[short + 1]])
+            near = np.flatnonzero(dots[b] - dots[a] >= (accept - 1e-6) * np.sqrt(norms[b] - norms[a]))
+            found += [(int(row_of[a[i]]), k, int(a[i]), int(b[i])) for i in near]
+        return found
+
+    def compare(self, hashes: np.ndarray, only: int | None = None) -> list[tuple[float, float, int, float, float, np.ndarray, np.ndarray]]:
+        """For each template, or one: most and least cosine, template, dot product, squares of the templates' words, and the other words with their counts."""
+        words, counts = np.unique(hashes, return_counts=True)
+        place = self.places(words)
+        inside = place < len(self.vocabulary)
+        values = counts[inside] * self.idf[place[inside]]
+        base, other, n = float((values**2).sum()), words[~inside], counts[~inside]
+        least = float((n.astype(float) ** 2).sum())
+        out = []
+        for k in range(len(self.names)) if only is None else (only,):
+            dot = float(self.vectors[k, place[inside]] @ values)
+            if dot > 0:
+                out.append((dot / sqrt(base + least), dot / sqrt(base + least * self.rare**2), k, dot, base, other, n))
+        return out
 
 
 def units(raw: bytes) -> list[bytes]:
@@ -105,31 +123,44 @@ def units(raw: bytes) -> list[bytes]:
     return list(dict.fromkeys([*out, raw[first:last], raw]))
 
 
-def _frequencies(files: DataFrame, templates: Templates) -> tuple[dict[bytes, int], int]:
-    """Files that hold each word of the templates, and all files: a row for each word comes to the driver, whatever the number of files."""
-    words = templates.vocabulary
-    raw = np.frombuffer(b" ".join(words), np.uint8)
-    hashes = hashed_words(raw, np.array([0, len(raw)]), ALNUM)[0]
-    order = np.argsort(hashes)
-    known = hashes[order]
+def word_frequencies(files: DataFrame, text: str = "text") -> DataFrame:
+    """(word, df): the hash of each word of all texts and how many files hold it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(words), np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def work(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> None:
+        def out() -> pa.RecordBatch:
+            words, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in held)]), return_inverse=True)
+            total = np.bincount(inverse, np.concatenate([np.zeros(0), *(n for _, n in held)]), len(words)).astype(np.int64)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(total)], ["word", "df"])
+
+        def work(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch | None:
             h, before = hashed_words(data, at, ALNUM)
-            place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            hit = np.flatnonzero(known[place] == h)
-            row = np.searchsorted(before, hit, side="right") - 1
-            pairs = np.unique(row * len(words) + order[place[hit]])
-            total[:] += np.bincount(pairs % len(words), minlength=len(words))
+            order = np.argsort(h, kind="stable")
+            h, row = h[order], np.repeat(np.arange(len(at) - 1), np.diff(before))[order]
+            fresh = np.ones(len(h), bool)
+            fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+            held.append(np.unique(h[fresh], return_counts=True))
+            return out() if sum(len(w) for w, _ in held) > MOST_COUNTS else None
+
+        yield from by_slice(work, text)(batches)
+        yield out()
 
-        for _ in by_slice(work, "text")(batches):
-            pass
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(words)), pa.int32()), pa.array(total)], ["w", "df"])
+    return files.select(text).mapInArrow(count, "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
 
-    got = files.select("text").mapInArrow(count, "w int, df long").groupBy("w").agg(F.sum("df")).collect()
-    return {words[r[0]]: r[1] for r in got}, files.count()
+
+def _scores(compared: DataFrame, frequencies: DataFrame, n: int) -> DataFrame:
+    """(_row, n: score and k) of the best unit among those with words of no template, weighted by these words' document frequencies too."""
+    units = compared.where(F.size("_open") > 0).select("_row", F.posexplode("_open").alias("_unit", "u"))
+    words = units.select("_row", "_unit", F.col("u.k").alias("k"), F.col("u.dot").alias("dot"), F.col("u.base").alias("base"), F.explode(F.arrays_zip("u.words", "u.counts")).alias("w"))
+    words = words.select("_row", "_unit", "k", "dot", "base", F.col("w.words").alias("word"), F.col("w.counts").alias("count"), F.pmod("_row", F.lit(SALTS)).cast("int").alias("salt"))
+    # Common words are in many units, so each word is looked up in SALTS copies.
+    idf = F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + 1)) + 1
+    weights = words.select("word").distinct().join(frequencies, "word", "left").select("word", idf.alias("idf"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    weighted = words.join(weights, ["word", "salt"]).groupBy("_row", "_unit", "k", "dot", "base").agg(F.sum((F.col("count") * F.col("idf")) ** 2).alias("rest"))
+    score = F.round(F.col("dot") / F.sqrt(F.col("base") + F.col("rest")), 12)
+    return weighted.groupBy("_row").agg(F.max(F.struct(score.alias("score"), (-F.col("k")).alias("k"))).alias("n"))
 
 
 def directory(path: Column) -> Column:
@@ -148,20 +179,49 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", temp
     cols = [c for c in (keep or [c for c in files.columns if c != text]) if c not in added]
     known = Templates(TEMPLATES if templates is None else templates)
     rows = files.select(F.col(f"`{text}`").alias("text"))
-    known.weigh(*_frequencies(rows, known))
+    frequencies, n = written(word_frequencies(rows), "word_frequencies"), files.count()
+    found = frequencies.where(F.col("word").isin(known.vocabulary.view(np.int64).tolist())).collect()
+    known.weigh({r[0] & (1 << 64) - 1: r[1] for r in found}, n)
 
     rows = files.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{path}`").alias("_path"), F.col(f"`{text}`").alias("_text"))
-    schema = rows.select(*cols, "_path", F.lit(None).cast("string").alias("own_license"), F.lit(0.0).alias("score")).schema
-
-    def match(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        raw, names, scores = data.tobytes(), [], []
-        for a, b in zip(at, at[1:], strict=False):
-            score, name = max((known.best(u) for u in units(raw[a:b])), key=lambda x: x[0], default=(0.0, None))
-            names.append(name if score >= accept else None)
-            scores.append(float(score))
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*cols, "_path", "own_license", "score"])
-
-    found = written(rows.mapInArrow(by_slice(match, "_text"), schema).withColumn("_dir", directory(F.col("_path"))), "own_licenses")
+    kind = pa.list_(pa.struct([("k", pa.int32()), ("dot", pa.float64()), ("base", pa.float64()), ("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]))
+    schema = rows.select(*cols, "_path", F.lit(0).cast("long").alias("_row"), F.lit(0.0).alias("_score"), F.lit(0).alias("_k"), F.array().cast("array<struct<k:int,dot:double,base:double,words:array<long>,counts:array<long>>>").alias("_open")).schema
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+
+        def work(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+            nonlocal row
+            raw, (hashes, before), of_row = data.tobytes(), hashed_words(data, at, ALNUM), {}
+            for r, k, a, b in known.stretches(hashes, before, accept):
+                of_row.setdefault(r, {})[k, hashes[a:b].tobytes()] = None
+            scores, best, undecided = [], [], []
+            for r, (a, b) in enumerate(zip(at, at[1:], strict=False)):
+                cued = units(raw[a:b])
+                near = [x for u in cued for x in known.compare(_hashes(u))]
+                near += [x for k, h in of_row.get(r, {}) if cued for x in known.compare(np.frombuffer(h, np.uint64), k)]
+                # Cosines without other words are known; others matter only if they may be above the greatest that is certain.
+                sure = max((x[1] for x in near), default=0.0)
+                score, k = max(((x[0], -x[2]) for x in near if not len(x[5])), default=(0.0, 0))
+                left = {(x[2], x[5].tobytes(), x[6].tobytes(), x[4]): x for x in near if len(x[5]) and x[0] >= sure and x[0] > score}
+                scores.append(score)
+                best.append(-k)
+                undecided.append([{"k": x[2], "dot": x[3], "base": x[4], "words": x[5].view(np.int64).tolist(), "counts": x[6].tolist()} for x in left.values()])
+            numbers = np.arange(row, row + len(scores))
+            row += len(scores)
+            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(numbers, pa.int64()), pa.array(scores, pa.float64()), pa.array(best, pa.int32()), pa.array(undecided, kind)], schema.names)
+
+        yield from by_slice(work, "_text")(batches)
+
+    compared = written(rows.mapInArrow(match, schema), "compared_files")
+    scores = _scores(compared, frequencies, n)
+    decided = compared.where(F.size("_open") == 0).drop("_open").unionByName(
+        compared.where(F.size("_open") > 0).drop("_open").join(scores, "_row").withColumn("_n", F.greatest(F.struct("_score", (-F.col("_k")).alias("k")), F.struct(F.col("n.score").alias("_score"), F.col("n.k").alias("k"))))
+        .withColumns({"_score": F.col("_n._score"), "_k": -F.col("_n.k")}).drop("_n", "n")
+    )
+    names = F.array(*[F.lit(x) for x in known.names]) if known.names else F.array(F.lit(None).cast("string"))
+    accepted = F.when((F.col("_score") >= accept) & (F.col("_score") > 0), F.get(names, F.col("_k")))
+    found = written(decided.select(*cols, "_path", accepted.alias("own_license"), F.col("_score").alias("score"), directory(F.col("_path")).alias("_dir")), "own_licenses")
     name = F.lower(F.regexp_replace(F.regexp_extract(F.col("_path"), "([^/]*)$", 1), r"\..*$", ""))
     notices = found.where(name.isin(*LICENSE_FILES) & F.col("own_license").isNotNull()).select("_dir", "own_license", "score")
     top = notices.groupBy("_dir").agg(F.max("score").alias("score"))
