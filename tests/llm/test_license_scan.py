@@ -1,6 +1,6 @@
 from math import log, sqrt
 
-from voxelgrove.llm.license_scan import scan_licenses
+from voxelgrove.llm.license_scan import TEMPLATES, scan_licenses
 
 
 def test_inheritance(spark):
@@ -42,3 +42,12 @@ def test_a_name_beside_a_notice_does_not_hide_it_in_a_large_corpus(spark):
     idf = {w: log(101 / (c + 1)) + 1 for w, c in df.items()}
     want = sqrt(sum(idf[w] ** 2 for w in words) / sum(x * x for x in idf.values()))
     assert got.own_license == "Apache-2.0" and abs(got.score - want) < 1e-9
+
+
+def test_each_template_is_found_by_itself_and_inside_a_text(spark):
+    notices = [(name, v) for name, variants in TEMPLATES.items() for v in variants.split("|")]
+    broken = [(name, "Some words before.\n\n# " + v.replace(" ", "\n# ", 3) + "\n\nThe rest of the text.\n" * 30) for name, v in notices]
+    files = [(f"{k}/{name}", text) for k, (name, text) in enumerate(notices + broken)]
+    plain = [(f"none/{k}", f"Nothing is granted to any person here, {k}.") for k in range(50)]
+    got = {r.path: r.own_license for r in scan_licenses(spark.createDataFrame(files + plain, "path string, text string")).collect()}
+    assert got == {p: p.split("/")[1] for p, _ in files} | {p: None for p, _ in plain}

@@ -1,6 +1,6 @@
 """License scans of a file tree: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor directory.
 
-A unit is a line that mentions a licence, a run of such lines, the whole of a text that has any, or any stretch of as many words as a template, so that a name or a year
+A unit is a line that mentions a licence, a run of such lines, the whole of a text that has any, or any stretch of any text of as many words as a template, so that a name or a year
 beside a notice does not count against it. Term frequencies are weighted by inverse document frequencies, counted over all files for every word of the units that could be
 accepted. A file without a licence of its own takes that of the licence file in its directory or the nearest one above, found by joins on paths.
 """
@@ -199,7 +199,7 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", temp
             for r, (a, b) in enumerate(zip(at, at[1:], strict=False)):
                 cued = units(raw[a:b])
                 near = [x for u in cued for x in known.compare(_hashes(u))]
-                near += [x for k, h in of_row.get(r, {}) if cued for x in known.compare(np.frombuffer(h, np.uint64), k)]
+                near += [x for k, h in of_row.get(r, {}) for x in known.compare(np.frombuffer(h, np.uint64), k)]
                 # Cosines without other words are known; others matter only if they may be above the greatest that is certain.
                 sure = max((x[1] for x in near), default=0.0)
                 score, k = max(((x[0], -x[2]) for x in near if not len(x[5])), default=(0.0, 0))
