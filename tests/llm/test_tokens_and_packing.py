@@ -113,3 +113,24 @@ def test_shards_can_be_read_from_any_slot(spark, sf, tmp_path, encoder):
     assert blocks[0].first_slot <= 730 < blocks[0].first_slot + blocks[0].n
     data = b"".join(bytes(b.payload) for b in blocks)
     assert data == b"".join(bytes(r.tokens) for r in rows if r.shard == 1 and r.slot >= blocks[0].first_slot)
+
+
+def test_the_query_writes_the_shards_that_its_places_name(spark, sf):
+    from pathlib import Path
+    from zlib import crc32
+
+    from voxelgrove.llm.common import scratch
+    from voxelgrove.llm.training_order import op6_training_order
+
+    folder = lambda: set(Path(scratch(spark).removeprefix("file://")).glob("voxelgrove/*/shards"))
+    before = folder()
+    rows = {(r.shard, r.byte): r for r in op6_training_order(spark, sf).collect()}
+    (path,) = folder() - before
+    found = {}
+    for shard in {k for k, _ in rows}:
+        blocks = read_shard(spark, str(path), shard).collect()
+        data = b"".join(bytes(b.payload) for b in blocks)
+        found |= {(shard, byte): crc32(data[byte : byte + 1024]) for byte in range(0, len(data), 1024)}
+    assert found == {k: r.tokens_crc32 for k, r in rows.items()}
+    tokens = {r.slot: crc32(bytes(r.tokens)) for r in training_order(spark.read.parquet(f"{sf}/documents.parquet"), keep=["doc_id"]).collect()}
+    assert tokens == {r.slot: r.tokens_crc32 for r in rows.values()}

@@ -7,6 +7,7 @@ goes through a shard sequentially and resumes anywhere. The key gives another or
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,8 +91,6 @@ def training_order(docs: DataFrame, text: str = "text", keep: list[str] | None =
     spark = docs.sparkSession
     cols = [c for c in (keep or [c for c in docs.columns if c != text]) if c not in ADDED]
     found = tokenise(docs, cols, text, tokenizer, length, end)
-    import uuid
-
     path = f"{scratch(spark)}/voxelgrove/{uuid.uuid4().hex}/sequences"
     found.write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(found.schema).parquet(path)
@@ -142,7 +141,7 @@ def write_shards(ordered: DataFrame, path: str, block: int = 1024) -> None:
                 held.append(row)
         yield from out()
 
-    ordered.select("shard", "slot", "tokens").mapInArrow(blocks, "shard int, first_slot long, n int, payload binary").write.partitionBy("shard").parquet(path)
+    ordered.select("shard", "slot", "tokens").mapInArrow(blocks, "shard int, first_slot long, n int, payload binary").write.option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
 def read_shard(spark, path: str, shard: int, from_slot: int = 0) -> DataFrame:
@@ -151,8 +150,22 @@ def read_shard(spark, path: str, shard: int, from_slot: int = 0) -> DataFrame:
     return blocks.orderBy("first_slot")
 
 
+def read_digests(spark, path: str, length: int = SEQUENCE) -> DataFrame:
+    """(slot, tokens_crc32) of every sequence in the payloads that ``write_shards`` left under ``path``."""
+    stride = length * STRIDE_BYTES
+    blocks = spark.read.schema("first_slot long, n int, payload binary, shard int").parquet(path)
+    # Each payload is cut inside its row, so that rows of single sequences do not carry it.
+    digest = lambda k: F.struct((F.col("first_slot") + k).alias("slot"), F.crc32(F.substring("payload", k * stride + 1, F.lit(stride))).alias("tokens_crc32"))
+    return blocks.select(F.inline(F.transform(F.sequence(F.lit(0), F.col("n") - 1), digest)))
+
+
 def op6_training_order(spark, sf_dir: str) -> DataFrame:
-    """Slot, shard and place of every token sequence of ``documents``, with a digest of its tokens."""
+    """Writes the shards of ``documents`` to a run folder under the shared one; slot, shard and place of every token sequence, with a digest of the tokens read back from there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     ordered = training_order(docs, keep=["doc_id"])
-    return ordered.select("doc_id", "seq", "n_tokens", "slot", "shard", "byte", F.crc32("tokens").alias("tokens_crc32"))
+    path = f"{scratch(spark)}/voxelgrove/{uuid.uuid4().hex}/shards"
+    # Small payloads: a row's is copied for each sequence that is cut out of it.
+    write_shards(ordered, path, block=64)
+    digests = read_digests(spark, path)
+    places = ordered.select("doc_id", "seq", "n_tokens", "slot", "shard", "byte").join(digests, "slot", "left")
+    return places.select("doc_id", "seq", "n_tokens", "slot", "shard", "byte", "tokens_crc32").orderBy("slot")
