@@ -17,20 +17,37 @@ SLICE_BYTES = 1 << 20
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A session without one may only run in one process, where a folder of this machine is as good."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one."""
+    return f"{scratch(spark)}/voxelgrove/{uuid.uuid4().hex}/{name}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/voxelgrove/{uuid.uuid4().hex}/{name}"
+    spark, path = df.sparkSession, run_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._voxelgrove_path = path
+    return found
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes tables of ``written`` that nothing will read again."""
+    for t in tables:
+        if path := getattr(t, "_voxelgrove_path", None):
+            spark = t.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -52,6 +69,18 @@ def bounded_sample(df: DataFrame, keys: list[str], most: int, seed: int = 17) ->
     return ranked.orderBy("_rank", *keys).limit(most).drop("_rank")
 
 
+def within_bytes(df: DataFrame, order: list[str], size: Column, most: int) -> DataFrame:
+    """The first rows of ``df``, itself a bounded sample, whose sizes sum to ``most`` bytes at the most; only the sizes come to the driver to find where to stop."""
+    ranked = df.withColumn("_h", F.xxhash64(*[F.col(c).cast("string") for c in order], F.lit(29)))
+    seen, last = 0, None
+    for h, n in sorted((r[0], r[1]) for r in ranked.select("_h", size.cast("long")).collect()):
+        seen += n or 0
+        if seen > most:
+            last = h
+            break
+    return (ranked if last is None else ranked.where(F.col("_h") < last)).drop("_h")
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; null is empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

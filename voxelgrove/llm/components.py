@@ -1,37 +1,52 @@
-"""Connected components of a graph given as an edge table, by contraction: no part of the graph comes to the driver."""
+"""Connected components of a graph given as an edge table, by alternating stars: no part of the graph comes to the driver."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
+
+#: A node's neighbours are dealt to so many parts, so that a hub is no single key.
+PARTS = 64
+#: Rounds grow with the logarithm of the nodes; more than these mean a mistake.
+MOST_ROUNDS = 200
+
+
+def _least(pairs: DataFrame) -> DataFrame:
+    """``pairs`` (u, v) with m, the least of u and its neighbours. A node's least is found in two steps and joined back by node and part: no key has more than its part of a hub."""
+    parted = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
+    of_part = parted.groupBy("u", "part").agg(F.min("v").alias("m"))
+    least = of_part.groupBy("u").agg(F.least(F.col("u"), F.min("m")).alias("m"))
+    return parted.join(of_part.select("u", "part").join(least, "u"), ["u", "part"]).select("u", "v", "m")
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every larger neighbour of a node is tied to the least of the node and its neighbours."""
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    return _least(both).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours are tied to the least of them. edges: a < b."""
+    found = _least(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    return found.select(F.col("m").alias("a"), F.col("v").alias("b")).union(found.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b")
 
 
 def contract(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b); the root is a node of the same component, one for each.
+    """(node, root) for every node of ``edges`` (a, b); the root is the least node of the component.
 
-    Each round hooks every node to its least neighbour, follows the pointers, and keeps the edges between different roots; the number of nodes at least
-    halves each time.
+    Rounds of a large star and a small star keep the components and end in stars around the least nodes, which a further round leaves as they are; the
+    number of rounds grows with the logarithm of the nodes. The loop runs until nothing changes and raises if it never does.
     """
-    e = written(edges.select("a", "b").where("a <> b").distinct(), f"{name}_edges_0")
-    labels: DataFrame | None = None
-    for k in range(1, 60):
-        if e.isEmpty():
-            break
-        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parent = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("p"))
-        parent = written(parent.select(F.col("a").alias("node"), "p"), f"{name}_parent_{k}")
-        for j in range(2):  # pointers of pointers; what remains is followed in later rounds
-            up = parent.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-            parent = parent.join(up, "p", "left").select("node", F.coalesce("pp", "p").alias("p"))
-        parent = written(parent, f"{name}_jumped_{k}")
-        if labels is None:
-            labels = parent.select("node", F.col("p").alias("root"))
-        else:
-            labels = labels.join(parent.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
-        labels = written(labels, f"{name}_labels_{k}")
-        to_a, to_b = parent.select(F.col("node").alias("a"), F.col("p").alias("x")), parent.select(F.col("node").alias("b"), F.col("p").alias("y"))
-        e = e.join(to_a, "a").join(to_b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        e = written(e, f"{name}_edges_{k}")
-    return labels if labels is not None else e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    e = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}_edges_0")
+    for k in range(1, MOST_ROUNDS + 1):
+        # Stars: no node is both a centre and a leaf, and each leaf has one centre.
+        counts = e.groupBy("b").agg(F.count("*").alias("n"))
+        loose = counts.where("n > 1").isEmpty() and e.select("b").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty()
+        if loose:
+            return e.select(F.col("b").alias("node"), F.col("a").alias("root")).union(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+        after = written(_small_star(_large_star(e).distinct()).distinct(), f"{name}_edges_{k}")
+        dropped(e)
+        e = after
+    raise RuntimeError(f"the components are not found after {MOST_ROUNDS} rounds")

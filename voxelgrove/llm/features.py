@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .bytetext import ALNUM, hashed_words, span_hashes, words
+from .bytetext import ALNUM, BLOCK, counts_of, pieces, span_hashes, words
 
 _b = np.arange(256)
 _UPPER = (_b >= 65) & (_b <= 90)
@@ -30,31 +30,44 @@ def _even_bins(share: np.ndarray) -> np.ndarray:
     return np.clip((share * (BINS - 2)).astype(np.int64), 0, BINS - 1)
 
 
+_ROW = np.uint64(44)
+
+
+def _distinct(data: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many runs of ``kind`` bytes each document has; and its distinct ones, as the document's number and 44 bits of their hash. A long text goes piece by piece."""
+    n = len(at) - 1
+    if n == 1 and len(data) > 8 * BLOCK:
+        count, found = 0, np.zeros(0, np.uint64)
+        for a, b in pieces(data, kind):
+            c, f = _plain(data[a:b], np.array([0, b - a]), kind)
+            count, found = count + c, np.union1d(found, f)
+        return np.asarray(count), found
+    return _plain(data, at, kind)
+
+
+def _plain(data: np.ndarray, at: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    starts, ends, before = words(data, at, kind)
+    count = np.diff(before)
+    row = np.repeat(np.arange(len(count), dtype=np.uint64), count)
+    return count, np.unique((row << _ROW) | (span_hashes(data, starts, ends) >> np.uint64(20)))
+
+
 def text_features(data: np.ndarray, at: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each document of a slice: rows and buckets (of 2**bits) of its distinct words, ordered by row and bucket; and the bins of STATISTICS (documents x statistics)."""
     n = len(at) - 1
-    h, before = hashed_words(data, at, ALNUM)
-    count = np.diff(before)
-    row = np.repeat(np.arange(n, dtype=np.uint64), count)
-    distinct = np.unique((row << np.uint64(44)) | (h >> np.uint64(20)))
-    n_distinct = np.bincount((distinct >> np.uint64(44)).astype(np.int64), minlength=n)
-    pairs = np.unique(((distinct >> np.uint64(44)) << np.uint64(bits)) | ((distinct & np.uint64((1 << 44) - 1)) >> np.uint64(44 - bits)))
+    count, distinct = _distinct(data, at, ALNUM)
+    n_distinct = np.bincount((distinct >> _ROW).astype(np.int64), minlength=n)
+    pairs = np.unique(((distinct >> _ROW) << np.uint64(bits)) | ((distinct & np.uint64((1 << 44) - 1)) >> np.uint64(44 - bits)))
     rows, buckets = (pairs >> np.uint64(bits)).astype(np.int64), (pairs & np.uint64((1 << bits) - 1)).astype(np.int64)
 
     size = np.diff(at)
-    part = {}
-    for name, kind in (("upper", _UPPER), ("digits", _DIGIT), ("symbols", _SYMBOL), ("spaces", _SPACE), ("wide", _WIDE), ("word", ALNUM)):
-        sums = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(kind[data], out=sums[1:])
-        part[name] = np.diff(sums[at])
-    starts, ends, lines_before = words(data, at, _LINE)
-    n_lines = np.diff(lines_before)
-    of = np.repeat(np.arange(n, dtype=np.uint64), n_lines)
-    lines = np.unique((of << np.uint64(44)) | (span_hashes(data, starts, ends) >> np.uint64(20)))
-    n_distinct_lines = np.bincount((lines >> np.uint64(44)).astype(np.int64), minlength=n)
+    kinds = (("upper", _UPPER), ("digits", _DIGIT), ("symbols", _SYMBOL), ("spaces", _SPACE), ("wide", _WIDE), ("word", ALNUM))
+    part = {name: counts_of(data, at, kind) for name, kind in kinds}
+    n_lines, lines = _distinct(data, at, _LINE)
+    n_distinct_lines = np.bincount((lines >> _ROW).astype(np.int64), minlength=n)
     stats = np.stack(
         [
-            _log_bins(size) , _log_bins(count), np.clip(_share(part["word"], count) * 2, 0, BINS - 1).astype(np.int64), _even_bins(_share(n_distinct, count)),
+            _log_bins(size), _log_bins(count), np.clip(_share(part["word"], count) * 2, 0, BINS - 1).astype(np.int64), _even_bins(_share(n_distinct, count)),
             *(_log_bins(_share(part[k], size), 1024) for k in ("upper", "digits", "symbols", "spaces", "wide")),
             _log_bins(n_lines), _even_bins(_share(n_distinct_lines, n_lines)),
         ],

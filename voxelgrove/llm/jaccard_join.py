@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import SPACED, hashed_words, mix
+from .bytetext import BLOCK as BLOCK_OF_TEXT
+from .bytetext import SPACED, hashed_words, mix, pieces
 from .common import blob, by_slice, slices, text_buffer, written
 from .components import contract
 
@@ -53,6 +54,8 @@ _C = np.random.default_rng(20240313).integers(1, 1 << 63, 64, dtype=np.uint64) |
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, n: int = N) -> list[np.ndarray]:
     """Each document's distinct n-gram hashes, ascending; fewer words than n are one n-gram, no word none."""
+    if len(at) == 2 and len(data) > 8 * BLOCK_OF_TEXT:
+        return [_long_set(data, n)]
     h, before = hashed_words(data, at, SPACED)
     count = np.diff(before)
     grams = np.zeros(max(0, len(h) - n + 1), np.uint64)
@@ -71,6 +74,21 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, n: int = N) -> list[np.ndarra
     return out
 
 
+def _long_set(data: np.ndarray, n: int) -> np.ndarray:
+    """The same of one long text, piece by piece; the last words of a piece go on into the next one."""
+    tail, found = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    for a, b in pieces(data, SPACED):
+        h = np.concatenate([tail, hashed_words(data[a:b], np.array([0, b - a]), SPACED)[0]])
+        if len(h) >= n:
+            grams = np.zeros(len(h) - n + 1, np.uint64)
+            for j in range(n):
+                grams += h[j : len(h) - n + 1 + j] * _C[j]
+            found = np.union1d(found, mix(grams))
+        tail = h[-(n - 1) :] if n > 1 else h[:0]
+    # Fewer than n words in all: they are what is carried over.
+    return found if len(found) or not len(tail) else mix((tail * _C[n : n + len(tail)]).sum(keepdims=True) + _C[62:63] * np.uint64(len(tail)))
+
+
 def set_key(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
