@@ -11,7 +11,7 @@ from voxelgrove.llm.packing import pack_documents
 from voxelgrove.llm.quality_fm import classify_quality
 from voxelgrove.llm.sharding import shard_documents
 from voxelgrove.llm.toxicity_chain import score_toxicity
-from voxelgrove.llm.training_order import training_order
+from voxelgrove.llm.training_order import write_shards
 
 
 def by_id(rows):
@@ -98,11 +98,12 @@ def test_sharding(odd, empty):
     assert shard_documents(empty).count() == 0
 
 
-def test_order(odd, empty):
-    rows = training_order(odd, length=32).collect()
+def test_order(odd, empty, tmp_path):
+    rows = write_shards(odd, str(tmp_path / "a"), length=32).collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
     assert [r.n_tokens for r in rows if r.doc_id == 3] == [1]
-    assert training_order(empty).count() == 0
+    assert len([r for r in rows if r.doc_id == 1 and r.seq == 0]) == 2
+    assert write_shards(empty, str(tmp_path / "b")).count() == 0
 
 
 def test_audio(odd, empty):

@@ -4,7 +4,6 @@ import pytest
 from voxelgrove.llm import tokens
 from voxelgrove.llm.packing import Packer, pack_documents
 from voxelgrove.llm.tokens import Encoder, tokenizer_path
-from voxelgrove.llm.training_order import permute, read_shard, training_order, write_shards
 
 
 def flat(texts):
@@ -90,47 +89,3 @@ def test_pieces_of_documents(spark, sf, encoder):
         whole[r.doc_id] = whole.get(r.doc_id, []) + np.frombuffer(bytes(r.ids), "<u4").tolist()
         assert len(r.ids) == 4 * r.length
     assert whole == {k: [*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 1] for k, t in texts.items()}
-
-
-def test_permutation():
-    for n in (1, 2, 3, 5, 16, 17, 1000, 4097):
-        assert sorted(permute(np.arange(n), n).tolist()) == list(range(n))
-    assert (permute(np.arange(1000), 1000, 1) != permute(np.arange(1000), 1000, 2)).any()
-
-
-def test_shards_can_be_read_from_any_slot(spark, sf, tmp_path, encoder):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    ordered = training_order(docs, keep=["doc_id"], length=64, shard=500)
-    rows = sorted(ordered.collect(), key=lambda r: r.slot)
-    assert [r.slot for r in rows] == list(range(len(rows)))
-    assert all(r.shard == r.slot // 500 and r.byte == r.slot % 500 * 128 for r in rows)
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    for r in rows[:40]:
-        ids = [*encoder.tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids, 50256][r.seq * 64 : (r.seq + 1) * 64]
-        assert r.n_tokens == len(ids) and np.frombuffer(bytes(r.tokens), "<u2").tolist() == ids + [50256] * (64 - len(ids))
-    write_shards(ordered, str(tmp_path / "shards"), block=100)
-    blocks = read_shard(spark, str(tmp_path / "shards"), 1, 730).collect()
-    assert blocks[0].first_slot <= 730 < blocks[0].first_slot + blocks[0].n
-    data = b"".join(bytes(b.payload) for b in blocks)
-    assert data == b"".join(bytes(r.tokens) for r in rows if r.shard == 1 and r.slot >= blocks[0].first_slot)
-
-
-def test_the_query_writes_the_shards_that_its_places_name(spark, sf):
-    from pathlib import Path
-    from zlib import crc32
-
-    from voxelgrove.llm.common import scratch
-    from voxelgrove.llm.training_order import op6_training_order
-
-    folder = lambda: set(Path(scratch(spark).removeprefix("file://")).glob("voxelgrove/*/shards"))
-    before = folder()
-    rows = {(r.shard, r.byte): r for r in op6_training_order(spark, sf).collect()}
-    (path,) = folder() - before
-    found = {}
-    for shard in {k for k, _ in rows}:
-        blocks = read_shard(spark, str(path), shard).collect()
-        data = b"".join(bytes(b.payload) for b in blocks)
-        found |= {(shard, byte): crc32(data[byte : byte + 1024]) for byte in range(0, len(data), 1024)}
-    assert found == {k: r.tokens_crc32 for k, r in rows.items()}
-    tokens = {r.slot: crc32(bytes(r.tokens)) for r in training_order(spark.read.parquet(f"{sf}/documents.parquet"), keep=["doc_id"]).collect()}
-    assert tokens == {r.slot: r.tokens_crc32 for r in rows.values()}

@@ -1,32 +1,39 @@
 """Training-order materialisation: every token sequence gets a global slot by a keyed permutation, and shards hold their slots in order at a fixed stride.
 
-Sequences are numbered from 0 without gaps; a Feistel network over the next even number of bits, walked along its cycles until it falls inside the
-range, permutes the numbers. So a sequence's slot is computed from its number and the key alone, and the slot tells shard and byte: a reader
-goes through a shard sequentially and resumes anywhere. The key gives another order for another epoch.
+A sequence's number is a 64-bit hash of its text, its place among the columns kept and its place in the document, scaled to a range [0, M); a Feistel network
+over the next even number of bits, walked along its cycles until it falls inside the range, permutes the numbers. M is the bytes of all texts plus one for each document: no
+smaller than the number of sequences, and known without a token. Range partitions over the permuted numbers are the shards; equal numbers go by the hash. A sequence's slot is
+its place in that order, so it depends on the rows and the key alone, not on files, partitions or the number of shards; another key gives another epoch.
+
+Tokens are shuffled once. Each range partition streams its sequences into one file of a fixed stride: slot s of a shard that begins at slot f is at byte
+(s - f) * stride, so a reader goes through a shard sequentially and resumes anywhere. Files are written beside their place and moved to it when whole, so
+a task that is run again leaves the same file.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, text_buffer
+from .bytetext import mix
+from .common import run_folder, slices, text_buffer, written
 from .tokens import Encoder, tokenizer_path
 
 SEQUENCE = 512
 END = 50256
 KEY = 0x5EED
 ROUNDS = 6
-#: Sequences of a shard: at two bytes a token, 64 MB.
-SHARD = 1 << 16
-STRIDE_BYTES = 2
-ADDED = ("seq", "n_tokens", "slot", "shard", "byte", "tokens")
+#: Bytes of text whose sequences make a shard: about 64 MB of tokens.
+SHARD_BYTES = 32 << 20
+ADDED = ("seq", "n_tokens", "slot", "shard", "byte")
 
 
 def _round_keys(key: int) -> np.ndarray:
@@ -53,119 +60,156 @@ def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def tokenise(docs: DataFrame, cols: list[str], text: str, tokenizer: str, length: int, end: int) -> DataFrame:
-    """A row for each sequence: ``cols``, seq (its number in the document), n_tokens, tokens (little-endian unsigned 16-bit, filled up with ``end``), _part and _at."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text}`").alias("_text"))
-    schema = rows.select(*cols, F.lit(0).alias("seq"), F.lit(0).alias("n_tokens"), F.lit(b"").alias("tokens"), F.lit(0).alias("_part"), F.lit(0).cast("long").alias("_at")).schema
+def scaled(h: np.ndarray, n: int) -> np.ndarray:
+    """floor(h n / 2**64) for 64-bit hashes, in halves so that nothing overflows; n below 2**62."""
+    low, high = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)
+    n_low, n_high = np.uint64(n & 0xFFFFFFFF), np.uint64(n >> 32)
+    cross = high * n_low + ((low * n_low) >> np.uint64(32))
+    middle = low * n_high + (cross & np.uint64(0xFFFFFFFF))
+    return high * n_high + (cross >> np.uint64(32)) + (middle >> np.uint64(32))
+
+
+def id_bytes(tokenizer: str) -> int:
+    """2 if all ids of the tokenizer's file are below 65536, else 4."""
+    with open(tokenizer_path(tokenizer), encoding="utf-8") as f:
+        content = json.load(f)
+    ids = [*content["model"]["vocab"].values(), *(t["id"] for t in content.get("added_tokens", []))]
+    return 2 if max(ids, default=0) < 1 << 16 else 4
+
+
+def tokenise(docs: DataFrame, cols: list[str], text: str, tokenizer: str, length: int, end: int, n: int, key: int, width: int) -> DataFrame:
+    """A row for each sequence: ``cols``, seq (its number in the document), n_tokens, _place (its permuted number), _tie (its hash), _tokens (little-endian, of ``width`` bytes each, not filled up)."""
+    # A row's own hash tells apart equal texts of different documents.
+    own = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in cols], F.lit(len(cols)), F.col(f"`{text}`"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in cols], own.alias("_own"), F.col(f"`{text}`").alias("_text"))
+    schema = rows.select(*cols, F.lit(0).alias("seq"), F.lit(0).alias("n_tokens"), F.lit(0).cast("long").alias("_place"), F.lit(0).cast("long").alias("_tie"), F.lit(b"").alias("_tokens")).schema
+    most = (1 << 8 * width) - 1
+    if not 0 <= end <= most:
+        raise ValueError(f"the end token {end} does not fit into {width} bytes")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at_row = Encoder.of(tokenizer_path(tokenizer)), TaskContext.get().partitionId(), 0
+        encoder = Encoder.of(tokenizer_path(tokenizer))
         for batch in batches:
             raw, at = text_buffer(batch.column(batch.num_columns - 1))
             for a, b in slices(at):
+                part = batch.slice(a, b - a)
                 ids, begins = encoder.encode(raw[at[a] : at[b]], at[a : b + 1] - at[a])
+                if len(ids) and int(ids.max()) > most:
+                    raise ValueError(f"id {int(ids.max())} does not fit into {width} bytes")
                 size = np.diff(begins) + 1
                 count = -(-size // length)
-                first = np.concatenate([[0], np.cumsum(count)])
-                filled = np.full(first[-1] * length, end, np.uint16)
-                filled[np.arange(len(ids)) + np.repeat(first[:-1] * length - begins[:-1], np.diff(begins))] = ids
                 row = np.repeat(np.arange(b - a), count)
-                seq = np.arange(first[-1]) - first[:-1][row]
+                seq = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
                 n_tokens = np.minimum(length, size[row] - seq * length)
-                kept = batch.slice(a, b - a).select(list(range(len(cols)))).take(pa.array(row)).columns if cols else []
-                data = filled.astype("<u2").tobytes()
-                stride = 2 * length
-                tokens = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(np.arange(0, len(data) + 1, stride, dtype=np.int32)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(seq, pa.int32()), pa.array(n_tokens, pa.int32()), tokens, pa.array(np.full(len(row), part), pa.int32()), pa.array(np.arange(at_row, at_row + len(row)), pa.int64())], schema.names)
-                at_row += len(row)
+                # Each document's ids, with the end token after them.
+                whole = np.full(len(ids) + b - a, end, f"<u{width}")
+                whole[np.arange(len(ids)) + np.repeat(np.arange(b - a), np.diff(begins))] = ids
+                edges = np.concatenate([[0], np.cumsum(n_tokens)]) * width
+                tokens = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(whole)])
+                own = part.column(len(cols)).to_numpy().view(np.uint64)[row]
+                tie = mix(own + seq.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                place = permute(scaled(tie, n), n, key)
+                kept = part.select(list(range(len(cols)))).take(pa.array(row)).columns if cols else []
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(seq, pa.int32()), pa.array(n_tokens, pa.int32()), pa.array(place), pa.array(tie.view(np.int64)), tokens], schema.names)
 
     return rows.mapInArrow(work, schema)
 
 
-def training_order(docs: DataFrame, text: str = "text", keep: list[str] | None = None, tokenizer: str = "byte_bpe_50k.json", length: int = SEQUENCE, end: int = END, key: int = KEY, shard: int = SHARD) -> DataFrame:
-    """All sequences in the order of their slots, a partition for each shard: ``keep`` columns, seq, n_tokens, tokens, slot, shard, byte (in the shard).
-
-    Defined cases: a null or empty text is one sequence of the end token; an empty table has no sequence; repeated rows have slots of their own; columns of
-    ``docs`` named like an added one are replaced. The order depends on the key and on how the input's files are read.
-    """
-    spark = docs.sparkSession
-    cols = [c for c in (keep or [c for c in docs.columns if c != text]) if c not in ADDED]
-    found = tokenise(docs, cols, text, tokenizer, length, end)
-    path = f"{scratch(spark)}/voxelgrove/{uuid.uuid4().hex}/sequences"
-    found.write.option("compression", "zstd").parquet(path)
-    found = spark.read.schema(found.schema).parquet(path)
-    # One row for each partition of the input: how many sequences lie before it.
-    counts, before, n = sorted((r[0], r[1]) for r in found.groupBy("_part").agg(F.count("*")).collect()), {}, 0
-    for part, count in counts:
-        before[part] = n
-        n += count
-    if not n:
-        return found.select(*cols, "seq", "n_tokens", "tokens", F.lit(0).cast("long").alias("slot"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("byte"))
-    names = [c for c in found.columns if c not in ("_part", "_at")]
-    schema = found.select(*names, F.lit(0).cast("long").alias("slot")).schema
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            part, at = b.column(len(names)).to_numpy(), b.column(len(names) + 1).to_numpy()
-            parts, inverse = np.unique(part, return_inverse=True)
-            index = at + np.array([before[int(p)] for p in parts], np.int64)[inverse] if len(part) else at
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(permute(index, n, key), pa.int64())], schema.names)
-
-    placed = found.mapInArrow(place, schema)
-    shards = -(-n // shard)
-    # Slots are dealt out evenly by the permutation, so the boundaries of the ranges are known. Small shards are cut further, so that the tasks are as many as the data need.
-    pieces = max(1, -(-spark.sparkContext.defaultParallelism * 2 // shards)) if shards < 1000 else 1
-    step = -(-min(shard, n) // pieces)
-    per_shard = -(-min(shard, n) // step)
-    target = (F.col("slot") / F.lit(shard)).cast("long") * per_shard + F.floor((F.col("slot") % shard) / F.lit(step))
-    ordered = placed.repartitionById(int(shards * per_shard), target.cast("int")).sortWithinPartitions("slot")
-    stride = length * STRIDE_BYTES
-    return ordered.withColumns({"shard": F.floor(F.col("slot") / F.lit(shard)).cast("int"), "byte": (F.col("slot") % shard) * stride})
+def _open(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
 
 
-def write_shards(ordered: DataFrame, path: str, block: int = 1024) -> None:
-    """Writes (shard, first_slot, n, payload) rows as Parquet, partitioned by shard: each payload is ``block`` sequences at the fixed stride, the last of a shard may be shorter."""
+def shard_file(path: str, shard: int) -> str:
+    return f"{path}/shard-{shard:08d}.bin"
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
 
-        def out() -> Iterator[pa.RecordBatch]:
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array([held[0][0]], pa.int32()), pa.array([held[0][1]], pa.int64()), pa.array([len(held)], pa.int32()), pa.array([b"".join(x[2] for x in held)], pa.binary())], ["shard", "first_slot", "n", "payload"])
+def write_shards(docs: DataFrame, path: str, text: str = "text", keep: list[str] | None = None, tokenizer: str = "byte_bpe_50k.json", length: int = SEQUENCE, end: int = END, key: int = KEY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes the shards' files to the folder ``path`` and returns where each sequence is: ``keep`` columns (all but the text if None), seq, n_tokens, slot, shard, byte.
 
+    Defined cases: a null or empty text is one sequence of the end token; an empty table has no sequence and no file; repeated rows have slots of their own, side by
+    side; columns of ``docs`` named like an added one are replaced. Slots depend on the kept columns, the texts and the key alone. An id beyond the files' integers (two bytes, or
+    four where the vocabulary needs them) raises. ``path`` is one that pyarrow's file systems know (local, hdfs, s3, gs, abfs).
+    """
+    cols = [c for c in (keep or [c for c in docs.columns if c != text]) if c not in ADDED]
+    size = docs.agg(F.sum(F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long") + 1)).first()[0] or 0
+    n, shards, width = max(1, size), max(1, -(-size // shard_bytes)), id_bytes(tokenizer)
+    found = tokenise(docs, cols, text, tokenizer, length, end, n, key, width)
+    target = F.floor(F.col("_place") / F.lit(n) * shards).cast("int")
+    ordered = found.withColumn("shard", F.least(target, F.lit(shards - 1))).repartitionById(shards, F.col("shard")).sortWithinPartitions("_place", "_tie")
+    ordered = ordered.select(*cols, "seq", "n_tokens", "shard", "_tokens")
+    schema = ordered.drop("_tokens").withColumn("_at", F.lit(0).cast("long")).schema
+    stride, filler = length * width, np.array([end], f"<u{width}").tobytes()
+    folder, place = _open(path)
+    folder.create_dir(place, recursive=True)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, at, name, own = None, 0, "", ""
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and (row[0] != held[0][0] or row[1] % block == 0 or row[1] != held[-1][1] + 1):
-                    yield from out()
-                    held.clear()
-                held.append(row)
-        yield from out()
-
-    ordered.select("shard", "slot", "tokens").mapInArrow(blocks, "shard int, first_slot long, n int, payload binary").write.option("compression", "zstd").partitionBy("shard").parquet(path)
-
-
-def read_shard(spark, path: str, shard: int, from_slot: int = 0) -> DataFrame:
-    """A shard's blocks in order from the one that holds ``from_slot``: where a reader goes on."""
-    blocks = spark.read.parquet(path).where((F.col("shard") == shard) & (F.col("first_slot") + F.col("n") > from_slot))
-    return blocks.orderBy("first_slot")
-
+            if not b.num_rows:
+                continue
+            if out is None:
+                files, here = _open(path)
+                name = shard_file(here, b.column(len(schema.names) - 2)[0].as_py())
+                own = f"{name}.{uuid.uuid4().hex}"
+                out = files.open_output_stream(own)
+            tokens = b.column(b.num_columns - 1)
+            edges = np.frombuffer(tokens.buffers()[1], np.int32)[tokens.offset : tokens.offset + len(tokens) + 1].astype(np.int64)
+            data = np.frombuffer(tokens.buffers()[2], np.uint8)
+            for i in range(0, len(tokens), 1024):
+                e = edges[i : min(i + 1024, len(tokens)) + 1]
+                rows = np.frombuffer(filler * (length * (len(e) - 1)), np.uint8).copy()
+                each = np.diff(e)
+                rows[np.arange(e[-1] - e[0]) + np.repeat(np.arange(len(each)) * stride - (e[:-1] - e[0]), each)] = data[e[0] : e[-1]]
+                out.write(rows.tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.arange(at, at + b.num_rows))], schema.names)
+            at += b.num_rows
+        if out is not None:
+            out.close()
+            files.move(own, name)
+
+    places = written(ordered.mapInArrow(write, schema), "places")
+    # A row for each shard: how many slots lie before it.
+    counts = places.groupBy("shard").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = counts.select("shard", before.alias("_first"))
+    out = places.join(first, "shard")
+    return out.select(*cols, "seq", "n_tokens", (F.col("_first") + F.col("_at")).alias("slot"), "shard", (F.col("_at") * stride).alias("byte"))
+
+
+def read_shard(path: str, shard: int, stride: int, byte: int = 0) -> Iterator[bytes]:
+    """The sequences of a shard in order from a byte on: where a reader goes on."""
+    files, place = _open(path)
+    with files.open_input_file(shard_file(place, shard)) as f:
+        f.seek(byte)
+        while block := f.read(stride):
+            yield block
+
+
+def with_digests(places: DataFrame, path: str, stride: int) -> DataFrame:
+    """``places`` with tokens_crc32 of what lies at each place in the files. Rows that come in the files' order are read in one go."""
+    names = places.columns
+    schema = places.withColumn("tokens_crc32", F.lit(0).cast("long")).schema
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, here = _open(path)
+        for b in batches:
+            shard, byte = b.column(names.index("shard")).to_numpy(), b.column(names.index("byte")).to_numpy()
+            out = np.zeros(len(shard), np.int64)
+            cut = np.flatnonzero((shard[1:] != shard[:-1]) | (byte[1:] != byte[:-1] + stride)) + 1
+            for rows in np.split(np.arange(len(shard)), cut):
+                for k in range(0, len(rows), 4096):
+                    part = rows[k : k + 4096]
+                    with files.open_input_file(shard_file(here, int(shard[part[0]]))) as f:
+                        data = memoryview(f.read_at(len(part) * stride, int(byte[part[0]])))
+                    out[part] = [crc32(data[i * stride : (i + 1) * stride]) for i in range(len(part))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], schema.names)
 
-def read_digests(spark, path: str, length: int = SEQUENCE) -> DataFrame:
-    """(slot, tokens_crc32) of every sequence in the payloads that ``write_shards`` left under ``path``."""
-    stride = length * STRIDE_BYTES
-    blocks = spark.read.schema("first_slot long, n int, payload binary, shard int").parquet(path)
-    # Each payload is cut inside its row, so that rows of single sequences do not carry it.
-    digest = lambda k: F.struct((F.col("first_slot") + k).alias("slot"), F.crc32(F.substring("payload", k * stride + 1, F.lit(stride))).alias("tokens_crc32"))
-    return blocks.select(F.inline(F.transform(F.sequence(F.lit(0), F.col("n") - 1), digest)))
+    return places.mapInArrow(digest, schema)
 
 
 def op6_training_order(spark, sf_dir: str) -> DataFrame:
     """Writes the shards of ``documents`` to a run folder under the shared one; slot, shard and place of every token sequence, with a digest of the tokens read back from there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ordered = training_order(docs, keep=["doc_id"])
-    path = f"{scratch(spark)}/voxelgrove/{uuid.uuid4().hex}/shards"
-    # Small payloads: a row's is copied for each sequence that is cut out of it.
-    write_shards(ordered, path, block=64)
-    digests = read_digests(spark, path)
-    places = ordered.select("doc_id", "seq", "n_tokens", "slot", "shard", "byte").join(digests, "slot", "left")
-    return places.select("doc_id", "seq", "n_tokens", "slot", "shard", "byte", "tokens_crc32").orderBy("slot")
+    path = run_folder(spark, "shards")
+    places = write_shards(docs, path, keep=["doc_id"])
+    return with_digests(places, path, SEQUENCE * id_bytes("byte_bpe_50k.json")).select("doc_id", "seq", "n_tokens", "slot", "shard", "byte", "tokens_crc32")
