@@ -24,3 +24,32 @@ def test_a_text_of_a_third_of_all_rows_is_subdivided(spark):
     for s in range(5):
         slots = sorted(r.slot for r in rows if r.shard == s)
         assert slots == list(range(len(slots)))
+
+
+def test_digests_and_order_against_brute_force(spark, sf):
+    from zlib import crc32
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    one, two = (shard_documents(docs.repartition(n)).collect() for n in (1, 9))
+    for rows in (one, two):
+        assert {r.doc_id: (r.size, r.text_crc32) for r in rows} == {k: (len(t.encode()) + 1, crc32(t.encode())) for k, t in texts.items()}
+        for s in range(8):
+            slots = sorted(r.slot for r in rows if r.shard == s)
+            assert slots == list(range(len(slots)))
+    assert {(r.doc_id, r.shard, r.slot) for r in one} == {(r.doc_id, r.shard, r.slot) for r in two}
+
+
+def test_overfull_ranges_are_subdivided(spark, monkeypatch):
+    # One draw a range: most first ranges are far off their size.
+    from voxelgrove.llm import sharding
+
+    monkeypatch.setattr(sharding, "SAMPLES_PER_RANGE", 1)
+    rng = random.Random(2)
+    texts = ["x" * rng.choice([1, 1, 1, 400]) + str(rng.random()) for _ in range(3000)] + ["the same text and id"] * 300
+    rows = [(k if k < 3000 else 1, t) for k, t in enumerate(texts)]
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), shards=4).collect()
+    size = {}
+    for r in got:
+        size[r.shard] = size.get(r.shard, 0) + r.size
+    assert len(got) == 3300 and max(size.values()) < 1.02 * min(size.values())

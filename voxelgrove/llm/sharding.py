@@ -4,12 +4,14 @@ The key of a record is (hash of its text, hash of its id), so copies of a text a
 stays in one range and one shard, unless it alone overfills a shard: then boundaries on the second part of the key subdivide it. The ranges,
 whose exact sizes are counted, are dealt to the shards largest first.
 
-The driver sees only samples (``SAMPLES_PER_RANGE`` a range) and one row of totals for each range; both are bounded by ``MAX_RANGES``.
+The driver sees only samples (``SAMPLES_PER_RANGE`` a range) and one row of totals for each range. There are at most ``RANGES`` ranges to begin with, and twice as many once
+overfull ones are subdivided; beyond ``MOST_RANGES`` the operator raises.
 """
 
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,11 +20,11 @@ from .common import written
 
 RANGES_PER_SHARD = 256
 RANGE_BYTES = 256 << 20
-MAX_RANGES = 1 << 16
+RANGES = 1 << 16
+MOST_RANGES = 1 << 18
 SAMPLES_PER_RANGE = 24
-#: A range is overfull beyond so many times the size aimed at; it is subdivided in up to ROUNDS rounds.
+#: A range with more than one key is overfull beyond so many times the size aimed at, and is subdivided until none is.
 OVERFULL = 1.5
-ROUNDS = 4
 LOW = -(1 << 63)
 HIGH = (1 << 63) - 1
 
@@ -34,10 +36,10 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.withColumns({"_h": F.xxhash64(whole), "_s": F.xxhash64(F.col(f"`{doc_id}`").cast("string"), F.lit(1)), "size": (F.octet_length(whole) + 1).cast("long")})
 
 
-def _sample(keys: DataFrame, total: int, draws: int) -> list[tuple[int, int, int]]:
-    """(h, s, weight) of about ``draws`` size-weighted draws in order of the key; the same for the same rows."""
+def _sample(keys: DataFrame, total: int, draws: int, seed: int) -> list[tuple[int, int, int]]:
+    """(h, s, weight) of about ``draws`` size-weighted draws in order of the key; the same for the same rows and seed."""
     share = F.col("size") * F.lit(draws / max(1, total))
-    chance = F.pmod(F.xxhash64("_h", "_s", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chance = F.pmod(F.xxhash64("_h", "_s", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = keys.withColumn("_w", (F.floor(share) + (chance < share - F.floor(share)).cast("int")).cast("long")).where("_w > 0")
     return sorted((r[0], r[1], r[2]) for r in drawn.groupBy("_h", "_s").agg(F.sum("_w")).collect())
 
@@ -58,12 +60,14 @@ def _splitters(sample: list[tuple[int, int, int]], ranges: int) -> set[tuple[int
     return found
 
 
-def _range_table(spark, splitters: list[tuple[int, int]], shard_of: dict[int, tuple[int, int]] | None = None) -> DataFrame:
-    """A row for each range and each of the 4096 leading-bit buckets of h that it meets: at most splitters + 4096 rows, so it may be broadcast."""
+def _range_table(spark, splitters: list[tuple[int, int]], shard_of: dict[int, tuple[int, int]] | None = None, only: set[int] | None = None) -> DataFrame:
+    """A row for each range, or those of ``only``, and each of the 4096 leading-bit buckets of h that it meets: at most splitters + 4096 rows, so it may be broadcast."""
     starts = [(LOW, LOW), *splitters]
     ends = [*splitters, (HIGH, HIGH)]
     rows = []
     for k, (a, b) in enumerate(zip(starts, ends, strict=True)):
+        if only is not None and k not in only:
+            continue
         shard, base = (shard_of or {}).get(k, (0, 0))
         rows += [(c, a[0], a[1], b[0], b[1], k == len(starts) - 1, k, shard, base) for c in range(a[0] >> 52, (b[0] >> 52) + 1)]
     return spark.createDataFrame(rows, "_c int, _ah long, _as long, _bh long, _bs long, _last boolean, _range int, shard int, _base long")
@@ -104,36 +108,37 @@ def _deal(splitters: list[tuple[int, int]], totals: dict[int, tuple[int, int]],
 def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with size (bytes of the text plus 1), text_crc32, law ("bytes"), shard, slot (its place in the shard, from 0 without gaps) and grown_shard (null).
 
-    Defined cases: a null text counts as an empty one (size 1, crc 0); a null id is a key like another; rows that repeat get slots of their own;
-    an empty table stays empty; columns of ``docs`` named like an added one are replaced. Shards may stay empty when there are fewer texts than shards.
+    Defined cases: a null text counts as an empty one (size 1, crc 0); a null id is a key like another; rows that repeat get slots of their own, side by side in
+    one shard; an empty table stays empty; columns of ``docs`` named like an added one are replaced. Shards may stay empty when there are fewer texts than shards.
     """
     spark = docs.sparkSession
     docs = docs.drop(*ADDED)
     keys = written(_keyed(docs, text, doc_id).select("_h", "_s", "size"), "shard_keys")
     total = keys.agg(F.sum("size")).first()[0] or 0
-    ranges = min(MAX_RANGES, max(shards * RANGES_PER_SHARD, -(-total // RANGE_BYTES)))
-    splitters = _splitters(_sample(keys, total, ranges * SAMPLES_PER_RANGE), ranges)
-    aim = total / ranges
-    for attempt in range(ROUNDS):
+    ranges = min(RANGES, max(shards * RANGES_PER_SHARD, -(-total // RANGE_BYTES)))
+    splitters = _splitters(_sample(keys, total, ranges * SAMPLES_PER_RANGE, 7), ranges)
+    aim, seed = total / ranges, 7
+    while True:
         at = sorted(splitters)
-        found = _ranged(keys, _range_table(spark, at)).groupBy("_range").agg(F.sum("size"), F.count("*")).collect()
+        key = F.struct("_h", "_s")
+        found = _ranged(keys, _range_table(spark, at)).groupBy("_range").agg(F.sum("size"), F.count("*"), F.min(key), F.max(key)).collect()
         totals = {r[0]: (r[1], r[2]) for r in found}
-        over = [k for k, (b, n) in totals.items() if b > OVERFULL * aim and n > 1]
-        if not over or attempt == ROUNDS - 1:
+        # Rows of one key are equal in text and id; such a range can't be cut and stays whole.
+        over = {r[0]: tuple(r[4]) for r in found if r[1] > OVERFULL * aim and r[3] != r[4]}
+        if not over:
             break
-        parts = sum(-(-totals[k][0] // max(1, int(aim))) for k in over)
-        inside = _ranged(keys, _range_table(spark, at)).where(F.col("_range").isin(over) if len(over) < 100 else F.col("_range").isNotNull())
-        size = sum(totals[k][0] for k in over) if len(over) < 100 else total
-        more: dict[int, list] = {}
-        for h, s, w in _sample(inside.select("_h", "_s", "size"), size, (parts if len(over) < 100 else ranges) * SAMPLES_PER_RANGE * 2):
-            more.setdefault(_place(at, (h, s)), []).append((h, s, w))
-        before = len(splitters)
-        for k in over:
-            if k in more:
-                splitters |= _splitters(more[k], max(2, round(totals[k][0] / max(1.0, aim))))
-        if len(splitters) == before or len(splitters) > 2 * MAX_RANGES:
-            break
-    at = sorted(splitters) if not totals else at
+        parts = {k: max(2, round(totals[k][0] / max(1.0, aim))) for k in over}
+        inside = _ranged(keys, _range_table(spark, at, only=set(over))).select("_h", "_s", "size")
+        seed += 1
+        more: dict[int, list] = {k: [] for k in over}
+        for h, s, w in _sample(inside, sum(totals[k][0] for k in over), sum(parts.values()) * SAMPLES_PER_RANGE, seed):
+            more[bisect_right(at, (h, s))].append((h, s, w))
+        for k, last in over.items():
+            fresh = _splitters(more[k], parts[k]) - splitters if more[k] else set()
+            # The last key of the range can always be parted from the others, so each round gets on.
+            splitters |= fresh or {last}
+        if len(splitters) > MOST_RANGES:
+            raise ValueError(f"{len(splitters)} ranges, more than {MOST_RANGES}: the records are too uneven for {shards} shards")
     table = _range_table(spark, at, _deal(at, totals, shards))
     placed = _ranged(_keyed(docs, text, doc_id), table)
     order = Window.partitionBy("_range").orderBy("_h", "_s", F.col(f"`{doc_id}`"))
@@ -148,12 +153,6 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id
     )
 
 
-def _place(splitters: list[tuple[int, int]], key: tuple[int, int]) -> int:
-    from bisect import bisect_right
-
-    return bisect_right(splitters, key)
-
-
 def op10_sharding(spark, sf_dir: str) -> DataFrame:
     """The whole of ``documents`` in 8 shards of nearly equal bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
