@@ -46,9 +46,11 @@ def test_quality(odd, empty, labels):
 
 def test_toxicity(odd, empty, labels):
     rows = score_toxicity(odd, labels).collect()
-    assert len(rows) == 11 and all(0 <= r.p_toxic <= 1 and 0 <= r.p_insult <= 1 for r in rows)
+    assert len(rows) == 11 and all(0 <= r.p_toxic <= 1 and 0 <= r.p_group_1 <= 1 and r.toxic in (0, 1) for r in rows)
     assert score_toxicity(empty, labels).count() == 0
-    assert {r.p_toxic for r in score_toxicity(odd, labels.limit(0)).collect()} == {0.0}
+    assert {(r.p_toxic, r.toxic) for r in score_toxicity(odd, labels.limit(0)).collect()} == {(0.0, 0)}
+    given = score_toxicity(odd, labels, categories={"animal": ("cat", "hund")}).collect()
+    assert len(given) == 11 and all(0 <= r.p_animal <= 1 for r in given)
 
 
 def test_jaccard(odd, empty):

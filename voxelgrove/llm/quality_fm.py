@@ -3,7 +3,7 @@
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f [(sum v_if x_i)^2 - sum v_if^2 x_i^2]): all pairwise interactions in time linear in the features.
 A word's x is one over the root of the document's distinct words; a bin's x is 1.
 
-Bounds: the fit sees at most ``SAMPLE`` labelled rows, as sparse features made on the executors; the model has a fixed size.
+Bounds: the fit sees at most ``SAMPLE`` labelled rows, as sparse features made on the executors, and of these at most ``SAMPLE_BYTES``; the model has a fixed size.
 """
 
 from __future__ import annotations
@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blob, bounded_sample, by_slice, for_python, handed_back, held_out
+from .common import blob, bounded_sample, by_slice, for_python, handed_back, held_out, within_bytes, written
 from .features import BINS, STATISTICS, number_bins, text_features
 
 SAMPLE = 10_000
+SAMPLE_BYTES = 64 << 20
 WORD_BITS = 14
 RANK = 8
 EPOCHS = 12
@@ -103,7 +104,7 @@ def _numbers(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
     return [batch.column(batch.schema.get_field_index(c)).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in names]
 
 
-def fit(labelled: DataFrame, docs: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id", numbers: tuple[str, ...] = (), sample: int = SAMPLE) -> Model | None:
+def fit(labelled: DataFrame, docs: DataFrame, label: str = "quality", text: str = "text", doc_id: str = "doc_id", numbers: tuple[str, ...] = (), sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> Model | None:
     """Learns ``label`` (0 or 1) of ``labelled`` rows, joined with ``docs`` by id; None if no row has both."""
     names = [f"_n{k}" for k in range(len(numbers))]
     known = labelled.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)").groupBy("id").agg(F.min("y").alias("y"))
@@ -112,17 +113,21 @@ def fit(labelled: DataFrame, docs: DataFrame, label: str = "quality", text: str
     rows = rows.join(F.broadcast(drawn), "id").select("id", "y", *names, "text")
 
     def make(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        indptr, cols, vals = _sparse(data, at, _numbers(batch, names))
-        spans = list(zip(indptr, indptr[1:], strict=False))
-        return pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array([blob(cols[a:b]) for a, b in spans], pa.binary()), pa.array([blob(vals[a:b]) for a, b in spans], pa.binary())], ["id", "y", "cols", "vals"]
-        )
-
-    got = rows.mapInArrow(by_slice(make, "text"), f"id {dict(rows.dtypes)['id']}, y int, cols binary, vals binary").collect()
-    got = sorted(got, key=lambda r: (r[0], r[2]))
+        indptr, cols, _ = _sparse(data, at, _numbers(batch, names))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([blob(cols[a:b]) for a, b in zip(indptr, indptr[1:], strict=False)], pa.binary())], ["id", "y", "cols"])
+
+    made = written(rows.mapInArrow(by_slice(make, "text"), f"id {dict(rows.dtypes)['id']}, y int, cols binary"), "quality_features")
+    got = sorted((r[0], bytes(r[2]), r[1]) for r in within_bytes(made, ["id", "cols"], F.octet_length("cols"), most_bytes).collect())
     if not got:
         return None
-    return train([(r[1], np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in got], (1 << WORD_BITS) + BINS * (len(STATISTICS) + len(numbers)))
+    k = len(STATISTICS) + len(numbers)
+    return train([(y, c := np.frombuffer(x, np.int32), _values(c, k)) for _, x, y in got], (1 << WORD_BITS) + BINS * k)
+
+
+def _values(cols: np.ndarray, bins: int) -> np.ndarray:
+    """The values that belong to a row's columns: bins first, then words."""
+    n = len(cols) - bins
+    return np.concatenate([np.ones(bins, np.float32), np.full(n, 1 / np.sqrt(max(1, n)), np.float32)])
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", numbers: tuple[str, ...] = (), keep: list[str] | None = None, name: str = "score") -> DataFrame:
