@@ -1,8 +1,10 @@
 """License scans of a file tree: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor directory.
 
-A unit is a line that mentions a licence, a run of such lines, the whole of a text that has any, or any stretch of any text of as many words as a template, so that a name or a year
-beside a notice does not count against it. Term frequencies are weighted by inverse document frequencies, counted over all files for every word of the units that could be
-accepted. A file without a licence of its own takes that of the licence file in its directory or the nearest one above, found by joins on paths.
+Compared are all stretches of a text of as many words as a template, so that a name or a year beside a notice does not count against it, and a long licence is known by its title
+or notice. Term frequencies are weighted by inverse document frequencies, counted over all files for every word of the stretches that could be accepted. A stretch after a
+negation is none. A licence is taken if its best stretch reaches ``ACCEPT`` and is at least ``MARGIN`` above every other licence's there; of several in
+a file the most similar, then the first. A tag with a known SPDX identifier decides before all that; -only, -or-later and + are left off. A file without a licence of its
+own takes that of the licence file in its directory or the nearest one above, found by joins on paths.
 """
 
 from __future__ import annotations
@@ -18,31 +20,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import ALNUM, hashed_words
-from .common import by_slice, written
+from .common import by_slice, dropped, written
+from .license_texts import NEGATIONS, OTHER_IDENTIFIERS, TEMPLATES
 
-ACCEPT = 0.6
-#: Lines between two that mention a licence, at most, within one header.
-GAP = 3
+ACCEPT = 0.7
+MARGIN = 0.002
 SALTS = 32
 #: Words whose counts a task holds before it hands them on.
 MOST_COUNTS = 1 << 20
-CUE = re.compile(rb"licen[cs]|copyright|spdx|redistribut|warrant")
+TAG = re.compile(rb"SPDX-License-Identifier:[ \t]*\(?[ \t]*([A-Za-z0-9.+-]+)", re.IGNORECASE)
 LICENSE_FILES = ("license", "licence", "copying", "unlicense", "notice")
 
-#: Fixed values. Notices that files carry, by the licence's identifier; several for one licence are parted by a bar.
-TEMPLATES = {
-    "MIT": "Released under the MIT License|Licensed under the MIT License|SPDX-License-Identifier: MIT"
-    "|Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0|SPDX-License-Identifier: Apache-2.0"
-    "|Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3|SPDX-License-Identifier: GPL-3.0"
-    "|This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License",
-    "BSD-3-Clause": "Licensed under the BSD 3-Clause License|SPDX-License-Identifier: BSD-3-Clause"
-    "|Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0|SPDX-License-Identifier: MPL-2.0",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0|This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
-    "CC-BY-4.0": "Licensed under CC BY 4.0|This work is licensed under a Creative Commons Attribution 4.0 International License",
-}
+
+def tagged(raw: bytes, known: dict[str, str]) -> str | None:
+    """The identifier of the first tag that names a known licence; known: identifiers by their lower case."""
+    for m in TAG.finditer(raw):
+        name = re.sub(r"(-only|-or-later|\+)$", "", m[1].decode().rstrip(".").lower())
+        if name in known:
+            return known[name]
+    return None
 
 
 def _hashes(raw: bytes) -> np.ndarray:
@@ -57,6 +53,7 @@ class Templates:
         self.names, terms = [p[0] for p in pairs], [p[1] for p in pairs]
         self.lengths = [len(t) for t in terms]
         self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *terms]))
+        self.negations = np.concatenate([_hashes(x.encode()) for x in NEGATIONS])
         self.counts = np.array([np.bincount(np.searchsorted(self.vocabulary, t), minlength=len(self.vocabulary)) for t in terms], float).reshape(len(terms), len(self.vocabulary))
 
     def weigh(self, df: dict[int, int], n: int) -> None:
@@ -71,56 +68,56 @@ class Templates:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), max(0, len(self.vocabulary) - 1))
         return np.where(self.vocabulary[at] == hashes, at, len(self.vocabulary)) if len(self.vocabulary) else np.zeros(len(hashes), np.int64)
 
-    def stretches(self, hashes: np.ndarray, before: np.ndarray, accept: float) -> list[tuple[int, int, int, int]]:
-        """(row, template, first word, word after the last) of all stretches as long as a template that could reach ``accept``; no word weighs less than 1."""
+    def stretches(self, hashes: np.ndarray, before: np.ndarray, accept: float) -> list[tuple[int, int, int, int, float]]:
+        """(row, template, first word, word after the last, most cosine) of all stretches as long as a template that could reach ``accept``; no word weighs less than 1."""
         place, row_of, found = self.places(hashes), np.repeat(np.arange(len(before) - 1), np.diff(before)), []
         weight = np.append(self.idf**2, 1.0)[place]
         norms = np.concatenate([[0], weight.cumsum()])
-        for k, n in enumerate(self.lengths):
-            dots = np.concatenate([[0], np.append(self.vectors[k] * self.idf, 0.0)[place].cumsum()])
+        negated = np.concatenate([[0], np.isin(hashes, self.negations).cumsum()])
+        # Templates of a length share their stretches' norms.
+        for n in sorted(set(self.lengths)):
             first = np.arange(max(0, len(hashes) - n + 1))
             first = first[row_of[first] == row_of[first + n - 1]] if n else first[:0]
             # A text shorter than the template is one stretch, if it has at least half as many words.
             short = np.flatnonzero((np.diff(before) < n) & (2 * np.diff(before) >= max(n, 1)))
             a, b = np.concatenate([first, before[short]]), np.concatenate([first + n, before[short + 1]])
-            near = np.flatnonzero(dots[b] - dots[a] >= (accept - 1e-6) * np.sqrt(norms[b] - norms[a]))
-            found += [(int(row_of[a[i]]), k, int(a[i]), int(b[i])) for i in near]
+            root = np.sqrt(norms[b] - norms[a])
+            for k in [k for k, m in enumerate(self.lengths) if m == n]:
+                dots = np.concatenate([[0], np.append(self.vectors[k] * self.idf, 0.0)[place].cumsum()])
+                dot = dots[b] - dots[a]
+                for i in np.flatnonzero(dot >= (accept - 1e-6) * root).tolist():
+                    r, x, y = int(row_of[a[i]]), int(a[i]), int(b[i])
+                    # Not after a negation, nor with one among the first words.
+                    if negated[min(y, x + 3)] == negated[max(int(before[r]), x - 2)]:
+                        found.append((r, k, x, y, min(1.0, float(dot[i] / root[i]))))
         return found
 
-    def compare(self, hashes: np.ndarray, only: int | None = None) -> list[tuple[float, float, int, float, float, np.ndarray, np.ndarray]]:
-        """For each template, or one: most and least cosine, template, dot product, squares of the templates' words, and the other words with their counts."""
+    def candidates(self, hashes: np.ndarray, before: np.ndarray, accept: float) -> dict[int, list[tuple]]:
+        """By row: (template, first word, word after the last, dot product, squares of the templates' words, other words, their counts) of the stretches that may be the best of their template."""
+        by: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
+        for r, k, a, b, most in self.stretches(hashes, before, accept):
+            by.setdefault((r, k), []).append((-most, a, b))
+        out: dict[int, list[tuple]] = {}
+        for (r, k), spans in by.items():
+            sure = 0.0
+            for most, a, b in sorted(spans):
+                if -most < sure - 1e-9:
+                    break
+                high, low, dot, base, other, n = self.compare(hashes[a:b], k)
+                sure = max(sure, low)
+                if high >= max(accept, sure) - 1e-9:
+                    out.setdefault(r, []).append((k, a - int(before[r]), b - int(before[r]), dot, base, other, n))
+        return out
+
+    def compare(self, hashes: np.ndarray, k: int) -> tuple[float, float, float, float, np.ndarray, np.ndarray]:
+        """Most and least cosine to a template, dot product, squares of the templates' words, and the other words with their counts."""
         words, counts = np.unique(hashes, return_counts=True)
         place = self.places(words)
         inside = place < len(self.vocabulary)
         values = counts[inside] * self.idf[place[inside]]
         base, other, n = float((values**2).sum()), words[~inside], counts[~inside]
-        least = float((n.astype(float) ** 2).sum())
-        out = []
-        for k in range(len(self.names)) if only is None else (only,):
-            dot = float(self.vectors[k, place[inside]] @ values)
-            if dot > 0:
-                out.append((dot / sqrt(base + least), dot / sqrt(base + least * self.rare**2), k, dot, base, other, n))
-        return out
-
-
-def units(raw: bytes) -> list[bytes]:
-    """What is compared in a text: each line with a cue, each run of such lines with at most GAP others between, and the whole text."""
-    lower = raw.lower()
-    lines: list[tuple[int, int]] = []
-    for m in CUE.finditer(lower):
-        a, b = raw.rfind(b"\n", 0, m.start()) + 1, raw.find(b"\n", m.end())
-        b = len(raw) if b < 0 else b
-        if not lines or lines[-1] != (a, b):
-            lines.append((a, b))
-    if not lines:
-        return []
-    out, first, last = [raw[a:b] for a, b in lines], *lines[0]
-    for a, b in lines[1:]:
-        if raw.count(b"\n", last, a) > GAP + 1:
-            out.append(raw[first:last])
-            first = a
-        last = b
-    return list(dict.fromkeys([*out, raw[first:last], raw]))
+        least, dot = float((n.astype(float) ** 2).sum()), float(self.vectors[k, place[inside]] @ values)
+        return dot / sqrt(max(base + least, 1e-300)), dot / sqrt(max(base + least * self.rare**2, 1e-300)), dot, base, other, n
 
 
 def word_frequencies(files: DataFrame, text: str = "text") -> DataFrame:
@@ -150,17 +147,26 @@ def word_frequencies(files: DataFrame, text: str = "text") -> DataFrame:
     return files.select(text).mapInArrow(count, "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
 
 
-def _scores(compared: DataFrame, frequencies: DataFrame, n: int) -> DataFrame:
-    """(_row, n: score and k) of the best unit among those with words of no template, weighted by these words' document frequencies too."""
-    units = compared.where(F.size("_open") > 0).select("_row", F.posexplode("_open").alias("_unit", "u"))
-    words = units.select("_row", "_unit", F.col("u.k").alias("k"), F.col("u.dot").alias("dot"), F.col("u.base").alias("base"), F.explode(F.arrays_zip("u.words", "u.counts")).alias("w"))
-    words = words.select("_row", "_unit", "k", "dot", "base", F.col("w.words").alias("word"), F.col("w.counts").alias("count"), F.pmod("_row", F.lit(SALTS)).cast("int").alias("salt"))
+def _decided(compared: DataFrame, frequencies: DataFrame, n: int, names: list[str], accept: float) -> DataFrame:
+    """(_row, own_license, score) of the rows with stretches to compare, the words of no template weighted by their document frequencies too."""
+    units = compared.select("_row", F.posexplode("_open").alias("_unit", "u"))
+    words = units.select("_row", "_unit", F.explode(F.arrays_zip("u.words", "u.counts")).alias("w"))
+    words = words.select("_row", "_unit", F.col("w.words").alias("word"), F.col("w.counts").alias("count"), F.pmod("_row", F.lit(SALTS)).cast("int").alias("salt"))
     # Common words are in many units, so each word is looked up in SALTS copies.
     idf = F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + 1)) + 1
     weights = words.select("word").distinct().join(frequencies, "word", "left").select("word", idf.alias("idf"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    weighted = words.join(weights, ["word", "salt"]).groupBy("_row", "_unit", "k", "dot", "base").agg(F.sum((F.col("count") * F.col("idf")) ** 2).alias("rest"))
-    score = F.round(F.col("dot") / F.sqrt(F.col("base") + F.col("rest")), 12)
-    return weighted.groupBy("_row").agg(F.max(F.struct(score.alias("score"), (-F.col("k")).alias("k"))).alias("n"))
+    rest = words.join(weights, ["word", "salt"]).groupBy("_row", "_unit").agg(F.sum((F.col("count") * F.col("idf")) ** 2).alias("rest"))
+    score = F.round(F.col("u.dot") / F.sqrt(F.col("u.base") + F.coalesce("rest", F.lit(0.0))), 12)
+    name = F.get(F.array(*[F.lit(x) for x in names]), F.col("u.k"))
+    scored = units.join(rest, ["_row", "_unit"], "left").select("_row", score.alias("score"), name.alias("name"), F.col("u.a").alias("a"), F.col("u.b").alias("b"))
+    # The best stretch of each licence in a row, so at most as many as there are licences; then the best of these: the most similar, the first, the least name.
+    best = scored.groupBy("_row", "name").agg(F.max_by(F.struct("score", (-F.col("a")).alias("before"), "a", "b", "name"), F.struct("score", -F.col("a"))).alias("s"))
+    rows = best.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct((-F.col("s.score")).alias("order"), F.col("s.a").alias("a"), "name", F.col("s.b").alias("b")))).alias("all"))
+    top = F.col("all")[0]
+    beside = F.filter("all", lambda x: (x["name"] != top["name"]) & (x["a"] < top["b"]) & (x["b"] > top["a"]))
+    second = F.coalesce(F.array_max(F.transform(beside, lambda x: -x["order"])), F.lit(0.0))
+    clear = (-top["order"] >= accept) & (-top["order"] - second >= MARGIN)
+    return rows.select("_row", F.when(clear, top["name"]).alias("own_license"), (-top["order"]).alias("score"))
 
 
 def directory(path: Column) -> Column:
@@ -184,44 +190,32 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", temp
     known.weigh({r[0] & (1 << 64) - 1: r[1] for r in found}, n)
 
     rows = files.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{path}`").alias("_path"), F.col(f"`{text}`").alias("_text"))
-    kind = pa.list_(pa.struct([("k", pa.int32()), ("dot", pa.float64()), ("base", pa.float64()), ("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]))
-    schema = rows.select(*cols, "_path", F.lit(0).cast("long").alias("_row"), F.lit(0.0).alias("_score"), F.lit(0).alias("_k"), F.array().cast("array<struct<k:int,dot:double,base:double,words:array<long>,counts:array<long>>>").alias("_open")).schema
+    kind = pa.list_(pa.struct([("k", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("dot", pa.float64()), ("base", pa.float64()), ("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]))
+    open_type = "array<struct<k:int,a:int,b:int,dot:double,base:double,words:array<long>,counts:array<long>>>"
+    schema = rows.select(*cols, "_path", F.lit(0).cast("long").alias("_row"), F.lit(None).cast("string").alias("_tag"), F.array().cast(open_type).alias("_open")).schema
+    identifiers = {x.lower(): x for x in (*OTHER_IDENTIFIERS, *known.names)}
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
 
         def work(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
             nonlocal row
-            raw, (hashes, before), of_row = data.tobytes(), hashed_words(data, at, ALNUM), {}
-            for r, k, a, b in known.stretches(hashes, before, accept):
-                of_row.setdefault(r, {})[k, hashes[a:b].tobytes()] = None
-            scores, best, undecided = [], [], []
-            for r, (a, b) in enumerate(zip(at, at[1:], strict=False)):
-                cued = units(raw[a:b])
-                near = [x for u in cued for x in known.compare(_hashes(u))]
-                near += [x for k, h in of_row.get(r, {}) for x in known.compare(np.frombuffer(h, np.uint64), k)]
-                # Cosines without other words are known; others matter only if they may be above the greatest that is certain.
-                sure = max((x[1] for x in near), default=0.0)
-                score, k = max(((x[0], -x[2]) for x in near if not len(x[5])), default=(0.0, 0))
-                left = {(x[2], x[5].tobytes(), x[6].tobytes(), x[4]): x for x in near if len(x[5]) and x[0] >= sure and x[0] > score}
-                scores.append(score)
-                best.append(-k)
-                undecided.append([{"k": x[2], "dot": x[3], "base": x[4], "words": x[5].view(np.int64).tolist(), "counts": x[6].tolist()} for x in left.values()])
-            numbers = np.arange(row, row + len(scores))
-            row += len(scores)
-            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(numbers, pa.int64()), pa.array(scores, pa.float64()), pa.array(best, pa.int32()), pa.array(undecided, kind)], schema.names)
+            raw, (hashes, before) = data.tobytes(), hashed_words(data, at, ALNUM)
+            tags = [tagged(raw[a:b], identifiers) for a, b in zip(at, at[1:], strict=False)]
+            near = known.candidates(hashes, before, accept)
+            undecided = [[{"k": k, "a": a, "b": b, "dot": dot, "base": base, "words": other.view(np.int64).tolist(), "counts": n.tolist()} for k, a, b, dot, base, other, n in near.get(r, ())] if tag is None else [] for r, tag in enumerate(tags)]
+            numbers = np.arange(row, row + len(tags))
+            row += len(tags)
+            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(numbers, pa.int64()), pa.array(tags, pa.string()), pa.array(undecided, kind)], schema.names)
 
         yield from by_slice(work, "_text")(batches)
 
     compared = written(rows.mapInArrow(match, schema), "compared_files")
-    scores = _scores(compared, frequencies, n)
-    decided = compared.where(F.size("_open") == 0).drop("_open").unionByName(
-        compared.where(F.size("_open") > 0).drop("_open").join(scores, "_row").withColumn("_n", F.greatest(F.struct("_score", (-F.col("_k")).alias("k")), F.struct(F.col("n.score").alias("_score"), F.col("n.k").alias("k"))))
-        .withColumns({"_score": F.col("_n._score"), "_k": -F.col("_n.k")}).drop("_n", "n")
-    )
-    names = F.array(*[F.lit(x) for x in known.names]) if known.names else F.array(F.lit(None).cast("string"))
-    accepted = F.when((F.col("_score") >= accept) & (F.col("_score") > 0), F.get(names, F.col("_k")))
-    found = written(decided.select(*cols, "_path", accepted.alias("own_license"), F.col("_score").alias("score"), directory(F.col("_path")).alias("_dir")), "own_licenses")
+    decided = _decided(compared.where(F.size("_open") > 0).select("_row", "_open"), frequencies, n, known.names, accept) if known.names else None
+    rest = compared.where(F.size("_open") == 0).select(*cols, "_path", "_row", F.col("_tag").alias("own_license"), F.when(F.col("_tag").isNotNull(), 1.0).otherwise(0.0).alias("score"))
+    found = rest if decided is None else rest.unionByName(compared.where(F.size("_open") > 0).select(*cols, "_path", "_row").join(decided, "_row"))
+    found = written(found.withColumn("_dir", directory(F.col("_path"))), "own_licenses")
+    dropped(compared, frequencies)
     name = F.lower(F.regexp_replace(F.regexp_extract(F.col("_path"), "([^/]*)$", 1), r"\..*$", ""))
     notices = found.where(name.isin(*LICENSE_FILES) & F.col("own_license").isNotNull()).select("_dir", "own_license", "score")
     top = notices.groupBy("_dir").agg(F.max("score").alias("score"))
@@ -235,7 +229,10 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", temp
     ancestors = ancestors.withColumn("salt", F.pmod(F.xxhash64("_dir"), F.lit(SALTS)).cast("int"))
     above = licensed.select(F.col("_dir").alias("above"), "dir_license", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     nearest = ancestors.join(above, ["above", "salt"]).groupBy("_dir").agg(F.max(F.struct("depth", "above", "dir_license")).alias("n")).select("_dir", F.col("n.dir_license").alias("dir_license"), F.col("n.above").alias("above"))
-    out = found.join(nearest, "_dir", "left")
+    # Files look up their directory in SALTS copies too; those without a path have none.
+    salted = nearest.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    inside = found.where("_dir is not null").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(salted, ["_dir", "_salt"], "left")
+    out = inside.unionByName(found.where("_dir is null"), allowMissingColumns=True)
     own = F.col("own_license").isNotNull()
     return out.select(*cols, "own_license", "score", F.coalesce("own_license", "dir_license").alias("license"), F.when(~own, F.col("above")).alias("inherited_from"))
 
