@@ -24,7 +24,7 @@ RANGES = 1 << 16
 MOST_RANGES = 1 << 18
 SAMPLES_PER_RANGE = 24
 #: A range with more than one key is overfull beyond so many times the size aimed at, and is subdivided until none is.
-OVERFULL = 1.5
+OVERFULL = 3.0
 LOW = -(1 << 63)
 HIGH = (1 << 63) - 1
 
@@ -121,10 +121,10 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id
     while True:
         at = sorted(splitters)
         key = F.struct("_h", "_s")
-        found = _ranged(keys, _range_table(spark, at)).groupBy("_range").agg(F.sum("size"), F.count("*"), F.min(key), F.max(key)).collect()
+        found = _ranged(keys, _range_table(spark, at)).groupBy("_range").agg(F.sum("size"), F.count("*"), F.min(key), F.max(key), F.max_by(F.col("_h"), F.struct("size", "_h"))).collect()
         totals = {r[0]: (r[1], r[2]) for r in found}
         # Rows of one key are equal in text and id; such a range can't be cut and stays whole.
-        over = {r[0]: tuple(r[4]) for r in found if r[1] > OVERFULL * aim and r[3] != r[4]}
+        over = {r[0]: (tuple(r[4]), r[5]) for r in found if r[1] > OVERFULL * aim and r[3] != r[4]}
         if not over:
             break
         parts = {k: max(2, round(totals[k][0] / max(1.0, aim))) for k in over}
@@ -133,10 +133,10 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id
         more: dict[int, list] = {k: [] for k in over}
         for h, s, w in _sample(inside, sum(totals[k][0] for k in over), sum(parts.values()) * SAMPLES_PER_RANGE, seed):
             more[bisect_right(at, (h, s))].append((h, s, w))
-        for k, last in over.items():
-            fresh = _splitters(more[k], parts[k]) - splitters if more[k] else set()
-            # The last key of the range can always be parted from the others, so each round gets on.
-            splitters |= fresh or {last}
+        for k, (last, heaviest) in over.items():
+            # The text of the largest record is fenced off. The last key can always be parted from the others, so each round gets on.
+            fresh = (_splitters(more[k], parts[k]) if more[k] else set()) | {(heaviest, LOW)} | ({(heaviest + 1, LOW)} if heaviest < HIGH else set())
+            splitters |= (fresh - splitters) or {last}
         if len(splitters) > MOST_RANGES:
             raise ValueError(f"{len(splitters)} ranges, more than {MOST_RANGES}: the records are too uneven for {shards} shards")
     table = _range_table(spark, at, _deal(at, totals, shards))
