@@ -33,3 +33,14 @@ def test_other_parts_don_t_import_llm():
 @pytest.mark.parametrize("module", ["operators", "sources", "functions", "jobs", "streaming"])
 def test_packages(module):
     assert importlib.import_module(f"voxelgrove.{module}").__doc__
+
+
+def test_a_broken_subpackage_is_an_error(monkeypatch, tmp_path):
+    import __spark_entry__ as e
+
+    (tmp_path / "hollow").mkdir()
+    (tmp_path / "hollow" / "__init__.py").write_text("import a_module_that_is_missing")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    with pytest.raises(ModuleNotFoundError):
+        e._present("hollow.queries")
+    assert not e._present("voxelgrove.absent.queries") and e._present("voxelgrove.jobs.programs")

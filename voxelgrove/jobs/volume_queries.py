@@ -1,6 +1,6 @@
 """Queries over the volumes of the given tables, and the SQL with the same results.
 
-The mask, bin counts, labels and model parameters are those of the blueprint's examples. Results that pass through floating-point sums are rounded on both sides.
+The mask is the largest disc inside the square that the embeddings fill, so it grows with the table. Bin counts, labels and model parameters are those of the blueprint's examples. Results that pass through floating-point sums are rounded on both sides.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from ..functions.voxel import argmax_label, denormalise, nearest_label, normalis
 from ..operators import bimm, denoise, export, geometry, gmm, mask, phases, potts, stencil
 from ..operators import histogram as hist
 from ..sources.archive import Field, archive_slabs
-from ..sources.volumes import embedding_volume, event_volume, from_rods, linear_ids, order_volume, rods
+from ..sources.volumes import cube_side, embedding_volume, event_volume, from_rods, linear_ids, order_volume, rods, square_side
+from . import programs
 
-YC, XC, R = 10, 12, 9
 LABELS = [-0.15, 0.0, 0.15]
 LO, HI = -0.5, 0.5
 MIXTURE = gmm.Mixture([0.3, 0.4, 0.3], [-0.15, 0.0, 0.15], [0.08, 0.06, 0.08])
@@ -30,7 +30,8 @@ def r6(c) -> F.Column:
 
 
 def masked(spark: SparkSession, sf: str) -> DataFrame:
-    return mask.in_cylinder(embedding_volume(spark, sf), YC, XC, R)
+    side = square_side(spark, sf)
+    return mask.in_cylinder(embedding_volume(spark, sf, side), (side - 1) / 2, (side - 1) / 2, side / 2)
 
 
 def unit(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,11 +43,16 @@ def with_gradient(spark: SparkSession, sf: str) -> DataFrame:
     return stencil.gradient_magnitude(unit(spark, sf))
 
 
+def written_gradient(spark: SparkSession, sf: str) -> DataFrame:
+    """For queries that read it more than once."""
+    return hist.once(with_gradient(spark, sf), "gradient")
+
+
 # --- SQL of the same volumes ---
-E_SQL = 'e AS (SELECT CAST(n AS INT) AS n, CAST(vec_id % 20 AS INT) AS "row", CAST(vec_id // 20 AS INT) AS "col", CAST(x AS DOUBLE) AS u FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS n FROM embeddings))'
-M_SQL = f'{E_SQL}, m AS (SELECT * FROM e WHERE ("row" - {YC}) * ("row" - {YC}) + ("col" - {XC}) * ("col" - {XC}) < {R * R})'
+E_SQL = 'side AS (SELECT greatest(1, CAST(floor(sqrt(count(*))) AS BIGINT)) AS s FROM embeddings), e AS (SELECT CAST(n AS INT) AS n, CAST(vec_id % s AS INT) AS "row", CAST(vec_id // s AS INT) AS "col", CAST(x AS DOUBLE) AS u FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS n FROM embeddings), side)'
+M_SQL = f'{E_SQL}, m AS (SELECT e.* FROM e, side WHERE ("row" - (s - 1) / 2.0) * ("row" - (s - 1) / 2.0) + ("col" - (s - 1) / 2.0) * ("col" - (s - 1) / 2.0) < s * s / 4.0)'
 U_SQL = f'{M_SQL}, w AS (SELECT n, "row", "col", CASE WHEN u <= {LO} THEN 0.0 WHEN u >= {HI} THEN 1.0 ELSE CAST((u - {LO}) / {HI - LO} AS DOUBLE) END AS u FROM m)'
-V_SQL = 'e AS (SELECT CAST(event_id % 25 AS INT) AS n, CAST((event_id // 25) % 20 AS INT) AS "row", CAST(event_id // 500 AS INT) AS "col", CAST(value AS DOUBLE) AS u FROM events)'
+V_SQL = 'cube AS (SELECT greatest(1, CAST(floor(pow(count(*), 1 / 3.0) + 0.5) AS BIGINT)) AS s FROM events), e AS (SELECT CAST(event_id % s AS INT) AS n, CAST((event_id // s) % s AS INT) AS "row", CAST(event_id // (s * s) AS INT) AS "col", CAST(value AS DOUBLE) AS u FROM events, cube)'
 O_SQL = 'e AS (SELECT CAST(o_orderkey % 25 AS INT) AS n, CAST((o_orderkey // 25) % 20 AS INT) AS "row", CAST(o_orderkey // 500 AS INT) AS "col", CAST(floor(o_totalprice / 10) AS INT) AS v FROM orders)'
 OTHERS = {"n": '"row", "col"', "row": 'n, "col"', "col": 'n, "row"'}
 
@@ -193,9 +199,10 @@ def bounding_rows(spark, sf):
     return mask.bounding_rows(masked(spark, sf))
 
 
-@query(f'WITH {V_SQL} SELECT n - 7 AS n, "row", "col", round(u, 6) AS u FROM e WHERE n BETWEEN 7 AND 17')
+@query(f'WITH {V_SQL} SELECT CAST(n - (s - s // 2) // 2 AS INT) AS n, "row", "col", round(u, 6) AS u FROM e, cube WHERE n >= (s - s // 2) // 2 AND n < (s - s // 2) // 2 + s // 2')
 def crop_height(spark, sf):
-    return mask.crop_images(event_volume(spark, sf), 25, 11).select("n", "row", "col", r6(F.col("u")).alias("u"))
+    side = cube_side(spark, sf)
+    return mask.crop_images(event_volume(spark, sf, side), side, side // 2).select("n", "row", "col", r6(F.col("u")).alias("u"))
 
 
 @query(f"WITH {O_SQL} SELECT {VOXEL}, round(CASE WHEN v <= 5000 THEN 0.0 WHEN v >= 40000 THEN 1.0 ELSE (v - 5000.0) / 35000.0 END, 6) AS u FROM e")
@@ -208,10 +215,12 @@ def denormalize(spark, sf):
     return unit(spark, sf).select("n", "row", "col", r6(denormalise(F.col("u"), LO, HI)).alias("u"))
 
 
-@query(f"SELECT CAST(k AS INT) AS k, round((c - {LO}) / {HI - LO}, 6) AS c FROM (SELECT unnest(range(3)) AS k, unnest({LABELS}) AS c), (SELECT count(*) AS filled FROM embeddings) WHERE filled > 0")
+@query(f"WITH {U_SQL}, l AS (SELECT {'{labels}'} AS k, avg({LO} + {HI - LO} * u) AS c FROM w GROUP BY 1) SELECT k, round((c - {LO}) / {HI - LO}, 6) AS c FROM l".replace("{labels}", f"list_min([{', '.join(f'{{\'d\': abs({c} - ({LO} + {HI - LO} * u)), \'k\': {k}}}' for k, c in enumerate(LABELS))}]).k"))
 def label_normalize(spark, sf):
-    some = masked(spark, sf).limit(1).select("n")
-    return phases.label_table(spark, LABELS).join(some, F.lit(True), "left_semi").select("k", r6((F.col("c") - LO) / (HI - LO)).alias("c"))
+    """The phases' mean levels, on the volume's own scale from 0 to 1."""
+    levels = unit(spark, sf).withColumn("level", denormalise(F.col("u"), LO, HI))
+    means = levels.groupBy(nearest_label(F.col("level"), LABELS).alias("k")).agg(F.avg("level").alias("c"))
+    return means.select("k", r6((F.col("c") - LO) / (HI - LO)).alias("c"))
 
 
 @query(f"WITH {M_SQL} SELECT round(min(u), 6) AS lo, round(max(u), 6) AS hi FROM m")
@@ -308,12 +317,12 @@ UV_SQL = (
 
 @query(f"WITH {UV_SQL} SELECT * FROM j")
 def uv_hist(spark, sf):
-    return hist.joint_histogram(with_gradient(spark, sf))
+    return hist.joint_histogram(written_gradient(spark, sf))
 
 
 @query(f"WITH {UV_SQL} SELECT 511 - vbin AS y, ubin AS x, CAST(round(ln(count + 1) * 255.0 / (SELECT max(ln(count + 1)) FROM j)) AS INT) AS level FROM j")
 def uv_heat(spark, sf):
-    return hist.heat_map(hist.joint_histogram(with_gradient(spark, sf)))
+    return hist.heat_map(hist.joint_histogram(written_gradient(spark, sf)))
 
 
 @query(f"WITH {G_SQL} SELECT {VOXEL}, round(u, 6) AS u, round(v, 6) AS v FROM w JOIN (SELECT n, \"row\", \"col\", v FROM g) USING (n, \"row\", \"col\")")
@@ -463,7 +472,7 @@ def component_pdfs(spark, sf):
 @query()
 def bimm_truncation_mass(spark, sf):
     """(component, mass) of the window that the volume's own tails give."""
-    uv = with_gradient(spark, sf)
+    uv = written_gradient(spark, sf)
     u = hist.quantiles(hist.histogram(uv, 1024), {"lo": 0.01, "hi": 0.99}, 1024).first()
     v = hist.quantiles(hist.histogram(uv.where("v > 0"), 1024, value="v"), {"hi": 0.99}, 1024).first()
     window = (u.lo, u.hi, v.hi)
@@ -471,14 +480,14 @@ def bimm_truncation_mass(spark, sf):
     return spark.createDataFrame(rows, "component string, mass double")
 
 
-@query(f'WITH {U_SQL} SELECT n, "row", CAST(round(pow(greatest(u, 0.0), {1 / 2.2!r}) * 255) AS INT) AS level FROM w WHERE "col" = 12')
+@query(f'WITH {U_SQL} SELECT n, "row", CAST(round(pow(greatest(u, 0.0), {1 / 2.2!r}) * 255) AS INT) AS level FROM w WHERE "col" = (SELECT s // 2 FROM side)')
 def slice_png(spark, sf):
-    return export.slice_picture(unit(spark, sf), 12)
+    return export.slice_picture(unit(spark, sf), square_side(spark, sf) // 2)
 
 
 @query(
     f'WITH {U_SQL}, b AS (SELECT min("row") r0, max("row") r1, min("col") c0, max("col") c1 FROM w), '
-    'grid AS (SELECT CAST(n.range AS INT) AS n, CAST(r.range AS INT) AS "row", CAST(c.range AS INT) AS "col" FROM range(64) n, range(1000) r, range(1000) c, b WHERE r.range BETWEEN r0 AND r1 AND c.range BETWEEN c0 AND c1) '
+    'grid AS (SELECT CAST(n.range AS INT) AS n, CAST(r.range AS INT) AS "row", CAST(c.range AS INT) AS "col" FROM range(64) n, (SELECT unnest(range(s)) AS range FROM side) r, (SELECT unnest(range(s)) AS range FROM side) c, b WHERE r.range BETWEEN r0 AND r1 AND c.range BETWEEN c0 AND c1) '
     'SELECT n, "row", "col", CASE WHEN u IS NULL THEN 255 ELSE CAST(least(255, greatest(0, round(255 * u))) AS INT) END AS level FROM grid LEFT JOIN w USING (n, "row", "col")'
 )
 def vtk_grid(spark, sf):
@@ -503,26 +512,52 @@ def tv_denoise_full(spark, sf):
 
 @query()
 def potts_segment(spark, sf):
-    """(label, count, fraction) after 40 iterations."""
-    s = potts.segment(masked(spark, sf), LABELS, 30.0, 40, per_round=10)
+    """(label, count, fraction) after all 100 iterations."""
+    s = potts.segment(masked(spark, sf), LABELS, 30.0)
     return s.groupBy("label").agg(F.count("*").alias("count")).withColumn("fraction", F.col("count") / F.sum("count").over(phases.Window.partitionBy()))
 
 
+def _clusters(spark, m: gmm.Mixture) -> DataFrame:
+    return spark.createDataFrame([(k, w, a, s, m.nll) for k, (w, a, s) in enumerate(zip(m.weights, m.means, m.sigmas, strict=True))], "cluster int, weight double, mean double, sigma double, nll double")
+
+
 @query()
 def gmm_fit(spark, sf):
-    """(cluster, weight, mean, sigma, nll)."""
-    m = gmm.fit(masked(spark, sf), LABELS, attempts=2, iterations=15)
-    return spark.createDataFrame([(k, w, a, s, m.nll) for k, (w, a, s) in enumerate(zip(m.weights, m.means, m.sigmas, strict=True))], "cluster int, weight double, mean double, sigma double, nll double")
+    """(cluster, weight, mean, sigma, nll) after 3 attempts (the operator's own number is 10)."""
+    return _clusters(spark, gmm.fit(masked(spark, sf), LABELS, attempts=3))
+
+
+def em_sql(steps: int) -> str:
+    """Common tables p0 (one row: n, wide, and w, m, s of each cluster), p1, p2 ... of the steps from the nearest labels on."""
+    pick = labels_sql("u")
+    first = f"z AS (SELECT count(*) AS n, (max(u) - min(u)) / 2 AS wide FROM m), a AS (SELECT {pick} AS k, avg((u - {LABELS}[{pick} + 1]) * (u - {LABELS}[{pick} + 1])) AS q FROM m GROUP BY 1)"
+    zero = ", ".join(f"{1 / 3!r} AS w{k}, {c} AS m{k}, (SELECT sqrt(q) FROM a WHERE k = {k}) AS s{k}" for k, c in enumerate(LABELS))
+    out = [f"{M_SQL}, {first}, p0 AS (SELECT n, wide, {zero} FROM z)"]
+    for i in range(steps):
+        d = ", ".join(f"w{k} / ({(2 * 3.141592653589793) ** 0.5!r} * s{k}) * exp(-0.5 * (u - m{k}) * (u - m{k}) / (s{k} * s{k})) AS d{k}" for k in range(3))
+        t = ", ".join(f"sum(d{k} / (d0 + d1 + d2)) AS a{k}, sum(d{k} / (d0 + d1 + d2) * u) AS b{k}, sum(d{k} / (d0 + d1 + d2) * u * u) AS c{k}" for k in range(3))
+        new = ", ".join(f"a{k} / n AS w{k}, b{k} / a{k} AS m{k}, sqrt(abs(c{k} / a{k} - (b{k} / a{k}) * (b{k} / a{k}))) AS s{k}" for k in range(3))
+        out.append(f"d{i} AS (SELECT u, p{i}.n, wide, {d} FROM m, p{i}), t{i} AS (SELECT any_value(n) AS n, any_value(wide) AS wide, {t}, sum(-ln(d0 + d1 + d2)) AS nll FROM d{i}), p{i + 1} AS (SELECT n, wide, {new}, nll FROM t{i})")
+    return ", ".join(out)
+
+
+@query(f"WITH {em_sql(3)} " + " UNION ALL ".join(f"SELECT {k} AS cluster, round(w{k}, 6) AS weight, round(m{k}, 6) AS mean, round(s{k}, 6) AS sigma, round(nll, 3) AS nll FROM p3" for k in range(3)))
+def gmm_three_steps(spark, sf):
+    """The fit's first three steps of one attempt."""
+    m = gmm.fit(masked(spark, sf), LABELS, attempts=1, iterations=3)
+    return _clusters(spark, m).select("cluster", *[r6(F.col(c)).alias(c) for c in ("weight", "mean", "sigma")], F.round("nll", 3).alias("nll"))
+
+
+def _bimm_rows(spark, t: bimm.Theta, nll: float) -> DataFrame:
+    whole = phases.mixture_fractions(t.weights, len(t.peaks))
+    return spark.createDataFrame([(t.peaks[k], t.weights[k], whole[k], t.sigma_n, t.sigma_b, t.ds, t.rho, nll) for k in range(len(t.peaks))], "peak double, weight double, fraction double, sigma_n double, sigma_b double, ds double, rho double, nll double")
 
 
 @query()
 def bimm_fit(spark, sf):
-    """(peak, weight, fraction, sigma_n, sigma_b, ds, rho, nll) by phase, from a sample of 5000 eligible voxels."""
+    """(peak, weight, fraction, sigma_n, sigma_b, ds, rho, nll) by phase: both stages over all eligible voxels up to the operator's bound, with 10 batches of 50 iterations and then 60 (the operator's own lengths are 100 of 100 and 10,000)."""
     s = bimm.eligible(with_gradient(spark, sf), *WINDOW)
-    drawn = phases.sample_batches(s, F.col("n") + 64 * (F.col("row") + 20 * F.col("col")), 5000, 500)
-    t, nll = bimm.fit(drawn, THETA, WINDOW, iterations=80)
-    whole = phases.mixture_fractions(t.weights, 3)
-    return spark.createDataFrame([(t.peaks[k], t.weights[k], whole[k], t.sigma_n, t.sigma_b, t.ds, t.rho, nll) for k in range(3)], "peak double, weight double, fraction double, sigma_n double, sigma_b double, ds double, rho double, nll double")
+    return _bimm_rows(spark, *bimm.fit(s, THETA, WINDOW, batches=10, first=(50, 1e-5), last=(60, 1e-4)))
 
 
 @query()
@@ -531,10 +566,111 @@ def circle_fit(spark, sf):
     return geometry.circles(event_volume(spark, sf))
 
 
+CIRCLES_SQL = f'{V_SQL}, q AS (SELECT n, sum(u * "row") / sum(u) AS y, sum(u * "col") / sum(u) AS x, sqrt(sum(u * ("row" * "row" + "col" * "col")) / sum(u)) AS r FROM e GROUP BY n)'
+
+
+@query(
+    f"WITH {CIRCLES_SQL}, two AS (SELECT a.y + t * (b.y - a.y) AS y, a.x + t * (b.x - a.x) AS x FROM (SELECT a, b, (d + a.r - b.r) / 2 / d AS t FROM (SELECT a, b, sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS d FROM q a, q b WHERE a.n < b.n) WHERE d > 0) WHERE t BETWEEN 0 AND 1), "
+    "tri AS (SELECT a, b, c, 2 * (b.y - a.y) AS m11, 2 * (b.x - a.x) AS m12, 2 * (c.y - a.y) AS m21, 2 * (c.x - a.x) AS m22, b.y * b.y + b.x * b.x - b.r * b.r - a.y * a.y - a.x * a.x + a.r * a.r AS k1, c.y * c.y + c.x * c.x - c.r * c.r - a.y * a.y - a.x * a.x + a.r * a.r AS k2, 2 * (b.r - a.r) AS l1, 2 * (c.r - a.r) AS l2 FROM q a, q b, q c WHERE a.n < b.n AND b.n < c.n), "
+    "lin AS (SELECT a, (k1 * m22 - m12 * k2) / det AS p1, (m11 * k2 - k1 * m21) / det AS p2, (l1 * m22 - m12 * l2) / det AS s1, (m11 * l2 - l1 * m21) / det AS s2 FROM (SELECT *, m11 * m22 - m12 * m21 AS det FROM tri) WHERE abs(det) > 1e-12), "
+    "quad AS (SELECT p1, p2, s1, s2, s1 * s1 + s2 * s2 - 1 AS qa, 2 * ((p1 - a.y) * s1 + (p2 - a.x) * s2) + 2 * a.r AS qb, (p1 - a.y) * (p1 - a.y) + (p2 - a.x) * (p2 - a.x) - a.r * a.r AS qc FROM lin), "
+    "root AS (SELECT p1, p2, s1, s2, unnest([(-qb + sqrt(qb * qb - 4 * qa * qc)) / (2 * qa), (-qb - sqrt(qb * qb - 4 * qa * qc)) / (2 * qa)]) AS f FROM quad WHERE abs(qa) > 1e-12 AND qb * qb - 4 * qa * qc >= 0), "
+    "spot AS (SELECT y, x FROM q UNION ALL SELECT y, x FROM two UNION ALL SELECT p1 + s1 * f, p2 + s2 * f FROM root), "
+    "room AS (SELECT spot.y, spot.x, min(q.r - sqrt((q.y - spot.y) * (q.y - spot.y) + (q.x - spot.x) * (q.x - spot.x))) AS r FROM spot, q GROUP BY spot.y, spot.x) "
+    "SELECT round(max(r), 6) AS r FROM room"
+)
+def inscribed_circle(spark, sf):
+    """The largest circle inside a circle of each slice: around its centre of mass, as wide as its radius of gyration about the corner."""
+    u, row, col = F.col("u"), F.col("row"), F.col("col")
+    q = event_volume(spark, sf).groupBy("n").agg((F.sum(u * row) / F.sum(u)).alias("y"), (F.sum(u * col) / F.sum(u)).alias("x"), F.sqrt(F.sum(u * (row * row + col * col)) / F.sum(u)).alias("r"))
+    _, _, r = geometry.inscribed_circle([(c.y, c.x, c.r) for c in q.collect()])  # a row for each slice
+    return spark.createDataFrame([(round(r, 6),)], "r double")
+
+
+@query()
+def volume_mask(spark, sf):
+    """(yc, xc, r) of the circle inside all slices' circles."""
+    return spark.createDataFrame([geometry.volume_mask(event_volume(spark, sf))], "yc double, xc double, r double")
+
+
+# --- the programs ---
+TRANSPOSE_SQL = (
+    f'{V_SQL}, k AS (SELECT CAST(n - (s - s // 2) // 2 AS INT) AS n, "row", "col", u FROM e, cube WHERE n >= (s - s // 2) // 2 AND n < (s - s // 2) // 2 + s // 2 '
+    'AND ("row" - (s - 1) / 2.0) * ("row" - (s - 1) / 2.0) + ("col" - (s - 1) / 2.0) * ("col" - (s - 1) / 2.0) < (s / 2.0 - 1) * (s / 2.0 - 1)), '
+    f"{hist_sql('k', 1024)}, cum AS (SELECT *, (hi - lo) / 1024 AS bw, sum(density) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING) AS cum FROM h), "
+    "cut AS (SELECT coalesce(max(CASE WHEN 0.0137123 / bw >= cum THEN bin END), 0) * any_value(bw) + any_value(lo) AS low, coalesce(min(CASE WHEN 0.9862877 / bw <= cum THEN bin END), 1024) * any_value(bw) + any_value(lo) AS high FROM cum)"
+)
+
+
+@query(f'WITH {TRANSPOSE_SQL} SELECT {VOXEL}, round(CASE WHEN u <= low THEN 0.0 WHEN u >= high THEN 1.0 ELSE (u - low) / (high - low) END, 6) AS u FROM k, cut')
+def program_transpose(spark, sf):
+    """Crop, mask, level range and normalisation of the events' volume, with a radius smaller than the circle's."""
+    side = cube_side(spark, sf)
+    volume = programs.transpose(event_volume(spark, sf, side), side // 2, side / 2 - 1, 0.0137123, circle=((side - 1) / 2, (side - 1) / 2, side / 2))
+    return volume.voxels.select("n", "row", "col", r6(F.col("u")).alias("u"))
+
+
+@query(f"WITH {UV_SQL} SELECT vbin, ubin, count FROM j")
+def program_uv_hist(spark, sf):
+    return programs.uv_hist(programs.Volume(unit(spark, sf), LO, HI))
+
+
+@query(f"WITH {denoise_sql(2)}, o AS (SELECT {VOXEL}, u - {LAM} * ({div_sql(['q1', 'q2', 'q3'])}) AS u FROM t2), {hist_sql('o', 500)} SELECT round((bin + 0.5) / 500, 6) AS brightness, round(density * (hi - lo), 6) AS ch0 FROM h WHERE bin BETWEEN 1 AND 498")
+def program_totalvarmin(spark, sf):
+    """The histogram table after two iterations."""
+    _, _, after = programs.totalvarmin(programs.Volume(masked(spark, sf)), LAM, 2)
+    return after.select(r6(F.col("brightness")).alias("brightness"), r6(F.col("ch0")).alias("ch0"))
+
+
+GMM_PEAKS_SQL = (
+    f"{U_SQL}, dn AS (SELECT {VOXEL}, avg(u) OVER (PARTITION BY \"row\", \"col\" ORDER BY n ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS u FROM w), {hist_sql('dn', 500, '0.0', '1.0')}, {CUM_SQL.format(what='density')}, "
+    "top AS (SELECT coalesce(min(CASE WHEN 0.997 * total <= cum THEN bin END), 500) / 500.0 AS top FROM k), x AS (SELECT u FROM dn, top WHERE u <= top)"
+)
+
+
+def gmm_peaks_sql() -> str:
+    """One EM step from the nearest labels, then the raw statistics by cluster of the denoised values."""
+    c = [(p - LO) / (HI - LO) for p in LABELS]
+    pick = labels_sql("u", c)
+    zero = ", ".join(f"{1 / 3!r} AS w{k}, {x!r} AS m{k}, (SELECT sqrt(q) FROM a WHERE k = {k}) AS s{k}" for k, x in enumerate(c))
+    d = lambda: ", ".join(f"w{k} / ({(2 * 3.141592653589793) ** 0.5!r} * s{k}) * exp(-0.5 * (u - m{k}) * (u - m{k}) / (s{k} * s{k})) AS d{k}" for k in range(3))
+    t = ", ".join(f"sum(d{k} / (d0 + d1 + d2)) AS a{k}, sum(d{k} / (d0 + d1 + d2) * u) AS b{k}, sum(d{k} / (d0 + d1 + d2) * u * u) AS c{k}" for k in range(3))
+    new = ", ".join(f"a{k} / n AS w{k}, b{k} / a{k} AS m{k}, sqrt(abs(c{k} / a{k} - (b{k} / a{k}) * (b{k} / a{k}))) AS s{k}" for k in range(3))
+    return (
+        f"{GMM_PEAKS_SQL}, a AS (SELECT {pick} AS k, avg((u - {c}[{pick} + 1]) * (u - {c}[{pick} + 1])) AS q FROM x GROUP BY 1), p0 AS (SELECT {zero}), d0 AS (SELECT u, {d()} FROM x, p0), "
+        f"t0 AS (SELECT count(*) AS n, {t} FROM d0), p1 AS (SELECT {new} FROM t0), y AS (SELECT {VOXEL}, {d()} FROM dn, p1), z AS (SELECT {VOXEL}, CASE WHEN d0 >= d1 AND d0 >= d2 THEN 0 WHEN d1 >= d2 THEN 1 ELSE 2 END AS cluster FROM y) "
+        f'SELECT cluster, count(*) AS count, round(avg({LO} + {HI - LO} * u), 6) AS mean, round(coalesce(var_samp({LO} + {HI - LO} * u), 0.0), 6) AS variance, round(count(*) / sum(count(*)) OVER (), 6) AS fraction FROM w JOIN z USING (n, "row", "col") GROUP BY cluster'
+    )
+
+
+@query(f"WITH {gmm_peaks_sql()}")
+def program_gmm_peaks(spark, sf):
+    """Tail, filter, one EM step, and the raw statistics by cluster; denoised by a mean of three."""
+    raw = unit(spark, sf)
+    quiet = phases.denoised_by_mean(raw).withColumnRenamed("d", "u")
+    _, found = programs.gmm_peaks(programs.Volume(quiet, LO, HI), programs.Volume(raw, LO, HI), LABELS, attempts=1, iterations=1)
+    return found.select("cluster", "count", *[r6(F.col(c)).alias(c) for c in ("mean", "variance", "fraction")])
+
+
+@query()
+def program_bimm_peaks(spark, sf):
+    """The fit of the volume within the window that its own tails give, with 10 batches of 20 iterations and then 60."""
+    found = programs.bimm_peaks(programs.Volume(unit(spark, sf), LO, HI), LABELS, batches=10, first=(20, 1e-5), last=(60, 1e-4))
+    return _bimm_rows(spark, found.theta, found.nll)
+
+
+@query(f"WITH {M_SQL} SELECT {VOXEL}, {labels_sql('u')} AS label FROM m")
+def program_potts_model(spark, sf):
+    """With a data term so strong that the nearest label stays."""
+    found = programs.potts_model(programs.Volume(masked(spark, sf)), LABELS, 1e9, 2)
+    return found.select("n", "row", "col", "label")
+
+
 @query(f'WITH {M_SQL} SELECT {VOXEL}, round(u, 5) AS u FROM m')
 def archive_round_trip(spark, sf):
     """The masked volume written as archives of four columns each and decoded again."""
-    slabs = archive_slabs(masked(spark, sf), IMAGES, 20, 100, 4)
+    side = square_side(spark, sf)
+    slabs = archive_slabs(masked(spark, sf), IMAGES, side, side, 4)
 
     def decode(batches):
         for b in batches:

@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .gmm import draw
+
 NODES = 80
 
 
@@ -220,26 +222,55 @@ def minimise(f, x: list[float], step: float = 0.5, iterations: int = 200, stop:
     return points[k].tolist(), float(values[k])
 
 
-def fit(samples: DataFrame, start: Theta, window: tuple[float, float, float], iterations: int = 120, max_ds: float = 1.5, count: int = 24, most: int = 200_000) -> tuple[Theta, float]:
-    """Maximum likelihood from a sample of (u, v) of at most ``most`` rows, a fixed bound, which the driver evaluates with numpy."""
-    rows = np.array(samples.select("u", "v").limit(most).collect(), float).reshape(-1, 2)
-    u, v = rows[:, 0], rows[:, 1]
-
-    def cost(x) -> float:
-        t = restrict(list(x), len(start.peaks), max_ds)
-        s2 = t.sigma_n**2
-        a = s2 * (1 - t.rho)
-        p = np.zeros(len(u))
-        for i, peak in enumerate(t.peaks):
-            p += t.weights[i] * 2 * sqrt(2) / pi / (s2 * s2 * (1 - t.rho) ** 1.5) * v * v * np.exp(-0.5 * (u - peak) ** 2 / s2 - v * v / a)
-        for k, (i, j) in enumerate(t.pairs):
-            level, g, w = np.array(nodes(t, i, j, count)).T
-            inner = np.exp(-0.5 * (u[:, None] - level) ** 2 / s2 - (v[:, None] - g) ** 2 / a) * -np.expm1(-4 * v[:, None] * g / a) / np.maximum(g, 1e-300)
-            p += t.weights[len(t.peaks) + k] * (1 / (2 * sqrt(2) * pi)) * v / (t.ds * t.sigma_n * sqrt(a)) * (inner @ w)
-        z = total_mass(t, *window, count)
-        return float(-np.log(np.maximum(p, 1e-300)).mean() + log(max(z, 1e-300)))
+def first_guess(peaks: list[float], max_ds: float = 1.5) -> Theta:
+    """Where a fit begins: the given peaks, equal phases, hardly any interface, all else in the middle of its range."""
+    k = len(peaks)
+    pairs = k * (k - 1) // 2
+    weights = [0.0] * (k - 1) + [inverse_sigmoid(0.99 * LIMITS["weight"][0], *LIMITS["weight"])] * pairs
+    return restrict([*weights, *[inverse_sigmoid(p, *LIMITS["peak"]) for p in peaks], 0.0, 0.0, 0.0, 0.0], k, max_ds)
+
+
+#: Sizes of the fit: samples, batches of the first stage, iterations and the simplex's size to stop at in both.
+SAMPLE, BATCHES = 1_000_000, 100
+FIRST, LAST = (100, 1e-5), (10_000, 1e-4)
+_PART = 1 << 15
 
+
+def mean_cost(u: np.ndarray, v: np.ndarray, t: Theta, window: tuple[float, float, float], count: int) -> float:
+    """The mean negative logarithm of the density inside the window, a part of the samples at a time."""
+    s2 = t.sigma_n**2
+    a, total = s2 * (1 - t.rho), 0.0
+    at = [np.array(nodes(t, i, j, count)).T for i, j in t.pairs]
+    for k in range(0, len(u), _PART):
+        x, y = u[k : k + _PART], v[k : k + _PART]
+        p = sum(w * np.exp(-0.5 * (x - peak) ** 2 / s2) for w, peak in zip(t.weights, t.peaks, strict=False)) * (2 * sqrt(2) / pi / (s2 * s2 * (1 - t.rho) ** 1.5)) * y * y * np.exp(-y * y / a)
+        for w, (level, g, weight) in zip(t.weights[len(t.peaks) :], at, strict=True):
+            g = np.maximum(g, 1e-300)
+            inner = np.exp(-0.5 * (x[:, None] - level) ** 2 / s2 - (y[:, None] - g) ** 2 / a) * -np.expm1(-4 * y[:, None] * g / a) / g
+            p = p + w / (2 * sqrt(2) * pi) * y / (t.ds * t.sigma_n * sqrt(a)) * (inner @ weight)
+        total -= float(np.log(np.maximum(p, 1e-300)).sum())
+    return total / len(u) + log(max(total_mass(t, *window, count), 1e-300))
+
+
+def spark_cost(samples: DataFrame, start: Theta, window: tuple[float, float, float], max_ds: float = 1.5, count: int = 24):
+    """The cost of free numbers over all rows of a table: one grouping a call, whatever the table's size."""
+    return lambda x: float(negative_log_likelihood(samples, restrict(list(x), len(start.peaks), max_ds), window, count).first().nll)
+
+
+def fit(samples: DataFrame, start: Theta, window: tuple[float, float, float], key: tuple[str, ...] = ("n", "row", "col"), most: int = SAMPLE, batches: int = BATCHES, first: tuple[int, float] = FIRST, last: tuple[int, float] = LAST, max_ds: float = 1.5, count: int = 24, on_executors: bool = False) -> tuple[Theta, float]:
+    """Maximum likelihood of (u, v): a simplex search over one batch of the samples after another, each from where the last one ended, then over all of them.
+
+    The samples are those whose keys have the lowest hashes, at most ``most`` (16 MB at the default), so they come from the whole volume; a batch is every ``batches``-th of them.
+    Their cost is evaluated in numpy; with ``on_executors`` the second stage's by Spark over every row of ``samples`` instead. Without a row: the start, and NaN.
+    """
+    drawn = samples.select(*key, "u", "v")
+    u, v = draw(drawn, ["u", "v"], list(key), most)
     if not len(u):
         return start, float("nan")
-    x, value = minimise(cost, free(start, max_ds), iterations=iterations)
+    x = free(start, max_ds)
+    for k in range(min(batches, len(u))):
+        own = slice(k, None, batches)
+        x, _ = minimise(lambda y, own=own: mean_cost(u[own], v[own], restrict(list(y), len(start.peaks), max_ds), window, count), x, step=1.0 if k == 0 else 0.3, iterations=first[0], stop=first[1])
+    whole = spark_cost(drawn, start, window, max_ds, count) if on_executors else lambda y: mean_cost(u, v, restrict(list(y), len(start.peaks), max_ds), window, count)
+    x, value = minimise(whole, x, iterations=last[0], stop=last[1])
     return restrict(x, len(start.peaks), max_ds), value

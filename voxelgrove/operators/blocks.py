@@ -24,11 +24,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/voxelgrove/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._voxelgrove_path = path
+    return found
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes a table of ``written`` that nothing will read again; any other is left alone."""
+    if path := getattr(table, "_voxelgrove_path", None):
+        spark = table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 @dataclass

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import AXES, Dense, run_round, written
+from .blocks import AXES, Dense, dropped, run_round, written
 from .stencil import divergence, following
 
 TAU = 0.165
@@ -36,8 +36,9 @@ def denoise(voxels: DataFrame, iterations: int = ITERATIONS, lam: float = LAMBDA
     while left > 0:
         n = min(per_round, left)
         left -= n
-        state = run_round(state, ["u", *DUAL], lambda d, n=n: iterate(d, n, lam, tau), block, n + 1, ["u", *DUAL, "r"])
-        state = written(state, f"dual_{left}")
+        after = written(run_round(state, ["u", *DUAL], lambda d, n=n: iterate(d, n, lam, tau), block, n + 1, ["u", *DUAL, "r"]), f"dual_{left}")
+        dropped(state)
+        state = after
     return divergence(state, ("q1", "q2", "q3")).withColumn("d", F.col("u") - lam * F.col("div")).select(*AXES, "u", "d", *(["r"] if "r" in state.columns else []))
 
 

@@ -16,7 +16,8 @@ def slice_picture(voxels: DataFrame, col: int, value: str = "u") -> DataFrame:
 def image_grid(voxels: DataFrame, images: int, value: str = "u") -> DataFrame:
     """(n, row, col, level) for every place of the mask's bounding box, 255 outside of the mask: three small ranges are joined, then the voxels by key."""
     box = voxels.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
-    grid = box.select(F.explode(F.sequence("c0", "c1")).alias("col"), "r0", "r1").select(F.explode(F.sequence("r0", "r1")).alias("row"), "col")
+    # The box is one row; its columns are dealt out before they become lines.
+    grid = box.select(F.explode(F.sequence("c0", "c1")).alias("col"), "r0", "r1").repartition("col").select(F.explode(F.sequence("r0", "r1")).alias("row"), "col")
     grid = grid.select(F.explode(F.sequence(F.lit(0), F.lit(images - 1))).alias("n"), "row", "col")
     levels = voxels.select("n", "row", "col", byte_level(F.col(value)).cast("int").alias("level"))
     return grid.join(levels, ["n", "row", "col"], "left").select("n", "row", "col", F.coalesce("level", F.lit(255)).alias("level"))

@@ -1,23 +1,39 @@
-"""The cylinder's circle: one for each slice on the executors, then the largest that lies inside all of them."""
+"""The cylinder's circle: one for each slice on the executors, then the largest that lies inside all of them.
+
+A slice's levels are counted and its white runs found by Spark; only the counts of 256 levels and the runs of one slice come together in a task.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
-def otsu(levels: np.ndarray) -> int:
-    """The 8-bit threshold that parts the levels best; above it is white."""
-    p = np.bincount(levels.ravel(), minlength=256) / levels.size
+def otsu(counts: np.ndarray) -> int:
+    """The 8-bit threshold that parts the levels best, of their 256 counts; above it is white."""
+    p = counts / max(1, counts.sum())
     w, m = np.cumsum(p), np.cumsum(p * np.arange(256))
     with np.errstate(divide="ignore", invalid="ignore"):
         between = (m[-1] * w - m) ** 2 / (w * (1 - w))
-    return int(np.nan_to_num(between).argmax())
+    return int(np.nan_to_num(between, posinf=0.0).argmax())
 
 
-def largest_part(white: np.ndarray) -> np.ndarray:
-    """Points (row, col) of the largest 8-connected part. Parts are found by runs of rows joined with the runs above."""
+def runs_of(white: np.ndarray) -> list[tuple[int, int, int]]:
+    """(row, first col, last col) of the runs of a picture's white points."""
+    out = []
+    for r, line in enumerate(white):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], line.astype(np.int8), [0]])))
+        out += [(r, int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    return out
+
+
+def largest_part(runs: Iterable[tuple[int, int, int]]) -> np.ndarray:
+    """Ends (row, col) of the runs of the largest 8-connected part; they are enough for the enclosing circle. runs: by row, then by col."""
     parents: list[int] = []
 
     def root(k: int) -> int:
@@ -26,29 +42,25 @@ def largest_part(white: np.ndarray) -> np.ndarray:
             k = parents[k]
         return k
 
-    above: list[tuple[int, int, int]] = []
-    runs: list[tuple[int, int, int, int]] = []
-    for r, line in enumerate(white):
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], line.astype(np.int8), [0]])))
-        now = []
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            k = len(parents)
-            parents.append(k)
-            for c, d, j in above:
-                if c <= b and a <= d:
-                    x, y = root(j), root(k)
-                    parents[max(x, y)] = min(x, y)
-            now.append((a, b, k))
-            runs.append((r, a, b, k))
-        above = now
-    if not runs:
+    all_runs, above, now, at = [], [], [], None
+    for r, a, b in runs:
+        if r != at:
+            above, now, at = (now if at == r - 1 else []), [], r
+        k = len(parents)
+        parents.append(k)
+        for c, d, j in above:
+            if c <= b + 1 and a <= d + 1:
+                x, y = root(j), root(k)
+                parents[max(x, y)] = min(x, y)
+        now.append((a, b, k))
+        all_runs.append((r, a, b))
+    if not all_runs:
         return np.zeros((0, 2))
     size: dict[int, int] = {}
-    for _, a, b, k in runs:
-        size[root(k)] = size.get(root(k), 0) + b - a
+    for k, (_, a, b) in enumerate(all_runs):
+        size[root(k)] = size.get(root(k), 0) + b - a + 1
     best = min(size, key=lambda k: (-size[k], k))
-    # A run's ends are enough for the enclosing circle.
-    return np.array([(r, c) for r, a, b, k in runs if root(k) == best for c in {a, b - 1}], float)
+    return np.array([(r, c) for k, (r, a, b) in enumerate(all_runs) if root(k) == best for c in {a, b}], float)
 
 
 def enclosing_circle(points: np.ndarray, seed: int = 0) -> tuple[float, float, float]:
@@ -94,43 +106,94 @@ def slice_circle(page: np.ndarray) -> tuple[float, float, float]:
     """(row, col, radius) of the object in a picture: thresholded at its best level, turned round if the border is mostly white."""
     span = page.max() - page.min()
     levels = np.rint((page - page.min()) * (255.0 / span if span else 0.0)).astype(np.uint8)
-    white = levels > otsu(levels)
+    white = levels > otsu(np.bincount(levels.ravel(), minlength=256))
     border = sum(int(x.sum()) for x in (white[0], white[-1], white[:, 0], white[:, -1]))
-    return enclosing_circle(largest_part(~white if border > sum(white.shape) else white))
+    return enclosing_circle(largest_part(runs_of(~white if border > sum(white.shape) else white)))
 
 
 def circles(voxels: DataFrame, value: str = "u") -> DataFrame:
-    """(n, yc, xc, r) for each slice; a slice is one picture, which a task holds."""
+    """(n, yc, xc, r) for each slice, its pages starting at row and col 0. A place without a voxel is black; a slice without an object has a circle of radius 0 at 0, 0."""
+    u = F.col(value).cast("double")
+    size = voxels.groupBy("n").agg(F.min(u).alias("lo"), F.max(u).alias("hi"), (F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
+    # A row for each slice, joined to the voxels.
+    scale = F.when(F.col("hi") > F.col("lo"), F.lit(255.0) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    levels = voxels.join(F.broadcast(size), "n").select("n", "row", "col", "h", "w", F.rint((u - F.col("lo")) * scale).cast("int").alias("level"))
+    at_edge = (F.col("row") == 0).cast("int") + (F.col("row") == F.col("h") - 1).cast("int") + (F.col("col") == 0).cast("int") + (F.col("col") == F.col("w") - 1).cast("int")
+    counts = levels.groupBy("n", "h", "w", "level").agg(F.count("*").alias("count"), F.sum(at_edge).alias("edge"))
+
+    def cut(table: pa.Table) -> pa.Table:
+        n, h, w = (int(table.column(c)[0].as_py()) for c in ("n", "h", "w"))
+        level, count, edge = (table.column(c).to_numpy() for c in ("level", "count", "edge"))
+        every = np.bincount(level, count, 256)
+        every[0] += h * w - count.sum()
+        threshold = otsu(every)
+        return pa.table({"n": pa.array([n], pa.int32()), "threshold": pa.array([threshold], pa.int32()), "turned": pa.array([bool(edge[level > threshold].sum() > h + w)])})
+
+    cuts = counts.groupBy("n").applyInArrow(cut, "n int, threshold int, turned boolean")
+    white = levels.join(F.broadcast(cuts), "n").where((F.col("level") > F.col("threshold")) != F.col("turned"))
+    line = Window.partitionBy("n", "row").orderBy("col")
+    ends = white.select("n", "row", "col", (F.coalesce(F.lag("col").over(line), F.lit(-2)) != F.col("col") - 1).alias("first"), (F.coalesce(F.lead("col").over(line), F.lit(-2)) != F.col("col") + 1).alias("last")).where("first or last")
+    runs = ends.withColumn("to", F.when(F.col("last"), F.col("col")).otherwise(F.lead("col").over(line))).where("first").select("n", "row", "col", "to")
 
     def find(table: pa.Table) -> pa.Table:
-        n, row, col, u = (table.column(c).to_numpy() for c in ("n", "row", "col", value))
-        page = np.full((row.max() + 1, col.max() + 1), float(u.min()))
-        page[row, col] = u
-        yc, xc, r = slice_circle(page)
+        n, row, a, b = (table.column(c).to_numpy() for c in ("n", "row", "col", "to"))
+        order = np.lexsort((a, row))
+        yc, xc, r = enclosing_circle(largest_part(zip(row[order].tolist(), a[order].tolist(), b[order].tolist(), strict=True)))
         return pa.table({"n": pa.array([int(n[0])], pa.int32()), "yc": [yc], "xc": [xc], "r": [r]})
 
-    return voxels.select("n", "row", "col", value).groupBy("n").applyInArrow(find, "n int, yc double, xc double, r double")
-
-
-def inscribed_circle(found: list[tuple[float, float, float]], steps: int = 200) -> tuple[float, float, float]:
-    """The largest circle inside all of them: the centre where min(r_i - distance_i), a concave function, is greatest, by bisection of the radius and projections."""
-    c = np.array(found, float)
-    at = c[:, :2].mean(axis=0)
-
-    def room(p: np.ndarray) -> float:
-        return float((c[:, 2] - np.hypot(*(c[:, :2] - p).T)).min())
-
-    best, width = (room(at), at), float(np.ptp(c[:, :2], axis=0).max()) + 1e-9
-    for _ in range(steps):
-        moves = best[1] + width * np.array([(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-        value, k = max((room(m), i) for i, m in enumerate(moves))
-        if value > best[0] + 1e-15:
-            best = (value, moves[k])
-        else:
-            width /= 2
-        if width < 1e-12:
-            break
-    return float(best[1][0]), float(best[1][1]), best[0]
+    found = runs.groupBy("n").applyInArrow(find, "n int, yc double, xc double, r double")
+    zero = F.lit(0.0)
+    return size.select("n").join(found, "n", "left").select("n", F.coalesce("yc", zero).alias("yc"), F.coalesce("xc", zero).alias("xc"), F.coalesce("r", zero).alias("r"))
+
+
+def _binding_centres(c: np.ndarray) -> list[tuple[float, float]]:
+    """Centres where one, two or three of the circles can bind: a circle's own; on the line of two centres; where three have equal room."""
+    out = [(float(y), float(x)) for y, x, _ in c]
+    for i, j in combinations(range(len(c)), 2):
+        d = float(np.hypot(*(c[j, :2] - c[i, :2])))
+        if d > 0:
+            # As far from the first centre as its radius exceeds the room left.
+            t = (d + c[i, 2] - c[j, 2]) / 2 / d
+            if 0 <= t <= 1:
+                out.append(tuple((c[i, :2] + t * (c[j, :2] - c[i, :2])).tolist()))
+    for i, j, k in combinations(range(len(c)), 3):
+        p, r = c[[i, j, k], :2], c[[i, j, k], 2]
+        left = 2 * (p[1:] - p[0])
+        if abs(np.linalg.det(left)) < 1e-14:
+            continue
+        # distance = r_i - room for all three: two differences are linear in the centre and the room, the rest is a quadratic in the room.
+        square = (p * p).sum(axis=1) - r * r
+        base, slope = np.linalg.solve(left, square[1:] - square[0]), np.linalg.solve(left, 2 * (r[1:] - r[0]))
+        b = base - p[0]
+        for room in np.roots([slope @ slope - 1, 2 * (b @ slope) + 2 * r[0], b @ b - r[0] * r[0]]):
+            if abs(room.imag) < 1e-9 * max(1.0, abs(room)):
+                out.append(tuple((base + slope * room.real).tolist()))
+    return out
+
+
+def inscribed_circle(found: list[tuple[float, float, float]]) -> tuple[float, float, float]:
+    """The largest circle inside all of them (row, col, radius; negative if they have no point in common).
+
+    The room at a centre, min(r_i - distance_i), is concave, and at most three circles bind where it is greatest. The circle violated most joins those seen to bind, the best centre for
+    these is found among those of their subsets, and so on until no circle is violated: exact but for rounding, after a few rounds.
+    """
+    c = np.unique(np.array(found, float), axis=0)
+
+    def room(at: tuple[float, float], of: np.ndarray) -> np.ndarray:
+        return of[:, 2] - np.hypot(of[:, 0] - at[0], of[:, 1] - at[1])
+
+    binding = [int(c[:, 2].argmin())]
+    at = (float(c[binding[0], 0]), float(c[binding[0], 1]))
+    value = float(c[binding[0], 2])
+    while True:
+        rooms = room(at, c)
+        worst = int(rooms.argmin())
+        if worst in binding or rooms[worst] >= value - 1e-12 * max(1.0, abs(value)):
+            return at[0], at[1], float(rooms.min())
+        binding.append(worst)
+        some = c[binding]
+        at = max(_binding_centres(some), key=lambda p: float(room(p, some).min()))
+        value = float(room(at, some).min())
 
 
 def volume_mask(voxels: DataFrame, value: str = "u") -> tuple[float, float, float]:

@@ -1,4 +1,8 @@
-"""Gaussian mixtures of intensities: every step is one grouping of the samples; the driver holds the few parameters only."""
+"""Gaussian mixtures of intensities.
+
+``moments`` makes a step one grouping of all samples. ``fit``, which takes hundreds of steps, works on a sample drawn by the hash of the voxels' keys, of at most ``SAMPLE`` numbers
+(32 MB), with the same sums in numpy.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,9 @@ from pyspark.sql import functions as F
 
 #: What a sample without any density is charged.
 TINY = 2.2250738585072014e-308
+#: Numbers that the fit is made from, at most.
+SAMPLE = 4_000_000
+ATTEMPTS, ITERATIONS, TOLERANCE = 10, 4000, 1e-9
 
 
 @dataclass
@@ -41,45 +48,86 @@ def assign(samples: DataFrame, mixture: Mixture, value: str = "u") -> DataFrame:
     return samples.withColumn("cluster", -best["k"])
 
 
-def fit(samples: DataFrame, centers: list[float], value: str = "u", attempts: int = 3, iterations: int = 60, tolerance: float = 1e-9, seed: int = 0) -> Mixture:
-    """The best of several attempts; each begins where the last one ended, with moved centres. A cluster that loses its samples is set wide again."""
-    k = len(centers)
-    samples = samples.select(F.col(value).alias("x")).where("x is not null").cache()
-    n, lo, hi = samples.agg(F.count("*"), F.min("x"), F.max("x")).first()
-    wide = (hi - lo) / 2 or 1.0
-    nearest = F.array_min(F.transform(F.array(*[F.lit(float(c)) for c in centers]), lambda c, i: F.struct(F.abs(c - F.col("x")).alias("d"), i.alias("k"))))
-    found = {r[0]: r[1] for r in samples.groupBy(nearest["k"].alias("k")).agg(F.avg(nearest["d"] * nearest["d"])).collect()}
-    m = Mixture([1.0 / k] * k, [float(c) for c in centers], [sqrt(found.get(i, 0.0)) or wide for i in range(k)])
-    rng, best = np.random.default_rng(seed), None
-    try:
-        for _ in range(attempts):
-            before = None
-            for _ in range(iterations):
-                r = moments(samples, m, "x").first()
-                least = min(m.weights) * 1e-9
-                weights, means, sigmas = [], list(m.means), list(m.sigmas)
-                for i in range(k):
-                    w = r[f"w_{i}"]
-                    if w > least and w > 0:
-                        means[i] = r[f"s1_{i}"] / w
-                        sigmas[i] = sqrt(abs(r[f"s2_{i}"] / w - means[i] ** 2))
-                    else:
-                        sigmas[i] = wide
-                    weights.append(w / n)
-                weights = [w / sum(weights) for w in weights]
-                for i in range(k):
-                    if sigmas[i] < 1e-12:
-                        sigmas[i] = wide
-                        weights = [w * (1 - 1 / k) for w in weights]
-                        weights[i] = 1 / k
-                        weights = [w / sum(weights) for w in weights]
-                m = Mixture(weights, means, sigmas, r["nll"])
-                if before is not None and abs(before - m.nll) < tolerance * abs(m.nll):
-                    break
-                before = m.nll
-            if best is None or m.nll < best.nll:
-                best = m
-            m = Mixture(m.weights, [x + float(rng.uniform(-wide / 2, wide / 2)) for x in m.means], m.sigmas)
-    finally:
-        samples.unpersist()
+def sums(x: np.ndarray, m: Mixture) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The same sums as ``moments`` of an array: w, s1 and s2 by cluster, and nll."""
+    d = np.stack([w / (sqrt(2 * pi) * s) * np.exp(-0.5 * (x - a) ** 2 / (s * s)) for w, a, s in zip(m.weights, m.means, m.sigmas, strict=True)])
+    total = d.sum(axis=0)
+    share = np.where(total > 0, d / np.where(total > 0, total, 1.0), 1.0 / len(d))
+    return share.sum(axis=1), share @ x, share @ (x * x), float(-np.log(np.where(total > 0, total, TINY)).sum())
+
+
+def next_mixture(m: Mixture, n: int, w: np.ndarray, s1: np.ndarray, s2: np.ndarray, wide: float) -> Mixture:
+    """The mixture whose weights, means and deviations are those of the shares.
+
+    A cluster without a share worth counting keeps its mean and is set wide; one that has shrunk to a point is set wide and takes an equal part of the weight from the others.
+    """
+    k = len(w)
+    held = w > max(0.0, min(m.weights) * 1e-9)
+    safe = np.where(held, w, 1.0)
+    means = np.where(held, s1 / safe, m.means)
+    sigmas = np.where(held, np.sqrt(np.abs(s2 / safe - means**2)), wide)
+    weights = w / n
+    weights = weights / weights.sum()
+    for point in np.flatnonzero(sigmas < 1e-12):
+        sigmas[point] = wide
+        weights *= 1 - 1 / k
+        weights[point] = 1 / k
+        weights /= weights.sum()
+    return Mixture(weights.tolist(), means.tolist(), sigmas.tolist())
+
+
+def start(x: np.ndarray, centers: list[float]) -> Mixture:
+    """Equal weights at the given centres; deviations of the samples nearest to each."""
+    c = np.array(centers, float)
+    nearest = np.abs(x[:, None] - c).argmin(axis=1)
+    square = (x - c[nearest]) ** 2
+    count = np.bincount(nearest, minlength=len(c))
+    spread = np.sqrt(np.bincount(nearest, square, len(c)) / np.maximum(1, count))
+    return Mixture([1 / len(c)] * len(c), c.tolist(), np.where(spread > 0, spread, _width(x)).tolist())
+
+
+def _width(x: np.ndarray) -> float:
+    return float(x.max() - x.min()) / 2 or 1.0
+
+
+def draw(samples: DataFrame, values: list[str], key: list[str], most: int) -> list[np.ndarray]:
+    """At most ``most`` rows without a null value, those of the keys with the lowest hashes, in order of the hash: the same for the same rows, however they are dealt out.
+
+    Their number is known beforehand but for a few roots of ``most``, so little more than the bound comes to the driver.
+    """
+    h = F.xxhash64(*[F.col(c) for c in key], F.lit(31))
+    rows = samples.dropna(subset=values).select(h.alias("h"), *[F.col(c).cast("double").alias(c) for c in values])
+    total = rows.count()
+    if total > most:
+        below = -(1 << 63) + int((1 << 64) * (most + 6 * sqrt(most)) / total)
+        rows = rows.where(F.col("h") < F.lit(min(below, (1 << 63) - 1)))
+    found = rows.toArrow()
+    columns = [found.column(c).to_numpy() for c in ("h", *values)]
+    order = np.lexsort(columns[::-1])[:most]
+    return [c[order] for c in columns[1:]]
+
+
+def fit_values(x: np.ndarray, centers: list[float], attempts: int = ATTEMPTS, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, seed: int = 0) -> Mixture:
+    """The best of several attempts; each begins where the last one ended, with moved centres."""
+    m, rng, best, wide = start(x, centers), np.random.default_rng(seed), None, _width(x)
+    for _ in range(attempts):
+        before = None
+        for _ in range(iterations):
+            *parts, nll = sums(x, m)
+            m = next_mixture(m, len(x), *parts, wide)
+            m.nll = nll
+            if before is not None and abs(before - nll) < tolerance * abs(nll):
+                break
+            before = nll
+        if best is None or m.nll < best.nll:
+            best = m
+        m = Mixture(m.weights, [a + float(rng.uniform(-wide / 2, wide / 2)) for a in m.means], m.sigmas)
     return best
+
+
+def fit(samples: DataFrame, centers: list[float], value: str = "u", key: tuple[str, ...] | None = None, attempts: int = ATTEMPTS, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, seed: int = 0, most: int = SAMPLE) -> Mixture:
+    """A mixture with a cluster for each centre; raises ValueError if there is no sample. ``key``: what tells the samples apart, the voxel's place if None (or the value, where there is no place)."""
+    (x,) = draw(samples, [value], list(key or [c for c in ("n", "row", "col") if c in samples.columns] or [value]), most)
+    if not len(x):
+        raise ValueError("there is no sample to fit a mixture to")
+    return fit_values(x, centers, attempts, iterations, tolerance, seed)

@@ -8,6 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .blocks import written
+
+
+def once(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder, for what is dear and read by several jobs (a range first, then the counts)."""
+    return written(df, name)
+
 
 def value_range(voxels: DataFrame, value: str = "u") -> DataFrame:
     return voxels.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))

@@ -35,6 +35,11 @@ def crop_images(voxels: DataFrame, images: int, height: int) -> DataFrame:
     return voxels.where(F.col("n").between(first, first + height - 1)).withColumn("n", F.col("n") - first)
 
 
+def below(voxels: DataFrame, top: float, value: str = "u") -> DataFrame:
+    """Voxels whose value is not above ``top``: those that a mixture is fitted to."""
+    return voxels.where(F.col(value) <= top)
+
+
 def require_equal_size(a: DataFrame, b: DataFrame) -> int:
     """The number of voxels that both volumes have; raises ValueError if they differ."""
     n, m = a.count(), b.count()

@@ -42,9 +42,17 @@ def denoised_by_mean(voxels: DataFrame, value: str = "u") -> DataFrame:
 
 def statistics_by_label(raw: DataFrame, denoised: DataFrame, labels: list[float]) -> DataFrame:
     """(label, count, mean, variance, fraction) of raw values, labelled by the denoised value at the same place; the variance of a single voxel is 0."""
-    both = align(raw, denoised).withColumn("label", nearest_label(F.col("d"), labels))
-    by = both.groupBy("label").agg(F.count("*").alias("count"), F.avg("u").alias("mean"), F.coalesce(F.var_samp("u"), F.lit(0.0)).alias("variance"))
-    return by.withColumn("fraction", F.col("count") / F.sum("count").over(Window.partitionBy()))
+    return _statistics(align(raw, denoised).withColumn("label", nearest_label(F.col("d"), labels)), "label")
+
+
+def statistics_by_cluster(raw: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(cluster, count, mean, variance, fraction) of raw values by the cluster (n, row, col, cluster) at the same place."""
+    return _statistics(align(raw, clusters), "cluster")
+
+
+def _statistics(voxels: DataFrame, by: str) -> DataFrame:
+    found = voxels.groupBy(by).agg(F.count("*").alias("count"), F.avg("u").alias("mean"), F.coalesce(F.var_samp("u"), F.lit(0.0)).alias("variance"))
+    return found.withColumn("fraction", F.col("count") / F.sum("count").over(Window.partitionBy()))
 
 
 def fractions(voxels: DataFrame, labels: list[float], value: str = "u") -> DataFrame:

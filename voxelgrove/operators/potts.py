@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.voxel import argmax_label, check_labels, nearest_label
-from .blocks import AXES, Dense, run_round, written
+from .blocks import AXES, Dense, dropped, run_round, written
 
 TAU = 0.99 * sqrt(1 / 12)
 ITERATIONS = 100
@@ -32,26 +32,28 @@ def project_simplex(q: np.ndarray) -> np.ndarray:
 
 
 def project_pairs(q: np.ndarray) -> np.ndarray:
-    """Vectors (K, 3, ...) to where every two differ by 1 at most: Dykstra's alternating projections."""
-    k = len(q)
-    q = q.copy()
-    kept = {}
+    """Vectors (K, 3, ...) to where every two differ by 1 at most: Dykstra's alternating projections. A voxel stops when it has settled, whatever others do."""
+    k, shape = len(q), q.shape
+    q = q.reshape(k, 3, -1).copy()
+    live = np.arange(q.shape[2])
+    kept = {(i, j): np.zeros((3, q.shape[2])) for i in range(k - 1) for j in range(i + 1, k)}
     for _ in range(SWEEPS):
-        most = 0.0
-        for i in range(k - 1):
-            for j in range(i + 1, k):
-                old = kept.get((i, j), 0.0)
-                h = q[j] - q[i] + old
-                length = np.sqrt((h * h).sum(axis=0))
-                over = np.where(length > 1, (length - 1) / np.maximum(length, 1e-300), 0.0) * h
-                delta = 0.5 * (over - old)
-                most = max(most, float(np.sqrt((delta * delta).sum(axis=0)).max(initial=0.0)))
-                q[i] += delta
-                q[j] -= delta
-                kept[i, j] = over
-        if most < STOP:
+        x = q[:, :, live]
+        most = np.zeros(len(live))
+        for (i, j), old in kept.items():
+            h = x[j] - x[i] + old[:, live]
+            length = np.sqrt((h * h).sum(axis=0))
+            over = np.where(length > 1, (length - 1) / np.maximum(length, 1e-300), 0.0) * h
+            delta = 0.5 * (over - old[:, live])
+            most = np.maximum(most, np.sqrt((delta * delta).sum(axis=0)))
+            x[i] += delta
+            x[j] -= delta
+            old[:, live] = over
+        q[:, :, live] = x
+        live = live[most >= STOP]
+        if not len(live):
             break
-    return q
+    return q.reshape(shape)
 
 
 def iterate(d: Dense, labels: list[float], iterations: int, lam: float, tau: float) -> dict[str, np.ndarray]:
@@ -78,7 +80,7 @@ def iterate(d: Dense, labels: list[float], iterations: int, lam: float, tau: flo
     return out
 
 
-def segment(voxels: DataFrame, labels: list[float], lam: float, iterations: int = ITERATIONS, tau: float = TAU, block: tuple[int, int, int] = (48, 48, 48), per_round: int = 10) -> DataFrame:
+def segment(voxels: DataFrame, labels: list[float], lam: float, iterations: int = ITERATIONS, tau: float = TAU, block: tuple[int, int, int] = (48, 48, 48), per_round: int = 6) -> DataFrame:
     """(n, row, col, u, label, c): the label of the largest share and its intensity; the nearest label to begin with."""
     labels = check_labels(labels)
     k = len(labels)
@@ -92,8 +94,9 @@ def segment(voxels: DataFrame, labels: list[float], lam: float, iterations: int
         n = min(per_round, left)
         left -= n
         # An iteration looks one voxel on for the gradient and one back for the divergence.
-        state = run_round(state, columns, lambda d, n=n: iterate(d, labels, n, lam, tau), block, 2 * n, [*columns, "r"])
-        state = written(state, f"shares_{left}")
+        after = written(run_round(state, columns, lambda d, n=n: iterate(d, labels, n, lam, tau), block, 2 * n, [*columns, "r"]), f"shares_{left}")
+        dropped(state)
+        state = after
     label = argmax_label(F.array(*[F.col(f"v{i}") for i in range(k - 1)]))
     out = state.withColumn("label", label)
     return out.select(*AXES, "u", "label", F.element_at(F.array(*[F.lit(c) for c in labels]), F.col("label") + 1).alias("c"))

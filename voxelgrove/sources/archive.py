@@ -39,12 +39,23 @@ class BitReader:
 
 class BitWriter:
     def __init__(self):
-        self.value, self.bits = [], 0
+        self.whole, self.rest, self.bits = bytearray(), 0, 0  # full bytes, and the bits after them
 
     def write(self, x: int, bits: int) -> None:
-        if bits:
-            self.value.append(format(x & ((1 << bits) - 1), f"0{bits}b"))
-            self.bits += bits
+        value, n = (self.rest << bits) | (x & ((1 << bits) - 1)), self.bits + bits
+        self.bits = n % 8
+        self.whole += (value >> self.bits).to_bytes(n // 8, "big")
+        self.rest = value & ((1 << self.bits) - 1)
+
+    def array(self, values: np.ndarray) -> None:
+        """All bits of an array's numbers, high byte first: shifted as bytes, not number by number."""
+        raw = np.frombuffer(values.astype(values.dtype.newbyteorder(">")).tobytes(), np.uint8)
+        if self.bits and len(raw):
+            joined = np.concatenate([np.array([self.rest << (8 - self.bits)], np.uint16), raw.astype(np.uint16) << (8 - self.bits)])
+            self.whole += ((joined[:-1] & 0xFF) | (joined[1:] >> 8)).astype(np.uint8).tobytes()
+            self.rest = int(raw[-1]) & ((1 << self.bits) - 1)
+        else:
+            self.whole += raw.tobytes()
 
     def unsigned(self, x: int) -> None:
         n = (x + 1).bit_length()
@@ -55,9 +66,7 @@ class BitWriter:
         self.unsigned(2 * x - 1 if x > 0 else -2 * x)
 
     def bytes(self) -> bytes:
-        text = "".join(self.value)
-        text += "0" * (-len(text) % 8)
-        return int(text or "0", 2).to_bytes(len(text) // 8, "big")
+        return bytes(self.whole) + (bytes([self.rest << (8 - self.bits)]) if self.bits else b"")
 
 
 @dataclass
@@ -96,9 +105,7 @@ class Field:
         if floating:
             for x in (self.lo, self.hi):
                 w.write(int(np.float32(x).view(np.uint32)), 32)
-        bits = self.values.dtype.itemsize * 8
-        for x in self.values.view(f"u{self.values.dtype.itemsize}").ravel().tolist():
-            w.write(x, bits)
+        w.array(self.values)
         return w.bytes()
 
     @classmethod

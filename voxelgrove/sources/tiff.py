@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Tags of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES, COUNTS, FORMAT = 256, 257, 258, 259, 273, 277, 279, 339
@@ -16,33 +17,38 @@ SIZES = {1: ("B", 1), 3: ("H", 2), 4: ("I", 4), 16: ("Q", 8)}
 
 def pages(data: bytes) -> list[np.ndarray]:
     """All pages; raises ValueError on any other kind of file, or pages that differ in size."""
+    return list(each_page(data))
+
+
+def each_page(data: bytes) -> Iterator[np.ndarray]:
+    """One page after the other."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack(order + "H", data[2:4])[0] != 42:
         raise ValueError("not a TIFF file")
-    at, out = struct.unpack(order + "I", data[4:8])[0], []
+    at, shape, n = struct.unpack(order + "I", data[4:8])[0], None, 0
     while at:
         tags = {}
         count = struct.unpack(order + "H", data[at : at + 2])[0]
         for k in range(count):
-            tag, kind, n, raw = struct.unpack(order + "HHI4s", data[at + 2 + 12 * k : at + 14 + 12 * k])
+            tag, kind, many, raw = struct.unpack(order + "HHI4s", data[at + 2 + 12 * k : at + 14 + 12 * k])
             if kind in SIZES:
                 code, size = SIZES[kind]
-                if n * size > 4:
+                if many * size > 4:
                     where = struct.unpack(order + "I", raw)[0]
-                    raw = data[where : where + n * size]
-                tags[tag] = struct.unpack(f"{order}{n}{code}", raw[: n * size])
+                    raw = data[where : where + many * size]
+                tags[tag] = struct.unpack(f"{order}{many}{code}", raw[: many * size])
         bits, form = tags.get(BITS, (1,))[0], tags.get(FORMAT, (1,))[0]
         if tags.get(SAMPLES, (1,))[0] != 1 or (bits, form) not in ((16, 1), (32, 3)):
             raise ValueError(f"pages must be one channel of 16-bit unsigned or 32-bit float; this one has {bits} bits of format {form}")
         if tags.get(COMPRESSION, (1,))[0] != 1:
             raise ValueError("compressed pages are not read")
-        strips = b"".join(data[a : a + n] for a, n in zip(tags[OFFSETS], tags[COUNTS], strict=True))
+        strips = b"".join(data[a : a + size] for a, size in zip(tags[OFFSETS], tags[COUNTS], strict=True))
         page = np.frombuffer(strips, order + ("u2" if bits == 16 else "f4")).reshape(tags[HEIGHT][0], tags[WIDTH][0])
-        if out and page.shape != out[0].shape:
-            raise ValueError(f"page {len(out)} has size {page.shape}, the first {out[0].shape}")
-        out.append(page)
+        if shape is not None and page.shape != shape:
+            raise ValueError(f"page {n} has size {page.shape}, the first {shape}")
+        shape, n = page.shape, n + 1
+        yield page
         at = struct.unpack(order + "I", data[at + 2 + 12 * count : at + 6 + 12 * count])[0]
-    return out
 
 
 def encode(stack: np.ndarray) -> bytes:
@@ -64,14 +70,32 @@ def encode(stack: np.ndarray) -> bytes:
 
 
 def read_stacks(spark: SparkSession, path: str) -> DataFrame:
-    """(path, n, row, col, u) of all stacks at ``path``, a page at a time."""
+    """(path, n, row, col, u) of all stacks at ``path``, a page at a time.
+
+    A file is read whole by one task, and Spark's binary source ends at 2 GB: a scan comes as files of fewer pages, whose order in the names (zero-padded) is the pages' order; ``n`` counts on
+    from file to file (see ``stacked``).
+    """
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, content in zip(b.path, b.content, strict=True):
-                for n, page in enumerate(pages(bytes(content))):
+                for n, page in enumerate(each_page(bytes(content))):
                     row, col = np.indices(page.shape, dtype=np.int32)
                     yield pd.DataFrame({"path": name, "n": np.int32(n), "row": row.ravel(), "col": col.ravel(), "u": page.ravel().astype(np.float64)})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(decode, "path string, n int, row int, col int, u double")
+
+
+def stacked(pages: DataFrame) -> DataFrame:
+    """(n, row, col, u) of one volume from the stacks of ``read_stacks``: the pages of all files in order of their names. Raises ValueError if pages differ in size."""
+    sizes = pages.groupBy("path").agg((F.max("n") + 1).alias("count"), (F.max("row") + 1).alias("h"), (F.max("col") + 1).alias("w"))
+    found = sorted((r["path"], r["count"], r["h"], r["w"]) for r in sizes.collect())  # a row for each file
+    if len({(h, w) for *_, h, w in found}) > 1:
+        raise ValueError(f"pages differ in size: {sorted({(h, w) for *_, h, w in found})}")
+    before, total = [], 0
+    for path, count, *_ in found:
+        before.append((path, total))
+        total += count
+    first = pages.sparkSession.createDataFrame(before, "path string, first int")
+    return pages.join(F.broadcast(first), "path").select((F.col("n") + F.col("first")).alias("n"), "row", "col", "u")

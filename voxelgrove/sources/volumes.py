@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def embedding_volume(spark: SparkSession, sf_dir: str, rows: int = 20) -> DataFrame:
-    """(n, row, col, u): the elements of an embedding lie along n."""
+def square_side(spark: SparkSession, sf_dir: str) -> int:
+    """The side of the square cross-section of the embeddings' volume: the root of their number, rounded down. The number is read off the files' footers."""
+    return max(1, isqrt(spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()))
+
+
+def embedding_volume(spark: SparkSession, sf_dir: str, rows: int | None = None) -> DataFrame:
+    """(n, row, col, u): the elements of an embedding lie along n; rows and columns both grow with the table."""
+    rows = rows or square_side(spark, sf_dir)
     vec = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.posexplode("embedding").alias("n", "u"))
     return vec.select("n", (F.col("vec_id") % rows).cast("int").alias("row"), F.expr(f"vec_id div {rows}").cast("int").alias("col"), F.col("u").cast("double").alias("u"))
 
 
-def event_volume(spark: SparkSession, sf_dir: str, images: int = 25, rows: int = 20) -> DataFrame:
-    """(n, row, col, u) of the events' values."""
+def cube_side(spark: SparkSession, sf_dir: str) -> int:
+    """The cube root of the number of events, rounded."""
+    return max(1, int(spark.read.parquet(f"{sf_dir}/events.parquet").count() ** (1 / 3) + 0.5))
+
+
+def event_volume(spark: SparkSession, sf_dir: str, side: int | None = None) -> DataFrame:
+    """(n, row, col, u) of the events' values; all three axes grow with the table."""
+    side = side or cube_side(spark, sf_dir)
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select(*_indices("event_id", images, rows), F.col("value").cast("double").alias("u"))
+    return e.select(*_indices("event_id", side, side), F.col("value").cast("double").alias("u"))
 
 
 def order_volume(spark: SparkSession, sf_dir: str, images: int = 25, rows: int = 20) -> DataFrame:
