@@ -2,35 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import dropped, written
 
-#: A node's neighbours are dealt to so many parts, so that a hub is no single key.
-PARTS = 64
 #: Rounds grow with the logarithm of the nodes; more than these mean a mistake.
 MOST_ROUNDS = 200
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    """``pairs`` (u, v) with m, the least of u and its neighbours. A node's least is found in two steps and joined back by node and part: no key has more than its part of a hub."""
-    parted = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
-    of_part = parted.groupBy("u", "part").agg(F.min("v").alias("m"))
-    least = of_part.groupBy("u").agg(F.least(F.col("u"), F.min("m")).alias("m"))
-    return parted.join(of_part.select("u", "part").join(least, "u"), ["u", "part"]).select("u", "v", "m")
+    """``pairs`` (u, v) with m, the least of u and its neighbours. One shuffle; the rows of a hub are sorted and read by one task, which spills and never holds them all."""
+    return pairs.select("u", "v", F.least(F.col("u"), F.min("v").over(Window.partitionBy("u"))).alias("m"))
+
+
+def _both(a: str, b: str) -> Column:
+    """Two rows of one: (a, b) and (b, a)."""
+    return F.inline(F.array(F.struct(F.col(a).alias("u"), F.col(b).alias("v")), F.struct(F.col(b).alias("u"), F.col(a).alias("v"))))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the least of the node and its neighbours."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    return _least(both).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+    return _least(edges.select(_both("a", "b"))).where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are tied to the least of them. edges: a < b."""
     found = _least(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    return found.select(F.col("m").alias("a"), F.col("v").alias("b")).union(found.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b")
+    return found.select(F.explode(F.array("u", "v")).alias("b"), F.col("m").alias("a")).where("a <> b").select("a", "b")
 
 
 def contract(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -42,8 +41,8 @@ def contract(edges: DataFrame, name: str = "components") -> DataFrame:
     e = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}_edges_0")
     for k in range(1, MOST_ROUNDS + 1):
         # Stars: no node is both a centre and a leaf, and each leaf has one centre.
-        counts = e.groupBy("b").agg(F.count("*").alias("n"))
-        loose = counts.where("n > 1").isEmpty() and e.select("b").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty()
+        ends = e.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("leaf")), F.struct(F.col("b").alias("node"), F.lit(1).alias("leaf")))))
+        loose = ends.groupBy("node").agg(F.sum("leaf").alias("n"), F.min("leaf").alias("least")).where("n > 1 or (n = 1 and least = 0)").isEmpty()
         if loose:
             return e.select(F.col("b").alias("node"), F.col("a").alias("root")).union(e.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         after = written(_small_star(_large_star(e).distinct()).distinct(), f"{name}_edges_{k}")
