@@ -52,6 +52,128 @@ def test_tiff(spark, tmp_path):
             tiff.pages(data)
 
 
+def lzw(data):
+    """A plain LZW encoder of the format: high bits first, codes one wider as soon as the next but one needs it."""
+    out, width, known, last = [], 9, {bytes([k]): k for k in range(256)}, b""
+    bits = f"{256:09b}"
+    for byte in data:
+        text = last + bytes([byte])
+        if text in known:
+            last = text
+            continue
+        bits += f"{known[last]:0{width}b}"
+        known[text] = len(known) + 2
+        if len(known) + 2 == 4094:
+            bits += f"{256:0{width}b}"
+            known, width = {bytes([k]): k for k in range(256)}, 9
+        else:
+            width = max(9, (len(known) + 2).bit_length())
+        last = bytes([byte])
+    bits += f"{known[last]:0{width}b}" if last else ""
+    bits += f"{257:0{max(9, (len(known) + 3).bit_length())}b}"
+    bits += "0" * (-len(bits) % 8)
+    return bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8))
+
+
+def pack_bits(data):
+    out, at = b"", 0
+    while at < len(data):
+        run = next((k for k in range(1, 128) if data[at + k : at + k + 1] != data[at : at + 1]), 128)
+        if run > 2:
+            out, at = out + bytes([257 - run, data[at]]), at + run
+        else:
+            part = data[at : at + 5]
+            out, at = out + bytes([len(part) - 1]) + part, at + len(part)
+    return out
+
+
+def tiff_file(page, order, big, rows, way, predictor):
+    """One page in strips, written by hand in either byte order."""
+    import struct
+    import zlib
+
+    h, w = page.shape
+    kind, item = (page.dtype.kind, page.dtype.itemsize)
+    strips = []
+    for r in range(0, h, rows):
+        part = page[r : r + rows].astype(order + page.dtype.str[1:])
+        if predictor == 2:
+            whole = part.view(order + f"u{item}").astype(f"u{item}")
+            part = np.diff(whole, axis=1, prepend=np.zeros((len(part), 1), whole.dtype)).astype(order + f"u{item}")
+        raw = part.tobytes()
+        if predictor == 3:
+            planes = np.ascontiguousarray(page[r : r + rows].astype(">f4")).view(np.uint8).reshape(-1, w, 4).transpose(0, 2, 1).reshape(len(part), -1)
+            raw = np.diff(planes, axis=1, prepend=np.zeros((len(part), 1), np.uint8)).astype(np.uint8).tobytes()
+        strips.append({1: lambda x: x, 5: lzw, 8: zlib.compress, 32773: pack_bits}[way](raw))
+    o, entry = ("Q", "HHQ") if big else ("I", "HHI")
+    room = 8 if big else 4
+    body = bytearray((b"II" if order == "<" else b"MM") + (struct.pack(order + "HHH", 43, 8, 0) if big else struct.pack(order + "H", 42)) + struct.pack(order + o, 0))
+    at = []
+    for x in strips:
+        at.append(len(body))
+        body += x
+    tags = [(256, "I", 4, [w]), (257, "I", 4, [h]), (258, "H", 3, [8 * item]), (259, "H", 3, [way]), (273, o, 16 if big else 4, at), (277, "H", 3, [1]), (278, "I", 4, [rows]), (279, "I", 4, [len(x) for x in strips]), (317, "H", 3, [predictor]), (339, "H", 3, [3 if kind == "f" else 1])]
+    rows_of = []
+    for tag, code, number, values in tags:
+        raw = struct.pack(f"{order}{len(values)}{code}", *values)
+        if len(raw) > room:
+            raw, start = struct.pack(order + o, len(body)), raw
+            body += start
+        rows_of.append(struct.pack(order + entry, tag, number, len(values)) + raw.ljust(room, b"\0"))
+    where = len(body)
+    body += struct.pack(order + ("Q" if big else "H"), len(tags)) + b"".join(rows_of) + struct.pack(order + o, 0)
+    body[8 if big else 4 : 16 if big else 8] = struct.pack(order + o, where)
+    return bytes(body)
+
+
+@pytest.mark.parametrize("way", [1, 5, 8, 32773])
+@pytest.mark.parametrize(("kind", "predictor"), [("u2", 1), ("u2", 2), ("f4", 1), ("f4", 2), ("f4", 3)])
+def test_tiff_compressions(way, kind, predictor):
+    rng = np.random.default_rng(way + predictor)
+    page = (rng.integers(0, 7, (61, 83)) * rng.integers(0, 9000, (61, 83))).astype(kind) if kind == "u2" else (rng.standard_normal((61, 83)).round(1) * 1000).astype(kind)
+    for order, big, rows in (("<", False, 61), (">", True, 7), (">", False, 10)):
+        (got,) = tiff.pages(tiff_file(page, order, big, rows, way, predictor))
+        assert (got == page).all()
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    stack = rng.integers(0, 1 << 16, (9, 50, 70)).astype("u2")
+    for k, (a, b, more) in enumerate(((0, 5, {"big": True, "tile": (16, 32), "deflate": True}), (5, 6, {}), (6, 9, {"tile": (16, 16)}))):
+        (tmp_path / f"scan-{k}.tif").write_bytes(tiff.encode(stack[a:b], **more))
+    scan = tiff.Scan.open(spark, str(tmp_path / "*.tif"))
+    assert (scan.images, scan.shape, scan.kind) == (9, (50, 70), "u2")
+    v = scan.voxels(part_bytes=4096)
+    assert v.rdd.getNumPartitions() > 12
+    got = np.full(stack.shape, -1.0)
+    rows = v.toPandas()
+    assert len(rows) == stack.size
+    got[rows.n, rows.row, rows.col] = rows.u
+    assert (got == stack).all()
+    middle = scan.voxels(4, 3).toPandas()
+    assert len(middle) == 3 * 50 * 70 and (middle.sort_values(["n", "row", "col"]).u.to_numpy().reshape(3, 50, 70) == stack[4:7]).all()
+    (tmp_path / "z.tif").write_bytes(tiff.encode(stack[:1, :49]))
+    with pytest.raises(ValueError, match="differ"):
+        tiff.Scan.open(spark, [str(tmp_path / "scan-0.tif"), str(tmp_path / "z.tif")])
+
+
+def test_broken_tiff_files():
+    page = np.arange(4000).reshape(50, 80).astype("u2")
+    whole = tiff_file(page, "<", False, 50, 1, 1)
+    for bad in (b"", b"II", b"GIF89a__", whole[:-60], b"II*\0\x08\0\0\0" + b"\0\0" + b"\x08\0\0\0"):
+        with pytest.raises(ValueError):
+            tiff.pages(bad)
+    with pytest.raises(ValueError, match="LZW"):
+        tiff._lzw(bytes([0xFF, 0x00, 0x10]))
+
+
+def test_written_scan(spark, tmp_path):
+    v = embedding_volume(spark, "/root/testdata/sf0.001").selectExpr("n", "row", "col", "cast((u + 1) * 20000 as int) as u")
+    tiff.write_scan(v, str(tmp_path / "scan"), pages_each=7)
+    back = tiff.Scan.open(spark, str(tmp_path / "scan")).voxels()
+    assert back.join(v, ["n", "row", "col"]).where(back.u == v.u).count() == v.count()
+
+
 def test_text_table(spark, tmp_path):
     write_table(spark.createDataFrame([(0.5, 1.25), (0.75, 2.0)], "brightness double, ch0 double").coalesce(1), str(tmp_path / "t"))
     assert sorted(map(tuple, read_table(spark, str(tmp_path / "t")).collect())) == [(0.5, 1.25), (0.75, 2.0)]
