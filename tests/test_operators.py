@@ -191,6 +191,122 @@ def test_inscribed_circle_is_the_best_of_all_pairs_and_triples():
         assert all(room((y + dy, x + dx), c) <= r + 1e-9 for dy, dx in rng.normal(0, 10.0 ** rng.uniform(-6, 0), (20, 2)))
 
 
+def enclosed(white):
+    """Of each part of a picture, 8-connected: the area inside the polygon through its outermost points' centres. Holes are what the outside can't reach over edges."""
+    h, w = white.shape
+    wide = np.pad(white, 1)
+    reach = np.zeros_like(wide)
+    queue = [(0, 0)]
+    reach[0, 0] = True
+    while queue:
+        r, c = queue.pop()
+        for y, x in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
+            if 0 <= y < h + 2 and 0 <= x < w + 2 and not wide[y, x] and not reach[y, x]:
+                reach[y, x] = True
+                queue.append((y, x))
+    full, seen, out = ~reach, np.zeros_like(wide), []
+    for r, c in zip(*np.nonzero(full), strict=True):
+        if seen[r, c]:
+            continue
+        own, queue = np.zeros_like(wide), [(r, c)]
+        own[r, c] = seen[r, c] = True
+        while queue:
+            a, b = queue.pop()
+            for y in (a - 1, a, a + 1):
+                for x in (b - 1, b, b + 1):
+                    if 0 <= y < h + 2 and 0 <= x < w + 2 and full[y, x] and not seen[y, x]:
+                        own[y, x] = seen[y, x] = True
+                        queue.append((y, x))
+        corners = own[:-1, :-1].astype(int) + own[1:, :-1] + own[:-1, 1:] + own[1:, 1:]
+        out.append(((corners == 4).sum() + 0.5 * (corners == 3).sum(), own[1:-1, 1:-1]))
+    return out
+
+
+def test_the_part_that_encloses_most_wins():
+    yy, xx = np.indices((140, 150))
+    far = np.hypot(yy - 55, xx - 55)
+    ring = (far <= 50) & (far > 49)
+    square = (yy >= 108) & (yy < 138) & (xx >= 115) & (xx < 145)
+    inner = (np.abs(yy - 55) <= 20) & (np.abs(xx - 55) <= 20)
+    assert square.sum() > ring.sum() and inner.sum() > ring.sum()
+    for page in (ring | square, ring | square | inner):
+        y, x, r = geometry.enclosing_circle(geometry.largest_part(geometry.runs_of(page)))
+        assert np.allclose((y, x, r), (55, 55, 50), atol=0.01)
+    assert geometry.enclosed_areas(geometry.runs_of(ring))[0][0] == enclosed(ring)[0][0] > 7600
+    broken = ring & ~((yy == 5) & (np.abs(xx - 55) < 3))
+    y, x, r = geometry.enclosing_circle(geometry.largest_part(geometry.runs_of(broken | square)))
+    assert np.allclose((y, x), (122.5, 129.5), atol=0.6)
+    rng = np.random.default_rng(20)
+    for k in range(120):
+        page = rng.random((rng.integers(1, 14), rng.integers(1, 14))) < (0.3, 0.5, 0.65, 0.9)[k % 4]
+        want = sorted(((float(a), int(own.argmax())) for a, own in enclosed(page)))
+        got = sorted((float(a), int(r) * page.shape[1] + int(c)) for a, (r, c), _ in geometry.enclosed_areas(geometry.runs_of(page)))
+        assert got == want
+        if want:
+            area, own = max(enclosed(page), key=lambda x: (x[0], -x[1].argmax()))
+            assert {tuple(p) for p in geometry.largest_part(geometry.runs_of(page)).astype(int)} <= set(zip(*map(list, np.nonzero(own)), strict=True))
+
+
+def test_rings_and_specks_in_slices(spark):
+    yy, xx = np.indices((60, 60))
+    pages = []
+    for k in range(3):
+        far = np.hypot(yy - 28 - k, xx - 30)
+        pages.append(((far <= 20) & (far > 18)) * 1.0 + ((yy > 50) & (xx > 45)) * 1.0 + ((yy == 28) & (np.abs(xx - 30) < 4)) * 1.0)
+    for r in geometry.circles(volume(spark, np.stack(pages))).collect():
+        assert np.allclose((r.yc, r.xc, r.r), (28 + r.n, 30, 20), atol=0.01)
+    y, x, r = geometry.volume_mask(volume(spark, np.stack(pages)))
+    assert np.allclose((y, x, r), (29, 30, 19), atol=0.01)
+
+
+def test_dithering_follows_the_keys(spark):
+    from voxelgrove.operators import histogram as hist
+
+    rng = np.random.default_rng(21)
+    v = volume(spark, np.round(rng.random((8, 9, 10)), 1))
+    counts = lambda t, **more: [r["count"] for r in hist.histogram(t, 64, jitter=0.05, **more).orderBy("bin").collect()]
+    one = counts(v.repartition(7))
+    assert one == counts(v.coalesce(1)) == counts(v.repartition(3, "u")) and one != counts(v, seed=1)
+    plain = [r["count"] for r in hist.histogram(v, 64).orderBy("bin").collect()]
+    assert sum(c > 0 for c in one) > 2 * sum(c > 0 for c in plain)
+    noise = np.array([r[0] for r in v.select(hist.noise(0)).collect()])
+    assert 0 <= noise.min() < 0.01 and 0.99 < noise.max() < 1 and abs(noise.mean() - 0.5) < 0.05
+
+
+def test_traces_of_the_solvers_are_those_of_the_whole_volume(spark):
+    from voxelgrove.operators.blocks import Dense
+
+    x = np.random.default_rng(22).random((11, 9, 10))
+    inside = np.ones(x.shape, bool)
+    whole = denoise.iterate(Dense(inside, {"u": x, "q1": np.zeros_like(x), "q2": np.zeros_like(x), "q3": np.zeros_like(x)}), 5, 0.2, 0.165)["trace"]
+    _, trace = denoise.denoise_traced(volume(spark, x), 5, 0.2, block=(4, 5, 6), per_round=2)
+    got = [r.maxdeltaq for r in trace.orderBy("iter").collect()]
+    assert np.allclose(got, np.sqrt(whole)) and got[0] > got[-1] and len(got) == 5
+    labels = [0.2, 0.5, 0.9]
+    _, trace = potts.segment_traced(volume(spark, x), labels, 4.0, 3, block=(6, 6, 6), per_round=2)
+    shares = {f"{p}{i}": (np.abs(x[..., None] - labels).argmin(-1) == i) * 1.0 for i in range(2) for p in "vb"}
+    state = Dense(inside, {"u": x, **shares, **{f"x{i}_{a}": np.zeros_like(x) for i in range(2) for a in range(3)}})
+    whole = potts.iterate(state, labels, 3, 4.0, potts.TAU)["trace"]
+    assert np.allclose([r.maxdeltaq for r in trace.orderBy("iter").collect()], np.sqrt(whole))
+
+
+def test_vtk_file(spark, tmp_path):
+    from voxelgrove.operators import export
+
+    x = np.random.default_rng(23).random((5, 7, 8)) * 1.2 - 0.1
+    v = volume(spark, x).where("(row - 3) * (row - 3) + (col - 3) * (col - 3) < 10 and col <> 2")
+    assert export.write_vtk(v, str(tmp_path / "v.vti"), 5) == (5, 7, 7)
+    content = (tmp_path / "v.vti").read_bytes()
+    body = np.full((7, 7, 5), 255, np.uint8)
+    for r in v.collect():
+        body[r.col, r.row, r.n] = min(255, max(0, int(np.floor(255 * r.u + 0.5))))
+    ends = " ".join(f"0 {k}" for k in (4, 6, 6))
+    head = f'<?xml version="1.0"?>\n<VTKFile type="ImageData" byte_order="LittleEndian">\n  <ImageData WholeExtent="{ends}">\n    <Piece Extent="{ends}">\n      <PointData Scalars="labels">\n        <DataArray type="UInt8" Name="labels" format="appended" offset="0"/>\n      </PointData>\n    </Piece>\n  </ImageData>\n  <AppendedData encoding="raw">\n_'
+    assert content == head.encode() + np.uint32(body.size).tobytes() + body.tobytes() + b"\n  </AppendedData>\n</VTKFile>\n"
+    got = {(r.col, r.row): bytes(r.bytes) for r in export.read_vtk(spark, str(tmp_path / "v.vti")).collect()}
+    assert got == {(c, r): body[c, r].tobytes() for c in range(7) for r in range(7)}
+
+
 def test_slice_circles_equal_those_of_whole_pictures(spark):
     rng = np.random.default_rng(12)
     yy, xx = np.indices((40, 44))
@@ -199,25 +315,101 @@ def test_slice_circles_equal_those_of_whole_pictures(spark):
         assert np.allclose((r.yc, r.xc, r.r), geometry.slice_circle(pages[r.n]))
 
 
-def test_fits_draw_by_key_and_agree_with_spark(spark):
+def test_samples_are_the_same_however_the_volume_is_dealt_out(spark):
+    from voxelgrove.operators.samples import draw, summed
+
+    rng = np.random.default_rng(13)
+    rows = [(0, 0, k, float(a)) for k, a in enumerate(rng.uniform(0, 1, 3000))] + [(0, 1, 0, None), (0, 1, 1, float("nan"))]
+    table = spark.createDataFrame(rows, "n int, row int, col int, u double")
+    one, two, every = (draw(t, ["u"], ["n", "row", "col"], most, 7) for t, most in ((table.repartition(5), 1000), (table.coalesce(1), 1000), (table, 5000)))
+    assert (one.count, two.count, every.count) == (1000, 1000, 3000)
+    parts = lambda s: sorted(map(tuple, s.table.collect()))
+    assert parts(one) == parts(two) and {p for p, _ in parts(one)} == set(range(7)) and {u for _, u in parts(one)} < {u for _, u in parts(every)}
+    both = [summed(s, 2, lambda c: np.array([[c[0].sum(), len(c[0])], [(c[0] ** 2).sum(), 0.0]])) for s in (one, two)]
+    assert (both[0] == both[1]).all() and both[0][0, 1] == 1000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    assert np.allclose(summed(one, 1, lambda c: np.array([[c[0].sum()]])), both[0][0, 0], rtol=1e-13)
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    one.drop()
+
+
+def test_one_pass_evaluates_every_attempt(spark):
+    from voxelgrove.operators.samples import in_step
+
+    rng = np.random.default_rng(15)
+    x = np.concatenate([rng.normal(0.2, 0.08, 300), rng.normal(0.7, 0.1, 200)])
+    v = spark.createDataFrame([(k, float(a)) for k, a in enumerate(x)], "n int, u double")
+    sample = gmm.drawn(v, key=("n",))
+    mixtures = [gmm.Mixture([0.5, 0.5], [0.1, 0.7], [0.1, 0.2]), gmm.Mixture([0.9, 0.1], [0.3, 5.0], [0.2, 0.01])]
+    for got, m in zip(gmm.passed(sample, mixtures), mixtures, strict=True):
+        want = gmm.sums(x, m)
+        assert all(np.allclose(a, b, rtol=1e-12) for a, b in zip(got, want, strict=True))
+    assert len(gmm.fit_attempts(sample, [0.1, 0.7], attempts=4, iterations=5)) == 4
+    cells = gmm.cells_of(sample)
+    assert cells[0].sum() == 500 and np.allclose(cells[1:].sum(axis=1), [x.sum(), (x * x).sum()])
+    for got, want in zip(gmm.sums_of_cells(cells, mixtures[0]), gmm.sums(x, mixtures[0]), strict=True):
+        assert np.allclose(got, want, rtol=1e-9)
+    found = gmm.fit_attempts(sample, [0.1, 0.7], attempts=3, iterations=400)
+    plain, _ = in_step([gmm.climb(gmm.begin(sample, [0.1, 0.7])[0], 500, 1.0, 6000, 0.0)], lambda wanted: [gmm.sums(x, m) for m in wanted])[0]
+    assert min(m.nll for m, _ in found) <= plain.nll + 0.05
+
+
+def test_leaps_end_where_plain_steps_end():
+    from voxelgrove.operators.samples import in_step
+
+    rng = np.random.default_rng(16)
+    x = np.concatenate([rng.normal(0.3, 0.09, 4000), rng.normal(0.55, 0.08, 3000)])
+    calls = [0]
+
+    def evaluate(wanted):
+        calls[0] += 1
+        return [gmm.sums(x, m) for m in wanted]
+
+    m = gmm.Mixture([0.5, 0.5], [0.2, 0.7], [0.1, 0.1])
+    (fast, steps), _ = in_step([gmm.climb(m, len(x), 0.5, 4000, 1e-12), gmm.climb(m, len(x), 0.5, 30, 1e-12)], evaluate)
+    quick, slow = calls[0], m
+    for _ in range(6000):
+        slow = gmm.next_mixture(slow, len(x), *gmm.sums(x, slow)[:3], 0.5)
+    assert steps == quick < 300 and np.allclose(fast.means, slow.means, atol=1e-4) and np.allclose(fast.weights, slow.weights, atol=1e-3)
+
+
+def test_interface_fit_by_batches_and_passes(spark):
     rng = np.random.default_rng(13)
     rows = [(0, 0, k, float(a), float(b)) for k, (a, b) in enumerate(zip(rng.uniform(0.2, 0.7, 400), rng.uniform(0.01, 0.3, 400), strict=True))]
     table = spark.createDataFrame(rows, "n int, row int, col int, u double, v double")
     window = (0.1, 0.8, 0.35)
-    u, v = gmm.draw(table.repartition(5), ["u", "v"], ["n", "row", "col"], 100)
-    assert len(u) == 100 and (np.array(gmm.draw(table.coalesce(1), ["u", "v"], ["n", "row", "col"], 100)) == [u, v]).all()
-    assert set(zip(u, v, strict=True)) <= {(a, b) for *_, a, b in rows}
     whole = np.array([(a, b) for *_, a, b in rows]).T
-    assert np.isclose(bimm.mean_cost(*whole, THETA, window, 24), bimm.spark_cost(table, THETA, window)(bimm.free(THETA)), rtol=1e-6)
+    want = bimm.mean_cost(*whole, THETA, window, 24)
+    assert np.isclose(want, bimm.negative_log_likelihood(table, THETA, window, 24).first().nll, rtol=1e-6)
+    from voxelgrove.operators.samples import draw
+
+    other = bimm.restrict([x + 0.1 for x in bimm.free(THETA)], 2)
+    assert np.allclose(bimm.passed(draw(table, ["u", "v"], ["col"], 1000, 3), [THETA, other], window), [want, bimm.mean_cost(*whole, other, window, 24)], rtol=1e-12)
+    flat = bimm.Theta(THETA.weights, [0.4, 0.4], *[THETA.sigma_n, THETA.sigma_b, THETA.ds, THETA.rho])
+    assert np.isclose(bimm.mean_cost(*whole, flat, window, 24), bimm.negative_log_likelihood(table, flat, window, 24).first().nll, rtol=1e-6)
     t, nll = bimm.fit(table, THETA, window, batches=2, first=(10, 1e-5), last=(15, 1e-4))
-    assert nll <= bimm.mean_cost(*whole, THETA, window, 24) + 0.05 and len(t.peaks) == 2
-    again, value = bimm.fit(table, THETA, window, batches=2, first=(10, 1e-5), last=(2, 1e-4), on_executors=True)
-    assert np.isfinite(value) and len(again.weights) == 3
+    assert nll <= want + 0.05 and len(t.peaks) == 2
+    assert bimm.fit(table.limit(0), THETA, window, batches=2)[0] is THETA
+
+
+def test_simplex_with_several_corners_at_once():
+    from voxelgrove.operators.samples import in_step
+
+    f = lambda p: float(sum((k + 1) * (x - k) ** 2 for k, x in enumerate(p)) + 0.1 * abs(p[0]))
+    passes = []
+    for at_once in (1, 3):
+        asked = []
+        x, value = in_step([bimm.search([2.0] * 6, 0.7, 3000, 1e-7, at_once=at_once)], lambda w, asked=asked: asked.append(1) or [np.array([f(p) for p in points]) for points in w])[0]
+        assert np.allclose(x, [0, 1, 2, 3, 4, 5], atol=1e-3) and value < 1e-2
+        passes.append(len(asked))
+    assert passes[1] < passes[0]
 
 
 def test_programs_from_files_to_files(spark, tmp_path):
     from voxelgrove.jobs import programs
+    from voxelgrove.operators import export
     from voxelgrove.sources import tiff
+    from voxelgrove.sources.text import read_table
 
     rng = np.random.default_rng(14)
     yy, xx = np.indices((24, 24))
@@ -226,16 +418,36 @@ def test_programs_from_files_to_files(spark, tmp_path):
     for k in range(2):
         (tmp_path / f"scan-{k}.tif").write_bytes(tiff.encode(stack[3 * k : 3 * k + 3]))
     to = lambda name: str(tmp_path / name)
-    programs.main(["transpose", to("scan-*.tif"), "-o", to("volume"), "--height", "4", "--tails", "0.01", "--whole-numbers"])
+    programs.main(["transpose", to("scan-0.tif"), to("scan-1.tif"), "-o", to("volume"), "--height", "4", "--tails", "0.01"])
     v = programs.read_volume(spark, to("volume"))
     rows = v.voxels.collect()
     assert {r.n for r in rows} == set(range(4)) and 0 < v.lo < v.hi < 800
     assert all(abs(r.u - min(1, max(0, (int(stack[r.n + 1, r.row, r.col]) - v.lo) / (v.hi - v.lo)))) < 1e-6 for r in rows)
     programs.main(["uv-hist", to("volume"), "-o", to("uv")])
     assert spark.read.parquet(to("uv")).agg(F.sum("count")).first()[0] > 0
-    programs.main(["totalvarmin", to("volume"), "-o", to("quiet"), "--lambda", "0.1"])
+    programs.main(["totalvarmin", to("volume"), "-o", to("quiet"), "--lambda", "0.1", "--slice", "12"])
     assert programs.read_volume(spark, to("quiet")).voxels.count() == len(rows)
-    programs.main(["potts-model", to("volume"), "-o", to("labels"), "--labels", "{420,720}", "--lambda", "5"])
+    before, after = (read_table(spark, to(f"quiet-{k}")).toPandas() for k in ("before", "after"))
+    assert (before.intensity == after.intensity).all() and len(before) == 1022 and before.intensity.between(v.lo, v.hi).all()
+    assert spark.read.parquet(to("quiet-slice-after")).count() == sum(r.col == 12 for r in rows)
+    programs.main(["potts-model", to("volume"), "-o", to("labels"), "--labels", "{420,720}", "--lambda", "5", "--rawout", to("labels.vti"), "--slice", "12"])
+    lines = {(r.col, r.row): r.bytes for r in export.read_vtk(spark, to("labels.vti")).collect()}
+    found = spark.read.parquet(to("labels")).collect()
+    c0, r0 = min(r.col for r in found), min(r.row for r in found)
+    assert all(lines[r.col - c0, r.row - r0][r.n] == int(np.floor(255 * min(1, max(0, r.c)) + 0.5)) for r in found)
+    assert {r.level for r in spark.read.parquet(to("labels-slice")).collect()} <= {int(np.floor(255 * min(1, max(0, r.c)) ** (1 / 2.2) + 0.5)) for r in found}
+    programs.main(["gmm-peaks", "--denoised", to("quiet"), "--noised", to("volume"), "--peaks", "{420,720}", "--output", to("peaks")])
+    assert spark.read.parquet(to("peaks")).count() == 2 and spark.read.parquet(to("peaks-attempts")).count() == 10
+    fit = bimm.fit
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bimm, "fit", lambda *a, **k: fit(*a, **k | {"batches": 2, "first": (5, 1e-5), "last": (5, 1e-4)}))
+        programs.main(["bimm-peaks", to("volume"), "--peaks", "{420,720}", "-o", to("fit"), "--pdf-name", to("pdf")])
+    report = {r["name"]: r["value"] for r in spark.read.parquet(to("fit")).collect()}
+    window = (report["lo_tail"], report["hi_tail"])
+    tables = {k: read_table(spark, to(f"pdf-{k}.txt")).toPandas() for k in ("full", "00", "01", "00-01")}
+    assert all(len(t) == 513 and np.allclose((t.intensity.min(), t.intensity.max()), window) for t in tables.values()) and v.lo <= window[0] < window[1] <= v.hi
+    assert np.allclose(tables["full"].ch0, sum(tables[k].ch0 for k in ("00", "01", "00-01")))
+    assert np.trapezoid(tables["full"].ch0, tables["full"].intensity) < 1.2 and report["sigma_n"] > 0
     assert {r.label for r in spark.read.parquet(to("labels")).select("label").distinct().collect()} == {0, 1}
     m, by = programs.gmm_peaks(v, v, [420.0, 720.0], attempts=2, iterations=50)
     assert np.allclose(sorted(m.means), [420, 720], atol=60) and sum(r["count"] for r in by.collect()) == len(rows)

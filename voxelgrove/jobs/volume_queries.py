@@ -5,12 +5,17 @@ The mask is the largest disc inside the square that the embeddings fill, so it g
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.voxel import argmax_label, denormalise, nearest_label, normalise, project_simplex
 from ..operators import bimm, denoise, export, geometry, gmm, mask, phases, potts, stencil
 from ..operators import histogram as hist
+from ..operators.blocks import shared_folder
+from ..sources import tiff
 from ..sources.archive import Field, archive_slabs
 from ..sources.volumes import cube_side, embedding_volume, event_volume, from_rods, linear_ids, order_volume, rods, square_side
 from . import programs
@@ -34,6 +39,13 @@ def masked(spark: SparkSession, sf: str) -> DataFrame:
     return mask.in_cylinder(embedding_volume(spark, sf, side), (side - 1) / 2, (side - 1) / 2, side / 2)
 
 
+def shared_file(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that the cluster shares."""
+    path = f"{shared_folder(spark)}/voxelgrove/{uuid.uuid4().hex}"
+    os.makedirs(path.removeprefix("file://").removeprefix("file:"), exist_ok=True)
+    return f"{path}/{name}"
+
+
 def unit(spark: SparkSession, sf: str) -> DataFrame:
     """The masked volume with u from 0 to 1."""
     return masked(spark, sf).withColumn("u", normalise(F.col("u"), LO, HI))
@@ -100,6 +112,11 @@ def hist_sql(source: str, bins: int, lo: str = "(SELECT min(u) FROM {s})", hi: s
     )
 
 
+def noise_sql(seed: int) -> str:
+    """The number of a voxel that dithering moves it by: see ``hist.noise``."""
+    return f"((CAST('0x' || substr(md5('{seed}:' || n || ':' || \"row\" || ':' || \"col\"), 1, 8) AS BIGINT) + 0.5) / 4294967296.0)"
+
+
 CUM_SQL = "k AS (SELECT *, sum({what}) OVER (ORDER BY bin ROWS UNBOUNDED PRECEDING) AS cum, sum({what}) OVER () AS total FROM h)"
 
 
@@ -249,6 +266,15 @@ def hist_text(spark, sf):
     return hist.histogram_table(h, 500).select(r6(F.col("brightness")).alias("brightness"), r6(F.col("ch0")).alias("ch0"))
 
 
+@query(
+    f"WITH {V_SQL}, ends AS (SELECT min(u) AS lo, max(u) AS hi, count(*) AS total FROM e), c AS (SELECT {bin_sql(f'(u + 2.5 * ({noise_sql(3)} - 0.5))', 'lo', 'hi', 200)} AS bin, count(*) AS count FROM e, ends WHERE lo - 1.25 <= u AND u + 1.25 <= hi GROUP BY 1) "
+    "SELECT CAST(b.range AS INT) AS bin, coalesce(c.count, 0) AS count, round(coalesce(c.count, 0) / (total * ((hi - lo) / 200)), 9) AS density FROM range(200) b LEFT JOIN c ON c.bin = b.range, ends"
+)
+def hist_dithered(spark, sf):
+    """Values moved by up to 1.25 either way before they are counted, each by a number made from its place."""
+    return hist.histogram(event_volume(spark, sf), 200, jitter=2.5, seed=3).select("bin", "count", F.round("density", 9).alias("density"))
+
+
 H16_SQL = f"{O_SQL}, h AS (SELECT CAST(b.range AS INT) AS bin, coalesce(c.count, 0) AS count FROM range(65536) b LEFT JOIN (SELECT v, count(*) AS count FROM e GROUP BY v) c ON c.v = b.range)"
 
 
@@ -494,6 +520,29 @@ def vtk_grid(spark, sf):
     return export.image_grid(unit(spark, sf), IMAGES)
 
 
+@query(
+    f'WITH {U_SQL}, b AS (SELECT min("row") r0, max("row") r1, min("col") c0, max("col") c1 FROM w), '
+    'grid AS (SELECT CAST(n.range AS INT) AS n, CAST(r.range AS INT) AS "row", CAST(c.range AS INT) AS "col", r0, c0 FROM range(64) n, (SELECT unnest(range(s)) AS range FROM side) r, (SELECT unnest(range(s)) AS range FROM side) c, b WHERE r.range BETWEEN r0 AND r1 AND c.range BETWEEN c0 AND c1), '
+    'l AS (SELECT n, "row" - r0 AS "row", "col" - c0 AS "col", CASE WHEN u IS NULL THEN 255 ELSE CAST(least(255, greatest(0, round(255 * u))) AS INT) END AS level FROM grid LEFT JOIN w USING (n, "row", "col")) '
+    """SELECT "col", "row", md5(string_agg(printf('%02x', level), '' ORDER BY n)) AS line FROM l GROUP BY "col", "row" """
+)
+def vtk_file(spark, sf):
+    """The volume written as one VTK file by many tasks, and the md5 of each of its lines (in hexadecimal digits) as read back."""
+    path = f"{shared_file(spark, 'labels')}.vti"
+    export.write_vtk(unit(spark, sf), path, IMAGES)
+    return export.read_vtk(spark, path).select("col", "row", F.md5(F.lower(F.hex("bytes")).cast("binary")).alias("line"))
+
+
+@query(f"WITH {V_SQL} SELECT {VOXEL}, u FROM (SELECT n, \"row\", \"col\", CAST(floor(100 * u) AS INT) AS u FROM e) ")
+def tiff_scan(spark, sf):
+    """The events' volume, in hundredths, written as a scan of tiled, compressed BigTIFF files and read back by byte ranges; places that no event fills are left out again."""
+    v = event_volume(spark, sf).select("n", "row", "col", F.floor(100 * F.col("u")).cast("int").alias("u"))
+    path = shared_file(spark, "scan")
+    tiff.write_scan(v, path, pages_each=16, big=True, tile=(16, 16))
+    back = tiff.Scan.open(spark, path).voxels(part_bytes=1 << 16).select("n", "row", "col", F.col("u").cast("int").alias("u"))
+    return back.join(v.select("n", "row", "col"), ["n", "row", "col"], "left_semi")
+
+
 @query(f"WITH {denoise_sql(2)} SELECT {VOXEL}, round(u, 6) AS u, round(u - {LAM} * ({div_sql(['q1', 'q2', 'q3'])}), 6) AS d FROM t2")
 def tv_denoise(spark, sf):
     return denoise.denoise(masked(spark, sf), 2, LAM, block=(32, 32, 32)).select("n", "row", "col", r6(F.col("u")).alias("u"), r6(F.col("d")).alias("d"))
@@ -504,6 +553,32 @@ def dual_residual(spark, sf):
     return denoise.residual(denoise.denoise_by_windows(masked(spark, sf), 2, LAM)).select(r6(F.col("residual")).alias("residual"))
 
 
+@query(f"WITH {denoise_sql(3)} " + " UNION ALL ".join(f"SELECT {k} AS iter, round(sqrt(max(r)), 6) AS maxdeltaq FROM t{k + 1}" for k in range(3)))
+def tv_residuals(spark, sf):
+    """(iter, maxdeltaq) of three iterations in two rounds."""
+    _, trace = denoise.denoise_traced(masked(spark, sf), 3, LAM, block=(32, 32, 32), per_round=2)
+    return trace.select("iter", r6(F.col("maxdeltaq")).alias("maxdeltaq"))
+
+
+def potts_step_sql() -> str:
+    """The largest change of the first iteration, from the nearest labels: dual vectors are still too short to be projected."""
+    k = range(3)
+    out = [f"{M_SQL}, v AS (SELECT *, " + ", ".join(f"CASE WHEN k = {i} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v{i}" for i in k) + f" FROM (SELECT *, {labels_sql('u')} AS k FROM m))"]
+    out.append("x AS (SELECT *, " + ", ".join(f"{potts.TAU!r} * coalesce(({next_sql(a, f'v{i}')}) - v{i}, 0.0) AS x{i}{j}" for i in k for j, a in enumerate(OTHERS)) + " FROM v)")
+    out.append("q AS (SELECT *, " + ", ".join(f"v{i} + {potts.TAU!r} * ({div_sql([f'x{i}{j}' for j in range(3)])} - 30.0 * (u - {LABELS[i]}) * (u - {LABELS[i]})) AS q{i}" for i in k) + " FROM x)")
+    out.append("d AS (SELECT *, list_reverse_sort([q0, q1, q2]) AS d FROM q)")
+    out.append("th AS (SELECT *, CASE WHEN d[3] - (d[1] + d[2] + d[3] - 1) / 3 > 0 THEN (d[1] + d[2] + d[3] - 1) / 3 WHEN d[2] - (d[1] + d[2] - 1) / 2 > 0 THEN (d[1] + d[2] - 1) / 2 ELSE d[1] - 1 END AS t FROM d)")
+    change = " + ".join(f"pow(greatest(q{i} - t, 0.0) - v{i}, 2)" for i in k)
+    return f"WITH {', '.join(out)} SELECT 0 AS iter, round(sqrt(max({change})), 6) AS maxdeltaq FROM th"
+
+
+@query(potts_step_sql())
+def potts_residuals(spark, sf):
+    """(iter, maxdeltaq) of the first iteration."""
+    _, trace = potts.segment_traced(masked(spark, sf), LABELS, 30.0, 1, block=(32, 32, 32))
+    return trace.select("iter", r6(F.col("maxdeltaq")).alias("maxdeltaq"))
+
+
 @query()
 def tv_denoise_full(spark, sf):
     """150 iterations."""
@@ -523,8 +598,27 @@ def _clusters(spark, m: gmm.Mixture) -> DataFrame:
 
 @query()
 def gmm_fit(spark, sf):
-    """(cluster, weight, mean, sigma, nll) after 3 attempts (the operator's own number is 10)."""
-    return _clusters(spark, gmm.fit(masked(spark, sf), LABELS, attempts=3))
+    """(cluster, weight, mean, sigma, nll) of the best attempt."""
+    return _clusters(spark, gmm.fit(masked(spark, sf), LABELS))
+
+
+#: Mixtures that one pass evaluates together.
+CANDIDATES = [MIXTURE, gmm.Mixture([0.2, 0.5, 0.3], [-0.2, 0.05, 0.1], [0.05, 0.1, 0.15]), gmm.Mixture([1 / 3] * 3, [-0.1, 0.02, 0.3], [0.1, 0.1, 0.1])]
+
+
+def pass_sql(attempt: int, m: gmm.Mixture) -> str:
+    d = ", ".join(f"{w!r} / ({(2 * 3.141592653589793) ** 0.5!r} * {s!r}) * exp(-0.5 * (u - {a!r}) * (u - {a!r}) / ({s!r} * {s!r})) AS d{k}" for k, (w, a, s) in enumerate(zip(m.weights, m.means, m.sigmas, strict=True)))
+    rows = " UNION ALL ".join(f"SELECT {attempt} AS attempt, {k} AS cluster, round(sum(d{k} / t), 4) AS w, round(sum(d{k} / t * u), 4) AS s1, round(sum(d{k} / t * u * u), 4) AS s2, round(sum(-ln(t)), 4) AS nll FROM t{attempt}" for k in range(3))
+    return f"t{attempt} AS (SELECT *, d0 + d1 + d2 AS t FROM (SELECT u, {d} FROM m)), r{attempt} AS ({rows})"
+
+
+@query(f"WITH {M_SQL}, " + ", ".join(pass_sql(k, m) for k, m in enumerate(CANDIDATES)) + " " + " UNION ALL ".join(f"SELECT * FROM r{k}" for k in range(3)))
+def gmm_pass(spark, sf):
+    """(attempt, cluster, w, s1, s2, nll): the sums that one pass over the drawn voxels gives for several attempts' mixtures at once."""
+    sample = gmm.drawn(masked(spark, sf))
+    rows = [(k, c, *(round(float(x[c]), 4) for x in found[:3]), round(found[3], 4)) for k, found in enumerate(gmm.passed(sample, CANDIDATES)) for c in range(3)]
+    sample.drop()
+    return spark.createDataFrame(rows, "attempt int, cluster int, w double, s1 double, s2 double, nll double")
 
 
 def em_sql(steps: int) -> str:
@@ -555,9 +649,9 @@ def _bimm_rows(spark, t: bimm.Theta, nll: float) -> DataFrame:
 
 @query()
 def bimm_fit(spark, sf):
-    """(peak, weight, fraction, sigma_n, sigma_b, ds, rho, nll) by phase: both stages over all eligible voxels up to the operator's bound, with 10 batches of 50 iterations and then 60 (the operator's own lengths are 100 of 100 and 10,000)."""
+    """(peak, weight, fraction, sigma_n, sigma_b, ds, rho, nll) by phase: the first stage at its full length, the second with 60 passes (the operator's own limit is 10,000), over the eligible voxels up to the operator's bound."""
     s = bimm.eligible(with_gradient(spark, sf), *WINDOW)
-    return _bimm_rows(spark, *bimm.fit(s, THETA, WINDOW, batches=10, first=(50, 1e-5), last=(60, 1e-4)))
+    return _bimm_rows(spark, *bimm.fit(s, THETA, WINDOW, last=(60, 1e-4)))
 
 
 @query()
@@ -566,6 +660,31 @@ def circle_fit(spark, sf):
     return geometry.circles(event_volume(spark, sf))
 
 
+RING_SQL = "(SELECT greatest(1, CAST(floor(pow(count(*), 1 / 3.0) + 0.5) AS BIGINT)) AS s FROM events)"
+
+
+def ringed(spark: SparkSession, sf: str) -> DataFrame:
+    """The places of the events' volume with a ring in each slice that moves with it, a bar inside of the ring, and a block beside it."""
+    s = cube_side(spark, sf)
+    y, x, r = F.col("row") - (s // 2 - F.col("n") % 2), F.col("col") - s // 2, s // 2 - 3
+    far = y * y + x * x
+    ring = (far <= r * r) & (far > (r - 1) * (r - 1))
+    white = ring | ((y == 0) & (F.abs(x) <= 1)) | ((F.col("row") >= s - 1) & (F.col("col").between(1, 3)))
+    return event_volume(spark, sf, s).select("n", "row", "col", F.when(white, 1.0).otherwise(0.0).alias("u"))
+
+
+@query(f"SELECT CAST(n.range AS INT) AS n, CAST(s // 2 - n.range % 2 AS DOUBLE) AS yc, CAST(s // 2 AS DOUBLE) AS xc, CAST(s // 2 - 3 AS DOUBLE) AS r FROM {RING_SQL}, LATERAL (SELECT unnest(range(s)) AS range) n")
+def ring_circles(spark, sf):
+    """The circle of every slice: the ring encloses more than the block, whatever it weighs."""
+    return geometry.circles(ringed(spark, sf)).select("n", *[r6(F.col(c)).alias(c) for c in ("yc", "xc", "r")])
+
+
+@query(f"SELECT s // 2 - 0.5::DOUBLE AS yc, CAST(s // 2 AS DOUBLE) AS xc, s // 2 - 3.5::DOUBLE AS r FROM {RING_SQL}")
+def ring_mask(spark, sf):
+    """The circle inside all of the rings."""
+    return spark.createDataFrame([tuple(round(x, 6) for x in geometry.volume_mask(ringed(spark, sf)))], "yc double, xc double, r double")
+
+
 CIRCLES_SQL = f'{V_SQL}, q AS (SELECT n, sum(u * "row") / sum(u) AS y, sum(u * "col") / sum(u) AS x, sqrt(sum(u * ("row" * "row" + "col" * "col")) / sum(u)) AS r FROM e GROUP BY n)'
 
 
@@ -615,11 +734,20 @@ def program_uv_hist(spark, sf):
     return programs.uv_hist(programs.Volume(unit(spark, sf), LO, HI))
 
 
-@query(f"WITH {denoise_sql(2)}, o AS (SELECT {VOXEL}, u - {LAM} * ({div_sql(['q1', 'q2', 'q3'])}) AS u FROM t2), {hist_sql('o', 500)} SELECT round((bin + 0.5) / 500, 6) AS brightness, round(density * (hi - lo), 6) AS ch0 FROM h WHERE bin BETWEEN 1 AND 498")
+TOTALVARMIN_SQL = (
+    f"{denoise_sql(2)}, o AS (SELECT {VOXEL}, u - {LAM} * ({div_sql(['q1', 'q2', 'q3'])}) AS u FROM t2), ends AS (SELECT min(u) AS lo, max(u) AS hi, count(*) AS total FROM m), "
+    f"x AS (SELECT 'before' AS stage, {VOXEL}, u FROM m UNION ALL SELECT 'after', {VOXEL}, u FROM o), "
+    f"c AS (SELECT stage, {bin_sql(f'(u + 0.01 * ({noise_sql(0)} - 0.5))', 'lo', 'hi', 1024)} AS bin, count(*) AS count FROM x, ends WHERE lo - 0.005 <= u AND u + 0.005 <= hi GROUP BY 1, 2), "
+    "h AS (SELECT s.stage, b.range AS bin, coalesce(c.count, 0) / (total * ((hi - lo) / 1024)) AS density, lo, hi FROM range(1024) b, (SELECT unnest(['before', 'after']) AS stage) s LEFT JOIN c ON c.bin = b.range AND c.stage = s.stage, ends)"
+)
+
+
+@query(f"WITH {TOTALVARMIN_SQL} SELECT stage, round((bin + 0.5) * (100.0 / 1024), 6) AS brightness, round(density * ((hi - lo) / 100.0), 6) AS ch0 FROM h WHERE bin BETWEEN 1 AND 1022")
 def program_totalvarmin(spark, sf):
-    """The histogram table after two iterations."""
-    _, _, after = programs.totalvarmin(programs.Volume(masked(spark, sf)), LAM, 2)
-    return after.select(r6(F.col("brightness")).alias("brightness"), r6(F.col("ch0")).alias("ch0"))
+    """The histogram tables before and after two iterations: the same dithered bins, in levels from 0 to 100."""
+    _, *tables = programs.totalvarmin(programs.Volume(masked(spark, sf), 0.0, 100.0), LAM, 2)
+    before, after = (t.select(F.lit(stage).alias("stage"), r6(F.col("brightness")).alias("brightness"), r6(F.col("ch0")).alias("ch0")) for stage, t in zip(("before", "after"), tables, strict=True))
+    return before.union(after)
 
 
 GMM_PEAKS_SQL = (
@@ -654,7 +782,7 @@ def program_gmm_peaks(spark, sf):
 
 @query()
 def program_bimm_peaks(spark, sf):
-    """The fit of the volume within the window that its own tails give, with 10 batches of 20 iterations and then 60."""
+    """The fit of the volume within the window that its own tails give, with 10 batches of 20 iterations and then 60 passes."""
     found = programs.bimm_peaks(programs.Volume(unit(spark, sf), LO, HI), LABELS, batches=10, first=(20, 1e-5), last=(60, 1e-4))
     return _bimm_rows(spark, found.theta, found.nll)
 

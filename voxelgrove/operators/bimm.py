@@ -5,14 +5,17 @@ The error function depends on the quadrature nodes only, never on a voxel, so no
 
 from __future__ import annotations
 
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass
+from functools import cache
 from math import erf, exp, expm1, log, pi, sqrt
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .gmm import draw
+from .samples import Sample, draw, in_step, summed
 
 NODES = 80
 
@@ -34,9 +37,15 @@ class Theta:
         return [(i, j) for i in range(k - 1) for j in range(i + 1, k)]
 
 
+@cache
+def _rule(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gauss-Legendre points and weights on -1..1."""
+    return np.polynomial.legendre.leggauss(count)
+
+
 def nodes(t: Theta, i: int, j: int, count: int = NODES) -> list[tuple[float, float, float]]:
     """(intensity, gradient, weight) along the interface of two phases, the weights summing to 2 ds."""
-    x, w = np.polynomial.legendre.leggauss(count)
+    x, w = _rule(count)
     a, b = t.peaks[i], t.peaks[j]
     return [(a + 0.5 * (b - a) * (1 + erf(s / sqrt(2))), abs(b - a) / (sqrt(2 * pi) * t.sigma_b) * exp(-s * s / 2), float(c * t.ds)) for s, c in zip(x * t.ds, w, strict=True)]
 
@@ -183,45 +192,70 @@ def project_gaps(x: list[float], gap: float) -> list[float]:
     return out
 
 
-def minimise(f, x: list[float], step: float = 0.5, iterations: int = 200, stop: float = 1e-4, restart: int = 100) -> tuple[list[float], float]:
-    """Downhill simplex; every ``restart`` iterations it starts again around the best point with steps smaller by a twentieth."""
-    n, at = len(x), np.array(x, float)
+def search(x: list[float], step: float = 0.5, iterations: int = 200, stop: float = 1e-4, restart: int = 100, at_once: int = 1) -> Generator[np.ndarray, np.ndarray, tuple[list[float], float]]:
+    """Downhill simplex: yields points to evaluate, is sent their values, returns the best point and its value.
 
-    def begin(p, s):
-        points = np.vstack([p, *[p + s * e for e in np.eye(n)]])
-        return points, np.array([f(q) for q in points])
+    With several corners ``at_once``, each iteration asks in one go for all that it may need: for each of the worst corners the mirrored point, the one twice as far, and the two halfway ones. A
+    simplex that finds nothing better shrinks. Every ``restart`` iterations it starts again around the best point with steps smaller by a twentieth.
+    """
+    n, at_once = len(x), max(1, min(at_once, len(x)))
 
-    points, values = begin(at, step)
+    def corners(p: np.ndarray, s: float) -> np.ndarray:
+        return np.vstack([p, p + s * np.eye(n)])
+
+    points = corners(np.array(x, float), step)
+    values = yield points
     for k in range(1, iterations + 1):
-        order = np.argsort(values)
+        order = np.argsort(values, kind="stable")
         points, values = points[order], values[order]
         if np.sqrt(((points - points.mean(axis=0)) ** 2).sum(axis=1).mean()) < stop:
             break
         if k % restart == 0:
             step *= 0.95
-            points, values = begin(points[0], step)
+            points = corners(points[0], step)
+            values = yield points
             continue
-        middle = points[:-1].mean(axis=0)
-        far = middle + (middle - points[-1])
-        value = f(far)
-        if value < values[0]:
-            further = middle + 2 * (middle - points[-1])
-            if (v := f(further)) < value:
-                far, value = further, v
-            points[-1], values[-1] = far, value
-        elif value < values[-2]:
-            points[-1], values[-1] = far, value
+        middle = points[: n + 1 - at_once].mean(axis=0)
+        away = middle - points[n + 1 - at_once :]
+        asked = np.concatenate([middle + c * away for c in (1.0, 2.0, 0.5, -0.5)])
+        if at_once > 1:
+            mirrored, further, outer, inner = (yield asked).reshape(4, at_once)
         else:
-            near = middle + 0.5 * ((far if value < values[-1] else points[-1]) - middle)
-            if (v := f(near)) < min(value, values[-1]):
-                points[-1], values[-1] = near, v
+            # One corner alone: after the mirrored point, only the one that it calls for.
+            mirrored = yield asked[:1]
+            further, outer, inner = (np.full(1, np.inf) for _ in range(3))
+            if mirrored[0] < values[0]:
+                further = yield asked[1:2]
+            elif mirrored[0] >= values[-2]:
+                outer, inner = ((yield asked[2:3]), inner) if mirrored[0] < values[-1] else (outer, (yield asked[3:4]))
+        moved = False
+        fresh, fresh_values = points.copy(), values.copy()
+        for j in range(at_once):
+            i = n + 1 - at_once + j
+            choice = None
+            if mirrored[j] < values[0]:
+                choice = (1, further[j]) if further[j] < mirrored[j] else (0, mirrored[j])
+            elif mirrored[j] < values[i - 1]:
+                choice = (0, mirrored[j])
             else:
-                points[1:] = points[0] + 0.5 * (points[1:] - points[0])
-                values[1:] = [f(q) for q in points[1:]]
+                half = (2, outer[j]) if mirrored[j] < values[i] else (3, inner[j])
+                choice = half if half[1] < min(mirrored[j], values[i]) else None
+            if choice is not None:
+                fresh[i], fresh_values[i], moved = asked[choice[0] * at_once + j], choice[1], True
+        if moved:
+            points, values = fresh, fresh_values
+        else:
+            points[1:] = points[0] + 0.5 * (points[1:] - points[0])
+            values[1:] = yield points[1:]
     k = int(np.argmin(values))
     return points[k].tolist(), float(values[k])
 
 
+def minimise(f: Callable[[np.ndarray], float], x: list[float], step: float = 0.5, iterations: int = 200, stop: float = 1e-4, restart: int = 100) -> tuple[list[float], float]:
+    """``search`` with a plain function."""
+    return in_step([search(x, step, iterations, stop, restart)], lambda asked: [np.array([f(p) for p in points]) for points in asked])[0]
+
+
 def first_guess(peaks: list[float], max_ds: float = 1.5) -> Theta:
     """Where a fit begins: the given peaks, equal phases, hardly any interface, all else in the middle of its range."""
     k = len(peaks)
@@ -230,14 +264,16 @@ def first_guess(peaks: list[float], max_ds: float = 1.5) -> Theta:
     return restrict([*weights, *[inverse_sigmoid(p, *LIMITS["peak"]) for p in peaks], 0.0, 0.0, 0.0, 0.0], k, max_ds)
 
 
-#: Sizes of the fit: samples, batches of the first stage, iterations and the simplex's size to stop at in both.
+#: Voxels of the fit at most, batches of the first stage, iterations and the simplex's size to stop at in both.
 SAMPLE, BATCHES = 1_000_000, 100
 FIRST, LAST = (100, 1e-5), (10_000, 1e-4)
-_PART = 1 << 15
+#: Corners of the simplex that one pass over the sample moves.
+AT_ONCE = 4
+_PART = 1 << 12
 
 
-def mean_cost(u: np.ndarray, v: np.ndarray, t: Theta, window: tuple[float, float, float], count: int) -> float:
-    """The mean negative logarithm of the density inside the window, a part of the samples at a time."""
+def costs(u: np.ndarray, v: np.ndarray, t: Theta, count: int) -> float:
+    """The sum of the negative logarithms of the density, some rows at a time."""
     s2 = t.sigma_n**2
     a, total = s2 * (1 - t.rho), 0.0
     at = [np.array(nodes(t, i, j, count)).T for i, j in t.pairs]
@@ -245,32 +281,62 @@ def mean_cost(u: np.ndarray, v: np.ndarray, t: Theta, window: tuple[float, float
         x, y = u[k : k + _PART], v[k : k + _PART]
         p = sum(w * np.exp(-0.5 * (x - peak) ** 2 / s2) for w, peak in zip(t.weights, t.peaks, strict=False)) * (2 * sqrt(2) / pi / (s2 * s2 * (1 - t.rho) ** 1.5)) * y * y * np.exp(-y * y / a)
         for w, (level, g, weight) in zip(t.weights[len(t.peaks) :], at, strict=True):
-            g = np.maximum(g, 1e-300)
-            inner = np.exp(-0.5 * (x[:, None] - level) ** 2 / s2 - (y[:, None] - g) ** 2 / a) * -np.expm1(-4 * y[:, None] * g / a) / g
+            far = -0.5 * (x[:, None] - level) ** 2 / s2
+            near = np.exp(far - (y[:, None] - g) ** 2 / a)
+            # The difference of two exponentials; where the interface is nearly flat, its limit.
+            flat = g < 1e-6 * sqrt(a)
+            inner = np.where(flat, near * (4 * y[:, None] / a), (near - np.exp(far - (y[:, None] + g) ** 2 / a)) / np.where(flat, 1.0, g))
             p = p + w / (2 * sqrt(2) * pi) * y / (t.ds * t.sigma_n * sqrt(a)) * (inner @ weight)
         total -= float(np.log(np.maximum(p, 1e-300)).sum())
-    return total / len(u) + log(max(total_mass(t, *window, count), 1e-300))
+    return total
 
 
-def spark_cost(samples: DataFrame, start: Theta, window: tuple[float, float, float], max_ds: float = 1.5, count: int = 24):
-    """The cost of free numbers over all rows of a table: one grouping a call, whatever the table's size."""
-    return lambda x: float(negative_log_likelihood(samples, restrict(list(x), len(start.peaks), max_ds), window, count).first().nll)
+def log_mass(t: Theta, window: tuple[float, float, float], count: int) -> float:
+    return log(max(total_mass(t, *window, count), 1e-300))
 
 
-def fit(samples: DataFrame, start: Theta, window: tuple[float, float, float], key: tuple[str, ...] = ("n", "row", "col"), most: int = SAMPLE, batches: int = BATCHES, first: tuple[int, float] = FIRST, last: tuple[int, float] = LAST, max_ds: float = 1.5, count: int = 24, on_executors: bool = False) -> tuple[Theta, float]:
-    """Maximum likelihood of (u, v): a simplex search over one batch of the samples after another, each from where the last one ended, then over all of them.
+def mean_cost(u: np.ndarray, v: np.ndarray, t: Theta, window: tuple[float, float, float], count: int) -> float:
+    """The mean negative logarithm of the density inside the window."""
+    return costs(u, v, t, count) / len(u) + log_mass(t, window, count)
+
 
-    The samples are those whose keys have the lowest hashes, at most ``most`` (16 MB at the default), so they come from the whole volume; a batch is every ``batches``-th of them.
-    Their cost is evaluated in numpy; with ``on_executors`` the second stage's by Spark over every row of ``samples`` instead. Without a row: the start, and NaN.
+def passed(sample: Sample, thetas: list[Theta], window: tuple[float, float, float], count: int = 24) -> list[float]:
+    """``mean_cost`` of all candidates over the whole sample, in one pass."""
+    found = summed(sample, len(thetas), lambda columns: np.array([[costs(*columns, t, count)] for t in thetas]))
+    return [float(x) / sample.count + log_mass(t, window, count) for x, t in zip(found[:, 0], thetas, strict=True)]
+
+
+def over_batch(sample: Sample, batch: int, x: list[float], step: float, window: tuple[float, float, float], k: int, first: tuple[int, float], max_ds: float, count: int) -> list[float]:
+    """The simplex search over one batch, by the task that reads it: a batch is one part of the sample. Without a row, ``x``."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = pa.Table.from_batches(list(batches), pa.schema([("u", pa.float64()), ("v", pa.float64())]))
+        u, v = own.column("u").to_numpy(), own.column("v").to_numpy()
+        if len(u):
+            found, value = minimise(lambda y: mean_cost(u, v, restrict(list(y), k, max_ds), window, count), x, step, first[0], first[1])
+            yield pa.RecordBatch.from_arrays([pa.array([found], pa.list_(pa.float64())), pa.array([value])], ["x", "value"])
+
+    own = sample.table.where(F.col("part") == batch).select("u", "v").coalesce(1)
+    rows = own.mapInArrow(work, "x array<double>, value double").collect()
+    return list(rows[0].x) if rows else x
+
+
+def fit(samples: DataFrame, start: Theta, window: tuple[float, float, float], key: tuple[str, ...] = ("n", "row", "col"), most: int = SAMPLE, batches: int = BATCHES, first: tuple[int, float] = FIRST, last: tuple[int, float] = LAST, max_ds: float = 1.5, count: int = 24, at_once: int = AT_ONCE) -> tuple[Theta, float]:
+    """Maximum likelihood of (u, v): a simplex search over one batch after another, each from where the last one ended, then over the whole sample.
+
+    The sample is drawn by the hash of the keys, at most ``most`` rows, so it comes from the whole volume; its parts are the batches. A batch is searched by the task that reads it. The second
+    stage evaluates several candidate points in each pass over all parts. No sample comes to the driver. Without a row: the start, and NaN.
     """
-    drawn = samples.select(*key, "u", "v")
-    u, v = draw(drawn, ["u", "v"], list(key), most)
-    if not len(u):
+    sample = draw(samples.select(*key, "u", "v"), ["u", "v"], list(key), most, batches)
+    if not sample.count:
         return start, float("nan")
-    x = free(start, max_ds)
-    for k in range(min(batches, len(u))):
-        own = slice(k, None, batches)
-        x, _ = minimise(lambda y, own=own: mean_cost(u[own], v[own], restrict(list(y), len(start.peaks), max_ds), window, count), x, step=1.0 if k == 0 else 0.3, iterations=first[0], stop=first[1])
-    whole = spark_cost(drawn, start, window, max_ds, count) if on_executors else lambda y: mean_cost(u, v, restrict(list(y), len(start.peaks), max_ds), window, count)
-    x, value = minimise(whole, x, iterations=last[0], stop=last[1])
-    return restrict(x, len(start.peaks), max_ds), value
+    x, k = free(start, max_ds), len(start.peaks)
+    for batch in range(batches):
+        x = over_batch(sample, batch, x, 1.0 if batch == 0 else 0.3, window, k, first, max_ds, count)
+
+    def evaluate(asked: list[np.ndarray]) -> list[np.ndarray]:
+        return [np.array(passed(sample, [restrict(list(p), k, max_ds) for p in points], window, count)) for points in asked]
+
+    x, value = in_step([search(x, 0.5, last[0], last[1], at_once=at_once)], evaluate)[0]
+    sample.drop()
+    return restrict(x, k, max_ds), value

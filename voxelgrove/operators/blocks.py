@@ -13,22 +13,27 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AXES = ("n", "row", "col")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """As a Parquet table in the folder that the cluster shares."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset and all is one process, a folder of this machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/voxelgrove/{uuid.uuid4().hex}/{name}"
+    return root.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """As a Parquet table in the folder that the cluster shares."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/voxelgrove/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._voxelgrove_path = path
@@ -49,6 +54,13 @@ class Dense:
 
     inside: np.ndarray
     values: dict[str, np.ndarray]
+    #: The voxels that the block keeps; all if None.
+    own: np.ndarray | None = None
+
+    def most(self, x: np.ndarray) -> float:
+        """The largest value over the voxels that the block keeps."""
+        kept = self.inside if self.own is None else self.own
+        return float(x[kept].max()) if kept.any() else 0.0
 
     def has_next(self, axis: int) -> np.ndarray:
         out = np.zeros_like(self.inside)
@@ -91,7 +103,8 @@ def block_bytes(block: tuple[int, int, int], halo: int, arrays: int) -> int:
 def run_round(state: DataFrame, columns: list[str], step: Callable[[Dense], dict[str, np.ndarray]], block: tuple[int, int, int], halo: int, out: list[str]) -> DataFrame:
     """Voxels (n, row, col, ``out``) after ``step``, which may look as far as ``halo`` voxels around.
 
-    A voxel goes to its own block and to those in whose halo it lies: at most 27, and (1 + 2 halo / block)^3 on average.
+    A voxel goes to its own block and to those in whose halo it lies: at most 27, and (1 + 2 halo / block)^3 on average. What ``step`` gives as "trace", one number for each iteration over
+    the voxels that the block keeps, comes along as the column ``trace`` of one of them; see ``trace_of``.
     """
     check_block(block, halo)
     keyed = state.select(*AXES, *columns)
@@ -105,7 +118,7 @@ def run_round(state: DataFrame, columns: list[str], step: Callable[[Dense], dict
     def solve(table: pa.Table) -> pa.Table:
         mine = table.column("_own").to_numpy(zero_copy_only=False)
         if not mine.any():
-            return pa.table({c: pa.array([], pa.int32()) for c in AXES} | {c: pa.array([], pa.float64()) for c in out})
+            return pa.table({c: pa.array([], pa.int32()) for c in AXES} | {c: pa.array([], pa.float64()) for c in out} | {"trace": pa.array([], pa.list_(pa.float64()))})
         at = [table.column(c).to_numpy() for c in AXES]
         low = [int(a.min()) for a in at]
         shape = tuple(int(a.max()) - lo + 1 for a, lo in zip(at, low, strict=True))
@@ -116,9 +129,23 @@ def run_round(state: DataFrame, columns: list[str], step: Callable[[Dense], dict
         for c in columns:
             values[c] = np.zeros(shape)
             values[c][index] = table.column(c).to_numpy()
-        result = step(Dense(inside, values))
         places = tuple(i[mine] for i in index)
-        return pa.table({c: pa.array(a[mine].astype(np.int32)) for c, a in zip(AXES, at, strict=True)} | {c: pa.array(result[c][places]) for c in out})
+        own = np.zeros(shape, bool)
+        own[places] = True
+        result = step(Dense(inside, values, own))
+        trace = pa.array([list(map(float, result.get("trace", [])))] + [None] * (int(mine.sum()) - 1), pa.list_(pa.float64()))
+        return pa.table({c: pa.array(a[mine].astype(np.int32)) for c, a in zip(AXES, at, strict=True)} | {c: pa.array(result[c][places]) for c in out} | {"trace": trace})
 
-    schema = "n int, row int, col int, " + ", ".join(f"{c} double" for c in out)
+    schema = "n int, row int, col int, " + ", ".join(f"{c} double" for c in out) + ", trace array<double>"
     return keyed.groupBy("_b_n", "_b_row", "_b_col").applyInArrow(solve, schema)
+
+
+def trace_of(state: DataFrame) -> list[float]:
+    """The largest number of each iteration of the round over all blocks: as many numbers as the round has iterations."""
+    each = state.where(F.col("trace").isNotNull()).select(F.posexplode("trace").alias("k", "x"))
+    return [r.x for r in each.groupBy("k").agg(F.max("x").alias("x")).orderBy("k").collect()]
+
+
+def trace_table(spark: SparkSession, squares: list[float]) -> DataFrame:
+    """(iter, maxdeltaq): the largest change of a voxel in each iteration, from its squares."""
+    return spark.createDataFrame([(k, x**0.5) for k, x in enumerate(squares)], "iter int, maxdeltaq double")

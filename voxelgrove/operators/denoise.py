@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import AXES, Dense, dropped, run_round, written
+from .blocks import AXES, Dense, dropped, run_round, trace_of, trace_table, written
 from .stencil import divergence, following
 
 TAU = 0.165
@@ -16,9 +16,9 @@ DUAL = ["q1", "q2", "q3"]
 
 
 def iterate(d: Dense, iterations: int, lam: float, tau: float) -> dict[str, np.ndarray]:
-    """Dual steps; r is the largest change of a voxel's vector, squared, in the last one."""
+    """Dual steps; r is the change of a voxel's vector, squared, in the last one, trace the largest of them in each."""
     f, q = d.values["u"], [d.values[c] for c in DUAL]
-    change = np.zeros_like(f)
+    change, trace = np.zeros_like(f), []
     for _ in range(iterations):
         v = sum(d.backward_part(x, k) for k, x in enumerate(q)) - f / lam
         g = [d.forward(v, k) for k in range(3)]
@@ -26,17 +26,31 @@ def iterate(d: Dense, iterations: int, lam: float, tau: float) -> dict[str, np.n
         fresh = [(x + tau * y) / scale for x, y in zip(q, g, strict=True)]
         change = sum((x - y) ** 2 for x, y in zip(q, fresh, strict=True))
         q = fresh
-    return {"u": f, "q1": q[0], "q2": q[1], "q3": q[2], "r": change}
+        trace.append(d.most(change))
+    return {"u": f, "q1": q[0], "q2": q[1], "q3": q[2], "r": change, "trace": trace}
 
 
 def denoise(voxels: DataFrame, iterations: int = ITERATIONS, lam: float = LAMBDA, tau: float = TAU, block: tuple[int, int, int] = (48, 48, 48), per_round: int = 10) -> DataFrame:
     """(n, row, col, u, d, r): the input, the denoised value, and the last squared change. ``per_round`` iterations need a halo of as many voxels and one."""
+    return _rounds(voxels, iterations, lam, tau, block, per_round, None)
+
+
+def denoise_traced(voxels: DataFrame, iterations: int = ITERATIONS, lam: float = LAMBDA, tau: float = TAU, block: tuple[int, int, int] = (48, 48, 48), per_round: int = 10) -> tuple[DataFrame, DataFrame]:
+    """``denoise``, and (iter, maxdeltaq): the largest change of a dual vector in each iteration."""
+    trace: list[float] = []
+    out = _rounds(voxels, iterations, lam, tau, block, per_round, trace)
+    return out, trace_table(voxels.sparkSession, trace)
+
+
+def _rounds(voxels: DataFrame, iterations: int, lam: float, tau: float, block: tuple[int, int, int], per_round: int, trace: list[float] | None) -> DataFrame:
     state = voxels.select(*AXES, F.col("u").cast("double").alias("u"), *[F.lit(0.0).alias(c) for c in DUAL])
     left = iterations
     while left > 0:
         n = min(per_round, left)
         left -= n
         after = written(run_round(state, ["u", *DUAL], lambda d, n=n: iterate(d, n, lam, tau), block, n + 1, ["u", *DUAL, "r"]), f"dual_{left}")
+        if trace is not None:
+            trace += trace_of(after)
         dropped(state)
         state = after
     return divergence(state, ("q1", "q2", "q3")).withColumn("d", F.col("u") - lam * F.col("div")).select(*AXES, "u", "d", *(["r"] if "r" in state.columns else []))

@@ -5,8 +5,9 @@ A slice's levels are counted and its white runs found by Spark; only the counts
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-from itertools import combinations
+from collections.abc import Iterable, Iterator
+from itertools import combinations, groupby, pairwise
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -32,35 +33,113 @@ def runs_of(white: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def largest_part(runs: Iterable[tuple[int, int, int]]) -> np.ndarray:
-    """Ends (row, col) of the runs of the largest 8-connected part; they are enough for the enclosing circle. runs: by row, then by col."""
-    parents: list[int] = []
+class _Sets:
+    """Numbers joined into sets; a set is called by its least number."""
+
+    def __init__(self) -> None:
+        self.parents: list[int] = []
 
-    def root(k: int) -> int:
-        while parents[k] != k:
-            parents[k] = parents[parents[k]]
-            k = parents[k]
+    def new(self) -> int:
+        self.parents.append(len(self.parents))
+        return len(self.parents) - 1
+
+    def root(self, k: int) -> int:
+        while self.parents[k] != k:
+            self.parents[k] = self.parents[self.parents[k]]
+            k = self.parents[k]
         return k
 
-    all_runs, above, now, at = [], [], [], None
-    for r, a, b in runs:
-        if r != at:
-            above, now, at = (now if at == r - 1 else []), [], r
-        k = len(parents)
-        parents.append(k)
-        for c, d, j in above:
-            if c <= b + 1 and a <= d + 1:
-                x, y = root(j), root(k)
-                parents[max(x, y)] = min(x, y)
-        now.append((a, b, k))
-        all_runs.append((r, a, b))
-    if not all_runs:
+    def join(self, a: int, b: int) -> None:
+        a, b = self.root(a), self.root(b)
+        self.parents[max(a, b)] = min(a, b)
+
+
+def _touching(above: list[tuple[int, int, int]], now: list[tuple[int, int, int]], reach: int) -> Iterator[tuple[int, int]]:
+    """Pairs of runs of two lines, each in order, that share a column, or with ``reach`` 1 touch at a corner."""
+    i = 0
+    for a, b, k in now:
+        while i and above[i - 1][1] + reach >= a:
+            i -= 1
+        while i < len(above) and above[i][1] + reach < a:
+            i += 1
+        while i < len(above) and above[i][0] <= b + reach:
+            yield above[i][2], k
+            i += 1
+
+
+_FAR = 1 << 40
+
+
+def enclosed_areas(runs: Iterable[tuple[int, int, int]]) -> list[tuple[float, tuple[int, int], list[tuple[int, int, int]]]]:
+    """(area, first point, filled runs) of each outermost part of a picture, its runs given by row, then by col.
+
+    White points belong together over edges and corners, black ones over edges; black that the outside does not reach is filled, with all that lies in it. The area is that of the polygon through
+    the outermost points' centres: 1 for every four neighbouring points in a square, 1/2 for every three.
+    """
+    sets = _Sets()
+    outside = sets.new()
+    lines: list[tuple[int, list[tuple[int, int, int]]]] = []
+    above: list[tuple[int, int, int]] = []
+    gaps_above, at = [(-_FAR, _FAR, outside)], None
+    joined: list[tuple[int, int, int]] = []
+    grouped = ((r, [(a, b) for _, a, b in own]) for r, own in groupby(runs, key=itemgetter(0)))
+    for r, own in grouped:
+        if at is not None and r != at + 1:
+            for _, _, k in gaps_above:
+                sets.join(outside, k)
+            above, gaps_above = [], [(-_FAR, _FAR, outside)]
+        now = [(a, b, sets.new()) for a, b in own]
+        gaps = [(-_FAR, now[0][0] - 1, outside)]
+        for (_, b, left), (c, _, right) in pairwise(now):
+            hole = sets.new()
+            gaps.append((b + 1, c - 1, hole))
+            joined.append((hole, left, right))
+        gaps.append((now[-1][1] + 1, _FAR, outside))
+        for one, other in _touching(above, now, 1):
+            sets.join(one, other)
+        for one, other in _touching(gaps_above, gaps, 0):
+            sets.join(one, other)
+        lines.append((r, now))
+        above, gaps_above, at = now, gaps, r
+    for _, _, k in gaps_above:
+        sets.join(outside, k)
+    holes = [x for x in joined if sets.root(x[0]) != outside]
+    closed = {left for _, left, _ in holes}
+    for hole, left, right in holes:
+        sets.join(left, right)
+        sets.join(hole, left)
+    filled: dict[int, list[tuple[int, int, int]]] = {}
+    area: dict[int, float] = {}
+    before: list[tuple[int, int, int]] = []
+    last = None
+    for r, now in lines:
+        whole: list[tuple[int, int, int]] = []
+        for k, (a, b, part) in enumerate(now):
+            if k and now[k - 1][2] in closed:
+                whole[-1] = (whole[-1][0], b, whole[-1][2])
+            else:
+                whole.append((a, b, sets.root(part)))
+        spans = {k: (a, b) for k, (a, b, _) in enumerate(whole)}
+        for a, b, part in whole:
+            filled.setdefault(part, []).append((r, a, b))
+        if last == r - 1:
+            ends = {k: (a, b) for k, (a, b, _) in enumerate(before)}
+            for i, j in _touching([(a, b, k) for k, (a, b, _) in enumerate(before)], [(a, b, k) for k, (a, b, _) in enumerate(whole)], 1):
+                (a, b), (c, d) = ends[i], spans[j]
+                # Squares of four, and at either end of one run those where the other goes on.
+                size = max(0, min(b, d) - max(a, c)) + 0.5 * ((a < c <= b) + (a <= d < b) + (c < a <= d) + (c <= b < d))
+                area[whole[j][2]] = area.get(whole[j][2], 0.0) + size
+        before, last = whole, r
+    return [(area.get(k, 0.0), (own[0][0], own[0][1]), own) for k, own in filled.items()]
+
+
+def largest_part(runs: Iterable[tuple[int, int, int]]) -> np.ndarray:
+    """Ends (row, col) of the filled runs of the part that encloses the most, the first one among equals; they are enough for the enclosing circle."""
+    parts = enclosed_areas(runs)
+    if not parts:
         return np.zeros((0, 2))
-    size: dict[int, int] = {}
-    for k, (_, a, b) in enumerate(all_runs):
-        size[root(k)] = size.get(root(k), 0) + b - a + 1
-    best = min(size, key=lambda k: (-size[k], k))
-    return np.array([(r, c) for k, (r, a, b) in enumerate(all_runs) if root(k) == best for c in {a, b}], float)
+    _, _, own = min(parts, key=lambda x: (-x[0], x[1]))
+    return np.array([(r, c) for r, a, b in own for c in {a, b}], float)
 
 
 def enclosing_circle(points: np.ndarray, seed: int = 0) -> tuple[float, float, float]:

@@ -35,17 +35,24 @@ def jitter_for(jitter: float, bins: int) -> float:
     return jitter if jitter * jitter < 0.5 / bins else 0.0
 
 
+def noise(seed: int, axes: tuple[str, ...] = ("n", "row", "col")) -> Column:
+    """A number from 0 to 1 (exclusive) for each voxel, made from the seed and its place alone: 32 bits of the md5 of "<seed>:<n>:<row>:<col>"."""
+    place = F.concat_ws(":", F.lit(str(seed)), *[F.col(a).cast("string") for a in axes])
+    return (F.conv(F.substring(F.md5(place.cast("binary")), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+
+
 def histogram(voxels: DataFrame, bins: int, lo: float | None = None, hi: float | None = None, value: str = "u", jitter: float = 0.0, seed: int = 0) -> DataFrame:
     """(bin, count, density, lo, hi) with a row for each bin. The range is the values' own unless given; density divides by all voxels, also those outside it.
 
-    With a jitter, values move by up to half of it either way before they are put in bins, and those less than that from the ends are left out below and above.
+    With a jitter, values move by up to half of it either way before they are put in bins, and those less than that from the ends are left out below and above. How a voxel moves follows from
+    ``seed`` and its place, so the counts depend on no partitioning.
     """
     x = F.col(value).cast("double")
     if lo is None or hi is None:
         ends = voxels.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.count("*").alias("total"))
     else:
         ends = voxels.agg(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi"), F.count("*").alias("total"))
-    moved = x + F.lit(jitter) * (F.rand(seed) - 0.5) if jitter else x
+    moved = x + F.lit(jitter) * (noise(seed) - 0.5) if jitter else x
     inside = (F.col("lo") - jitter / 2 <= x) & (x + jitter / 2 <= F.col("hi"))
     # One row of ends is joined to all voxels: it is a single row by construction.
     counted = voxels.crossJoin(F.broadcast(ends.select("lo", "hi"))).where(inside).groupBy(bin_of(moved, F.col("lo"), F.col("hi"), bins).alias("bin")).agg(F.count("*").alias("count"))

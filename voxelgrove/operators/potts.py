@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.voxel import argmax_label, check_labels, nearest_label
-from .blocks import AXES, Dense, dropped, run_round, written
+from .blocks import AXES, Dense, dropped, run_round, trace_of, trace_table, written
 
 TAU = 0.99 * sqrt(1 / 12)
 ITERATIONS = 100
@@ -63,7 +63,7 @@ def iterate(d: Dense, labels: list[float], iterations: int, lam: float, tau: flo
     xi = np.stack([np.stack([d.values[f"x{i}_{a}"] for a in range(3)]) for i in range(k - 1)])
     whole = lambda x, total: np.concatenate([x, (total - x.sum(axis=0))[None]])
     cost = np.stack([lam * (g - c) ** 2 for c in labels])
-    change = np.zeros_like(g)
+    change, trace = np.zeros_like(g), []
     for _ in range(iterations):
         full = whole(bar, 1.0)
         grad = np.stack([np.stack([d.forward(x, a) for a in range(3)]) for x in full])
@@ -74,7 +74,8 @@ def iterate(d: Dense, labels: list[float], iterations: int, lam: float, tau: flo
         fresh = project_simplex(old + tau * (div - cost))
         change = ((fresh - old) ** 2).sum(axis=0)
         bar, v = 2 * fresh[:-1] - old[:-1], fresh[:-1]
-    out = {"u": g, "r": change}
+        trace.append(d.most(change))
+    out = {"u": g, "r": change, "trace": trace}
     for i in range(k - 1):
         out |= {f"v{i}": v[i], f"b{i}": bar[i]} | {f"x{i}_{a}": xi[i][a] for a in range(3)}
     return out
@@ -82,6 +83,17 @@ def iterate(d: Dense, labels: list[float], iterations: int, lam: float, tau: flo
 
 def segment(voxels: DataFrame, labels: list[float], lam: float, iterations: int = ITERATIONS, tau: float = TAU, block: tuple[int, int, int] = (48, 48, 48), per_round: int = 6) -> DataFrame:
     """(n, row, col, u, label, c): the label of the largest share and its intensity; the nearest label to begin with."""
+    return _rounds(voxels, labels, lam, iterations, tau, block, per_round, None)
+
+
+def segment_traced(voxels: DataFrame, labels: list[float], lam: float, iterations: int = ITERATIONS, tau: float = TAU, block: tuple[int, int, int] = (48, 48, 48), per_round: int = 6) -> tuple[DataFrame, DataFrame]:
+    """``segment``, and (iter, maxdeltaq): the largest change of a voxel's shares in each iteration."""
+    trace: list[float] = []
+    out = _rounds(voxels, labels, lam, iterations, tau, block, per_round, trace)
+    return out, trace_table(voxels.sparkSession, trace)
+
+
+def _rounds(voxels: DataFrame, labels: list[float], lam: float, iterations: int, tau: float, block: tuple[int, int, int], per_round: int, trace: list[float] | None) -> DataFrame:
     labels = check_labels(labels)
     k = len(labels)
     first = nearest_label(F.col("u"), labels)
@@ -95,6 +107,8 @@ def segment(voxels: DataFrame, labels: list[float], lam: float, iterations: int
         left -= n
         # An iteration looks one voxel on for the gradient and one back for the divergence.
         after = written(run_round(state, columns, lambda d, n=n: iterate(d, labels, n, lam, tau), block, 2 * n, [*columns, "r"]), f"shares_{left}")
+        if trace is not None:
+            trace += trace_of(after)
         dropped(state)
         state = after
     label = argmax_label(F.array(*[F.col(f"v{i}") for i in range(k - 1)]))

@@ -12,4 +12,4 @@ def read_table(spark: SparkSession, path: str, columns: tuple[str, ...] = ("inte
 
 
 def write_table(table: DataFrame, path: str) -> None:
-    table.write.csv(path, sep=" ", header=True)
+    table.write.mode("overwrite").csv(path, sep=" ", header=True)
