@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from voxelgrove.sources import tiff
-from voxelgrove.sources.archive import BitReader, BitWriter, Field, archive_slabs, read_archives
+from voxelgrove.sources.archive import BitReader, BitWriter, Field, archive_slabs, read_archive, read_archives, write_archive
 from voxelgrove.sources.text import read_table, write_table
 from voxelgrove.sources.volumes import embedding_volume, from_rods, rods
 
@@ -52,6 +52,65 @@ def test_tiff(spark, tmp_path):
             tiff.pages(data)
 
 
+def plain_decoder(data, kind):
+    """The format bit by bit, with the tables of all the picture's columns, indexed by the column itself."""
+    bits = "".join(f"{b:08b}" for b in data)
+    at = 0
+
+    def take(n):
+        nonlocal at
+        at += n
+        return int(bits[at - n : at], 2) if n else 0
+
+    def ue():
+        zeros = 0
+        while take(1) == 0:
+            zeros += 1
+        return (1 << zeros) + take(zeros) - 1
+
+    def se():
+        k = ue()
+        return (k + 1) // 2 if k & 1 else -(k // 2)
+
+    images, rows, cols, stride, begin, end = (ue() for _ in range(6))
+    tables = []
+    for _ in range(2):
+        count = ue()
+        table = [ue()]
+        for _ in range(count - 1):
+            table.append((table[-1] + se()) % (1 << 32))
+        tables.append(table)
+    start, base = tables
+    assert len(start) == cols and len(base) == cols + 1
+    ends = [np.uint32(take(32)).view(np.float32) for _ in range(2)] if kind == "f4" else None
+    out = {}
+    for col in range(begin, end):
+        for row in range(start[col], start[col] + (base[col + 1] - base[col]) // stride):
+            for n in range(images):
+                x = take(32 if kind == "f4" else 16)
+                out[n, row, col] = float(np.uint32(x).view(np.float32)) if kind == "f4" else x
+    assert len(bits) - at < 8 and set(bits[at:]) <= {"0"} and all(start[c] == (1 << 32) - 1 for c in range(cols) if not begin <= c < end)
+    return (images, rows, cols, stride, begin, end), ends, out
+
+
+@pytest.mark.parametrize(("images", "kind"), [(3, "f4"), (35, "f4"), (2, "u2"), (70, "u2")])
+def test_one_archive_by_many_tasks(spark, tmp_path, images, kind):
+    rng = np.random.default_rng(images)
+    rows = [(n, r, c, float(rng.integers(0, 60000)) if kind == "u2" else float(np.float32(rng.random()))) for c in range(3, 9) for r in range(20) if (r - 9.5) ** 2 + (c - 5.6) ** 2 < 12 for n in range(images)]
+    v = spark.createDataFrame(rows, "n int, row int, col int, u double").repartition(5)
+    path = str(tmp_path / "whole.field")
+    write_archive(v, path, images, 20, 11, lo=10.0, hi=250.0, kind=kind)
+    head, ends, found = plain_decoder((tmp_path / "whole.field").read_bytes(), kind)
+    cols = sorted({c for _, _, c, _ in rows})
+    assert head == (images, 20, 11, -(-images * (4 if kind == "f4" else 2) // 128) * 128 // (4 if kind == "f4" else 2), cols[0], cols[-1] + 1)
+    assert found == {(n, r, c): u for n, r, c, u in rows} and (kind == "u2" or ends == [10.0, 250.0])
+    assert Field.decode((tmp_path / "whole.field").read_bytes(), kind).values.tolist() == [found[k] for k in sorted(found, key=lambda k: (k[2], k[1], k[0]))]
+    back, field = read_archive(spark, path, kind)
+    assert {(r.n, r.row, r.col): r.u for r in back.collect()} == found and field.width == 11
+    with pytest.raises(ValueError, match="gaps"):
+        write_archive(v.where("not (row = 9 and col = 5 and n = 1)"), path, images, 20, 11)
+
+
 def lzw(data):
     """A plain LZW encoder of the format: high bits first, codes one wider as soon as the next but one needs it."""
     out, width, known, last = [], 9, {bytes([k]): k for k in range(256)}, b""

@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from ..operators import bimm, denoise, export, geometry, gmm, mask, phases, pott
 from ..operators import histogram as hist
 from ..operators.blocks import shared_folder
 from ..sources import tiff
-from ..sources.archive import Field, archive_slabs
+from ..sources.archive import Field, archive_slabs, read_archive, write_archive
 from ..sources.volumes import cube_side, embedding_volume, event_volume, from_rods, linear_ids, order_volume, rods, square_side
 from . import programs
 
@@ -158,6 +159,14 @@ def mixture_sql(parts: list[str]) -> str:
     return " + ".join(f"{w} * ({p})" for w, p in zip(THETA.weights, parts, strict=True))
 
 
+def window_sql(density: str, lu: str, hu: str, hv: str, points: int = 48) -> str:
+    """The integral of an expression of u and v over lu..hu, 0..hv, by products of Gauss-Legendre points; FROM what gives the ends."""
+    x, w = np.polynomial.legendre.leggauss(points)
+    lists = f"unnest({[(a + 1) / 2 for a in x.tolist()]}) AS {{0}}, unnest({[a / 2 for a in w.tolist()]}) AS w{{0}}"
+    grid = f"SELECT {lu} + ({hu} - {lu}) * a AS u, {hv} * b AS v, wa * wb * ({hu} - {lu}) * {hv} AS w FROM ends_uv, (SELECT {lists.format('a')}), (SELECT {lists.format('b')})"
+    return f"(SELECT sum(w * ({density})) FROM ({grid}))"
+
+
 DENSITY_SQL = mixture_sql([*[pure_sql(i) for i in range(3)], *[interface_sql(i, j) for i, j in THETA.pairs]])
 MARGINAL_SQL = mixture_sql([*[pure_marginal_sql(i) for i in range(3)], *[interface_marginal_sql(i, j) for i, j in THETA.pairs]])
 ELIGIBLE_SQL = f"{G_SQL}, s AS (SELECT * FROM g WHERE v > 0 AND v <= {WINDOW[2]} AND u BETWEEN {WINDOW[0]} AND {WINDOW[1]})"
@@ -475,7 +484,7 @@ def bimm_density_interface(spark, sf):
     return s.select("n", "row", "col", *[r6(bimm.interface_density(F.col("u"), F.col("v"), THETA, i, j, NODES)).alias(f"p{i}{j}") for i, j in THETA.pairs])
 
 
-@query(f"WITH {ELIGIBLE_SQL} SELECT count(*) AS n, round(avg(-ln({DENSITY_SQL})) + ln({bimm.total_mass(THETA, *WINDOW, NODES)!r}), 6) AS nll FROM s")
+@query(f"WITH {ELIGIBLE_SQL}, ends_uv AS (SELECT {WINDOW[0]}::DOUBLE AS lu, {WINDOW[1]}::DOUBLE AS hu, {WINDOW[2]}::DOUBLE AS hv) SELECT count(*) AS n, round(avg(-ln({DENSITY_SQL})) + ln({window_sql(DENSITY_SQL, 'lu', 'hu', 'hv')}), 6) AS nll FROM s")
 def bimm_nll(spark, sf):
     s = bimm.eligible(with_gradient(spark, sf), *WINDOW)
     return bimm.negative_log_likelihood(s, THETA, WINDOW, NODES).select("n", r6(F.col("nll")).alias("nll"))
@@ -495,15 +504,27 @@ def component_pdfs(spark, sf):
     return bimm.component_tables(spark, THETA, lo, hi, count=NODES).select("component", r6(F.col("u")).alias("u"), r6(F.col("pdf")).alias("pdf"))
 
 
-@query()
+MASSES = [*[(f"{i:02d}", pure_sql(i)) for i in range(3)], *[(f"{i:02d}-{j:02d}", interface_sql(i, j)) for i, j in THETA.pairs]]
+
+
+def share_sql(p: float, bins: int) -> str:
+    return quantile_sql(p, bins).removeprefix("round(").removesuffix(", 6)")
+
+
+@query(
+    f"WITH {G_SQL}, {hist_sql('g', 1024)}, {CUM_SQL.format(what='count')}, hu AS (SELECT {share_sql(0.01, 1024)} AS lu, {share_sql(0.99, 1024)} AS hu FROM k), "
+    f"gv AS (SELECT * FROM g WHERE v > 0), {hist_sql('gv', 1024, value='v', lo='(SELECT min(v) FROM {s})', hi='(SELECT max(v) FROM {s})').replace('ends AS', 'ends2 AS').replace('FROM gv, ends WHERE', 'FROM gv, ends2 WHERE').replace('c AS (SELECT', 'c2 AS (SELECT', 1).replace('h AS (SELECT CAST', 'h2 AS (SELECT CAST').replace('LEFT JOIN c ON c.bin', 'LEFT JOIN c2 AS c ON c.bin').replace(', ends)', ', ends2)')}, "
+    f"{CUM_SQL.format(what='count').replace('k AS', 'k2 AS').replace('FROM h)', 'FROM h2)')}, ends_uv AS (SELECT lu, hu, (SELECT {share_sql(0.99, 1024)} FROM k2) AS hv FROM hu) "
+    + " UNION ALL ".join(f"SELECT '{name}' AS component, round({window_sql(sql, 'lu', 'hu', 'hv')}, 6) AS mass" for name, sql in MASSES)
+)
 def bimm_truncation_mass(spark, sf):
-    """(component, mass) of the window that the volume's own tails give."""
+    """(component, mass) of the window that the volume's own tails give: closed forms, against integrals of the densities."""
     uv = written_gradient(spark, sf)
     u = hist.quantiles(hist.histogram(uv, 1024), {"lo": 0.01, "hi": 0.99}, 1024).first()
     v = hist.quantiles(hist.histogram(uv.where("v > 0"), 1024, value="v"), {"hi": 0.99}, 1024).first()
     window = (u.lo, u.hi, v.hi)
-    rows = [(f"{i:02d}", bimm.pure_mass(THETA, i, *window)) for i in range(3)] + [(f"{i:02d}-{j:02d}", bimm.interface_mass(THETA, i, j, *window)) for i, j in THETA.pairs]
-    return spark.createDataFrame(rows, "component string, mass double")
+    rows = [(f"{i:02d}", bimm.pure_mass(THETA, i, *window)) for i in range(3)] + [(f"{i:02d}-{j:02d}", bimm.interface_mass(THETA, i, j, *window, NODES)) for i, j in THETA.pairs]
+    return spark.createDataFrame([(name, round(x, 6)) for name, x in rows], "component string, mass double")
 
 
 @query(f'WITH {U_SQL} SELECT n, "row", CAST(round(pow(greatest(u, 0.0), {1 / 2.2!r}) * 255) AS INT) AS level FROM w WHERE "col" = (SELECT s // 2 FROM side)')
@@ -806,3 +827,11 @@ def archive_round_trip(spark, sf):
                 yield Field.decode(bytes(content)).voxels()
 
     return slabs.select("content").mapInPandas(decode, "n int, row int, col int, u double").select("n", "row", "col", F.round("u", 5).alias("u"))
+
+
+@query(f'WITH {M_SQL} SELECT {VOXEL}, round(u, 5) AS u FROM m')
+def archive_whole(spark, sf):
+    """The masked volume written as one archive by many tasks and read back by many."""
+    side, path = square_side(spark, sf), f"{shared_file(spark, 'volume')}.field"
+    write_archive(masked(spark, sf), path, IMAGES, side, side, lo=LO, hi=HI)
+    return read_archive(spark, path)[0].select("n", "row", "col", F.round("u", 5).alias("u"))
