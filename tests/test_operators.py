@@ -290,6 +290,56 @@ def test_traces_of_the_solvers_are_those_of_the_whole_volume(spark):
     assert np.allclose([r.maxdeltaq for r in trace.orderBy("iter").collect()], np.sqrt(whole))
 
 
+def test_blocks_are_planned_by_memory_and_cost(spark):
+    import tracemalloc
+
+    from voxelgrove.operators import blocks
+    from voxelgrove.operators.blocks import Dense, plan_blocks
+
+    scan = ((0, 1425), (0, 1999), (0, 1999))
+    potts_plan = lambda k, memory, tasks=2000: plan_blocks(scan, 100, 2, 0, 1 + 5 * (k - 1), potts.arrays(k), memory, tasks)
+    two, six = potts_plan(2, 1 << 30), potts_plan(6, 1 << 30)
+    assert two.block != six.block and max(two.bytes, six.bytes) <= 1 << 30 and np.prod(six.block) < np.prod(two.block)
+    less = potts_plan(2, 64 << 20)
+    assert less.bytes <= 64 << 20 and less.rounds * less.copies > two.rounds * two.copies
+    assert two.rounds * two.per_round >= 100 and 1 < two.copies < 4
+    small = plan_blocks(((3, 30), (0, 20), (0, 19)), 10, 1, 1, 4, denoise.ARRAYS, 1 << 30, 8)
+    assert np.prod([-(-x // b) for x, b in zip((28, 21, 20), small.block, strict=True)]) >= 4
+    with pytest.raises(ValueError, match="memory"):
+        potts_plan(6, 1 << 16)
+    # What a block really takes stays within what the plan says.
+    for k in (2, 6):
+        shape = (30, 30, 30)
+        names = ["u", *[f"{p}{i}" for i in range(k - 1) for p in "vb"], *[f"x{i}_{a}" for i in range(k - 1) for a in range(3)]]
+        state = Dense(np.ones(shape, bool), {c: np.random.default_rng(1).random(shape) / k for c in names})
+        tracemalloc.start()
+        potts.iterate(state, list(np.linspace(0.1, 0.9, k)), 2, 3.0, potts.TAU)
+        peak = tracemalloc.get_traced_memory()[1] + 8 * 27_000 * len(names)
+        tracemalloc.stop()
+        assert peak <= 8 * 27_000 * potts.arrays(k)
+    x = np.random.default_rng(24).random((9, 10, 11))
+    planned = {(r.n, r.row, r.col): r.d for r in denoise.denoise(volume(spark, x), 6, 0.3).collect()}
+    given = denoise.denoise(volume(spark, x), 6, 0.3, block=(16, 16, 16), per_round=6).collect()
+    assert len(planned) == x.size and all(abs(planned[r.n, r.row, r.col] - r.d) < 1e-12 for r in given)
+    assert blocks.bounding_box(volume(spark, x).limit(0)) is None and denoise.denoise(volume(spark, x).limit(0), 6, 0.3).count() == 0
+
+
+def test_aligned_volumes_join_without_a_shuffle(spark, tmp_path):
+    from voxelgrove.operators import phases
+    from voxelgrove.sources.volumes import save_aligned
+
+    x = np.random.default_rng(25).random((4, 6, 7))
+    v = volume(spark, x)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    a, b = (save_aligned(t, f"aligned_test_{k}", 4, str(tmp_path / k)) for k, t in (("a", v), ("b", phases.denoised_by_mean(v))))
+    joined = phases.align(a, b)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    want = phases.align(v, phases.denoised_by_mean(v)).collect()
+    assert sorted((r.n, r.row, r.col, r.u, r.d) for r in joined.collect()) == sorted((r.n, r.row, r.col, r.u, r.d) for r in want)
+
+
 def test_vtk_file(spark, tmp_path):
     from voxelgrove.operators import export
 

@@ -18,7 +18,7 @@ from ..operators import histogram as hist
 from ..operators.blocks import shared_folder
 from ..sources import tiff
 from ..sources.archive import Field, archive_slabs, read_archive, write_archive
-from ..sources.volumes import cube_side, embedding_volume, event_volume, from_rods, linear_ids, order_volume, rods, square_side
+from ..sources.volumes import cube_side, embedding_volume, event_volume, from_rods, linear_ids, order_volume, rods, save_aligned, square_side
 from . import programs
 
 LABELS = [-0.15, 0.0, 0.15]
@@ -420,16 +420,28 @@ def pair_labels(spark, sf):
     return phases.label_pairs(means).select("i", "j", r6(F.abs(F.col("c_i") - F.col("c_j"))).alias("gap"))
 
 
-@query(
+RAW_STATS_SQL = (
     f"WITH {D_SQL}, s AS (SELECT {labels_sql('d')} AS label, u FROM m JOIN dn USING (n, \"row\", \"col\")) "
     "SELECT label, count(*) AS count, round(avg(u), 6) AS mean, round(coalesce(var_samp(u), 0.0), 6) AS variance, round(count(*) / sum(count(*)) OVER (), 6) AS fraction FROM s GROUP BY label"
 )
+
+
+@query(RAW_STATS_SQL)
 def raw_stats_by_label(spark, sf):
     v = masked(spark, sf)
     found = phases.statistics_by_label(v, phases.denoised_by_mean(v), LABELS)
     return found.select("label", "count", *[r6(F.col(c)).alias(c) for c in ("mean", "variance", "fraction")])
 
 
+@query(RAW_STATS_SQL)
+def raw_stats_aligned(spark, sf):
+    """The same from two volumes saved in buckets of place: neither is shuffled for the join."""
+    v = masked(spark, sf)
+    raw, quiet = (save_aligned(x, f"aligned_{uuid.uuid4().hex}", 16, shared_file(spark, "volume")) for x in (v, phases.denoised_by_mean(v)))
+    found = phases.statistics_by_label(raw, quiet, LABELS)
+    return found.select("label", "count", *[r6(F.col(c)).alias(c) for c in ("mean", "variance", "fraction")])
+
+
 FRACTION_SQL = f"{M_SQL}, f AS (SELECT {labels_sql('u')} AS label, count(*) AS count FROM m GROUP BY 1)"
 
 

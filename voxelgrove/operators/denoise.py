@@ -6,13 +6,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import AXES, Dense, dropped, run_round, trace_of, trace_table, written
+from .blocks import AXES, Dense, bounding_box, dropped, plan_blocks, run_round, task_memory, trace_of, trace_table, written
 from .stencil import divergence, following
 
 TAU = 0.165
 ITERATIONS = 150
 LAMBDA = 0.06
 DUAL = ["q1", "q2", "q3"]
+#: Numbers for each voxel of a block while it is worked on.
+ARRAYS = 22
 
 
 def iterate(d: Dense, iterations: int, lam: float, tau: float) -> dict[str, np.ndarray]:
@@ -30,25 +32,31 @@ def iterate(d: Dense, iterations: int, lam: float, tau: float) -> dict[str, np.n
     return {"u": f, "q1": q[0], "q2": q[1], "q3": q[2], "r": change, "trace": trace}
 
 
-def denoise(voxels: DataFrame, iterations: int = ITERATIONS, lam: float = LAMBDA, tau: float = TAU, block: tuple[int, int, int] = (48, 48, 48), per_round: int = 10) -> DataFrame:
-    """(n, row, col, u, d, r): the input, the denoised value, and the last squared change. ``per_round`` iterations need a halo of as many voxels and one."""
+def denoise(voxels: DataFrame, iterations: int = ITERATIONS, lam: float = LAMBDA, tau: float = TAU, block: tuple[int, int, int] | None = None, per_round: int | None = None) -> DataFrame:
+    """(n, row, col, u, d, r): the input, the denoised value, and the last squared change. ``per_round`` iterations need a halo of as many voxels and one; both it and ``block`` follow from the volume
+    and the executors' memory unless given (see ``plan_blocks``)."""
     return _rounds(voxels, iterations, lam, tau, block, per_round, None)
 
 
-def denoise_traced(voxels: DataFrame, iterations: int = ITERATIONS, lam: float = LAMBDA, tau: float = TAU, block: tuple[int, int, int] = (48, 48, 48), per_round: int = 10) -> tuple[DataFrame, DataFrame]:
+def denoise_traced(voxels: DataFrame, iterations: int = ITERATIONS, lam: float = LAMBDA, tau: float = TAU, block: tuple[int, int, int] | None = None, per_round: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``denoise``, and (iter, maxdeltaq): the largest change of a dual vector in each iteration."""
     trace: list[float] = []
     out = _rounds(voxels, iterations, lam, tau, block, per_round, trace)
     return out, trace_table(voxels.sparkSession, trace)
 
 
-def _rounds(voxels: DataFrame, iterations: int, lam: float, tau: float, block: tuple[int, int, int], per_round: int, trace: list[float] | None) -> DataFrame:
+def _rounds(voxels: DataFrame, iterations: int, lam: float, tau: float, block: tuple[int, int, int] | None, per_round: int | None, trace: list[float] | None) -> DataFrame:
     state = voxels.select(*AXES, F.col("u").cast("double").alias("u"), *[F.lit(0.0).alias(c) for c in DUAL])
-    left = iterations
+    left, box = iterations, None
+    if iterations and (block is None or per_round is None) and (box := bounding_box(voxels)) is not None:
+        spark = voxels.sparkSession
+        plan = plan_blocks(box, iterations, 1, 1, len(DUAL) + 1, ARRAYS, task_memory(spark), spark.sparkContext.defaultParallelism, block, per_round)
+        block, per_round = plan.block, plan.per_round
+    block, per_round = block or (48, 48, 48), per_round or 10
     while left > 0:
         n = min(per_round, left)
         left -= n
-        after = written(run_round(state, ["u", *DUAL], lambda d, n=n: iterate(d, n, lam, tau), block, n + 1, ["u", *DUAL, "r"]), f"dual_{left}")
+        after = written(run_round(state, ["u", *DUAL], lambda d, n=n: iterate(d, n, lam, tau), block, n + 1, ["u", *DUAL, "r"], box), f"dual_{left}")
         if trace is not None:
             trace += trace_of(after)
         dropped(state)

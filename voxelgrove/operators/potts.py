@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.voxel import argmax_label, check_labels, nearest_label
-from .blocks import AXES, Dense, dropped, run_round, trace_of, trace_table, written
+from .blocks import AXES, Dense, bounding_box, dropped, plan_blocks, run_round, task_memory, trace_of, trace_table, written
 
 TAU = 0.99 * sqrt(1 / 12)
 ITERATIONS = 100
@@ -56,6 +56,11 @@ def project_pairs(q: np.ndarray) -> np.ndarray:
     return q.reshape(shape)
 
 
+def arrays(k: int) -> int:
+    """Numbers for each voxel of a block while it is worked on: the state of k labels, dual vectors before and after with their gradients, and a vector for each pair."""
+    return 5 * (k - 1) + 25 * k + 3 * k * (k - 1) // 2 + 12
+
+
 def iterate(d: Dense, labels: list[float], iterations: int, lam: float, tau: float) -> dict[str, np.ndarray]:
     k, g = len(labels), d.values["u"]
     v = np.stack([d.values[f"v{i}"] for i in range(k - 1)])
@@ -81,19 +86,20 @@ def iterate(d: Dense, labels: list[float], iterations: int, lam: float, tau: flo
     return out
 
 
-def segment(voxels: DataFrame, labels: list[float], lam: float, iterations: int = ITERATIONS, tau: float = TAU, block: tuple[int, int, int] = (48, 48, 48), per_round: int = 6) -> DataFrame:
-    """(n, row, col, u, label, c): the label of the largest share and its intensity; the nearest label to begin with."""
+def segment(voxels: DataFrame, labels: list[float], lam: float, iterations: int = ITERATIONS, tau: float = TAU, block: tuple[int, int, int] | None = None, per_round: int | None = None) -> DataFrame:
+    """(n, row, col, u, label, c): the label of the largest share and its intensity; the nearest label to begin with. ``block`` and ``per_round`` follow from the volume, the
+    number of labels and the executors' memory unless given (see ``plan_blocks``)."""
     return _rounds(voxels, labels, lam, iterations, tau, block, per_round, None)
 
 
-def segment_traced(voxels: DataFrame, labels: list[float], lam: float, iterations: int = ITERATIONS, tau: float = TAU, block: tuple[int, int, int] = (48, 48, 48), per_round: int = 6) -> tuple[DataFrame, DataFrame]:
+def segment_traced(voxels: DataFrame, labels: list[float], lam: float, iterations: int = ITERATIONS, tau: float = TAU, block: tuple[int, int, int] | None = None, per_round: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``segment``, and (iter, maxdeltaq): the largest change of a voxel's shares in each iteration."""
     trace: list[float] = []
     out = _rounds(voxels, labels, lam, iterations, tau, block, per_round, trace)
     return out, trace_table(voxels.sparkSession, trace)
 
 
-def _rounds(voxels: DataFrame, labels: list[float], lam: float, iterations: int, tau: float, block: tuple[int, int, int], per_round: int, trace: list[float] | None) -> DataFrame:
+def _rounds(voxels: DataFrame, labels: list[float], lam: float, iterations: int, tau: float, block: tuple[int, int, int] | None, per_round: int | None, trace: list[float] | None) -> DataFrame:
     labels = check_labels(labels)
     k = len(labels)
     first = nearest_label(F.col("u"), labels)
@@ -101,12 +107,17 @@ def _rounds(voxels: DataFrame, labels: list[float], lam: float, iterations: int,
     duals = [f"x{i}_{a}" for i in range(k - 1) for a in range(3)]
     columns = ["u", *[f"{p}{i}" for i in range(k - 1) for p in "vb"], *duals]
     state = voxels.select(*AXES, F.col("u").cast("double").alias("u"), *shares, *[F.lit(0.0).alias(c) for c in duals])
-    left = iterations
+    left, box = iterations, None
+    if iterations and (block is None or per_round is None) and (box := bounding_box(voxels)) is not None:
+        spark = voxels.sparkSession
+        plan = plan_blocks(box, iterations, 2, 0, len(columns), arrays(k), task_memory(spark), spark.sparkContext.defaultParallelism, block, per_round)
+        block, per_round = plan.block, plan.per_round
+    block, per_round = block or (48, 48, 48), per_round or 6
     while left > 0:
         n = min(per_round, left)
         left -= n
         # An iteration looks one voxel on for the gradient and one back for the divergence.
-        after = written(run_round(state, columns, lambda d, n=n: iterate(d, labels, n, lam, tau), block, 2 * n, [*columns, "r"]), f"shares_{left}")
+        after = written(run_round(state, columns, lambda d, n=n: iterate(d, labels, n, lam, tau), block, 2 * n, [*columns, "r"], box), f"shares_{left}")
         if trace is not None:
             trace += trace_of(after)
         dropped(state)

@@ -64,3 +64,13 @@ def linear_ids(voxels: DataFrame, images: int) -> DataFrame:
     base = spans.withColumn("base", F.coalesce(F.sum((F.col("row_end") - F.col("row_begin")) * images).over(before), F.lit(0)))
     joined = voxels.join(F.broadcast(base), "col")  # a row for each column of the cross-section: at most its width
     return joined.withColumn("id", (F.col("base") + (F.col("row") - F.col("row_begin")) * images + F.col("n")).cast("long")).drop("base", "row_begin", "row_end")
+
+
+def save_aligned(voxels: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> DataFrame:
+    """Saves a volume as a table in buckets of its voxels' places, sorted, so that volumes saved with the same number of buckets are joined by place without a shuffle. Returns the table.
+
+    Rows are dealt out by place first: a bucket is one file. ``buckets`` should be such that one holds some 100 MB. The files lie in the warehouse, or at ``path``.
+    """
+    place = ("col", "row", "n")
+    voxels.repartition(buckets, *place).write.mode("overwrite").bucketBy(buckets, *place).sortBy(*place).saveAsTable(table, **({"path": path} if path else {}))
+    return voxels.sparkSession.table(table)
