@@ -26,7 +26,7 @@ UNIT = 1 << 20
 CLASSES = 4
 #: Powers of two are the only whole numbers on a class's edge; this keeps their logarithms from falling short of it.
 NUDGE = 1e-9
-CELL = 16_384
+CELL = 1024
 SEED = 13
 BROADCAST_ROWS = 100_000
 SALTS = 64
