@@ -30,6 +30,61 @@ def test_quality_held_out(spark):
     assert all(r.predicted == int(r.score >= 0.3) for r in rows)
 
 
+def grams(text):
+    """The n-grams of 1 to 3 characters as they are hashed, one set for each length; numbers wrap at 32 bits."""
+    from voxelgrove.llm.language_id import BUCKETS
+
+    points, out = [ord(c) for c in text.lower()], []
+    for n, size in enumerate(BUCKETS, 1):
+        found = set()
+        for i in range(len(points) - n + 1):
+            code = points[i]
+            for p in points[i + 1 : i + n]:
+                code = (code * 0x01000193 + p) % (1 << 32)
+            found.add((code * 0x9E3779B1) % (1 << 32) >> (33 - size.bit_length()))
+        out.append(found)
+    return out
+
+
+def kernel(a, b):
+    common, own = (sum(len(x & y) for x, y in zip(p, q, strict=True)) for p, q in ((a, b), (a, a)))
+    return common / np.sqrt(own * sum(len(y) for y in b)) if own and any(b) else 0.0
+
+
+def test_language_kernels_and_regression_by_brute_force(spark):
+    from voxelgrove.llm import language_id as L
+    from voxelgrove.llm.common import held_out
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    train = docs.where(~held_out("doc_id"))
+    model = L.fit(train, landmarks=12)
+    rows = [r for r in train.collect() if r.lang is not None and r.text is not None]
+    texts = [r.text[:3000] for r in rows[:12]] + ["", "!!!", "aé漢😀", "x"]
+    flags, sets = np.zeros(L.EDGES[-1], np.uint8), []
+    for t in texts[:5]:
+        at = L.mark(t, flags)
+        sets.append(np.flatnonzero(flags).astype(np.int32))
+        flags[at] = 0
+    want = np.array([[kernel(grams(a), grams(b)) for b in texts[:5]] for a in texts])
+    assert np.allclose(L.Landmarks.of(sets).kernels(texts), want, atol=1e-5) and want.max() == 1.0
+    # Ridge regression on the landmarks' map, solved as one system in the landmarks' own weights.
+    marks = model.landmarks
+    kept = sorted({tuple(np.flatnonzero(c)) for c in marks.matrix.T})
+    landmark = [[set(int(x) - int(a) for x in marks.buckets[list(k)] if a <= x < b) for a, b in zip(L.EDGES, L.EDGES[1:], strict=False)] for k in kept]
+    hashed = [grams(r.text) for r in rows]
+    k_nm = np.array([[kernel(d, m) for m in landmark] for d in hashed])
+    k_mm = np.array([[kernel(a, b) for a in landmark] for b in landmark])
+    y = np.array([[1.0 if r.lang == x else -1.0 for x in model.languages] for r in rows])
+    alpha = np.linalg.solve(k_nm.T @ k_nm + L.RIDGE * len(rows) / 100 * k_mm, k_nm.T @ y)
+    f = k_nm @ alpha
+    e = np.exp(L.SHARPNESS * (f - f.max(axis=1, keepdims=True)))
+    p = e / e.sum(axis=1, keepdims=True)
+    lang, score = model.predict([r.text for r in rows])
+    letters = [k for k, r in enumerate(rows) if L.has_letter(r.text)]
+    assert [lang[k] for k in letters] == [model.languages[p[k].argmax()] for k in letters]
+    assert np.allclose([score[k] for k in letters], p.max(axis=1)[letters], atol=2e-3)
+
+
 def test_toxicity_held_out_by_language(spark):
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{LARGER}/labels.parquet").collect()}
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{LARGER}/documents.parquet").collect()}

@@ -36,12 +36,32 @@ def test_whole_run(spark, sf):
     assert rows and np.all([0 < r.length <= 2048 for r in rows])
 
 
+def rows_of(df):
+    return sorted(map(str, df.select(*corpus_pipeline.COLUMNS).collect()))
+
+
 def test_odd_and_empty_tables(spark, sf, odd, empty):
-    for table in (odd, empty):
-        docs = table
-        for _, stage in corpus_pipeline.STAGES:
-            docs = stage(spark, docs, sf)
-        assert docs.count() >= 0
+    every, plain = rows_of(odd), rows_of(odd.where("doc_id is null or doc_id not in (3, 4, 5)"))
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, empty, sf)
+        assert none.collect() == [] and none.columns == (corpus_pipeline.COLUMNS if name != "packing" else ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+    # Without a letter there is no language; what stays is unchanged, and columns beyond those of documents go.
+    known = rows_of(corpus_pipeline.language_id(spark, odd, sf))
+    assert set(known) <= set(plain) and len(known) >= len(plain) - 2
+    assert set(rows_of(corpus_pipeline.quality(spark, odd, sf))) <= set(every)
+    assert rows_of(corpus_pipeline.decontaminate(spark, odd, sf)) == every
+    kept = rows_of(corpus_pipeline.deduplicate(spark, odd, sf))
+    assert len(kept) == len(every) - 2 and set(kept) <= set(every) and sum("doc_id=None" in r for r in kept) == 1
+    tokenizer, want, got = Encoder(tokenizer_path()).tokenizer, {}, {}
+    for r in odd.collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1
+    for p in corpus_pipeline.packing(spark, odd, sf).collect():
+        got[p.doc_id] = got.get(p.doc_id, 0) + p.length
+    assert got == want
+    docs = odd
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    assert {r.doc_id for r in docs.collect()} <= {1, 6, 7, 8, 9, None}
 
 
 def test_rows_that_repeat_are_one_document(spark, sf, odd):
