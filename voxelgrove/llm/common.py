@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,11 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{scratch(spark)}/voxelgrove/{uuid.uuid4().hex}/{name}"
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system of a path (local, hdfs, s3, gs, abfs), and the path in it."""
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, run_folder(df.sparkSession, name)

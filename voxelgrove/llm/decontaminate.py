@@ -1,30 +1,32 @@
 """Benchmark decontamination with an FM-index for each shard of the training texts.
 
-A shard is what one task gathers from its partition, up to ``SHARD_SYMBOLS``, ``SHARD_ROWS`` or ``SHARD_BYTES``. Words become numbers of the benchmark's vocabulary; runs of such words that
-are too short for any window are left out, as no window can lie in them. The windows of the benchmark's items are searched backwards all at once,
+A shard is part of what one task gathers from its partition (up to ``SHARD_ROWS`` or ``SHARD_BYTES``), cut at ``SHARD_SYMBOLS``. Words become numbers of the benchmark's vocabulary; runs of such words
+that are too short for any window are left out, as no window can lie in them. The windows of the benchmark's items are searched backwards all at once,
 their occurrences located by sampled suffix positions, and overlapping occurrences merged into removal spans.
 
-The benchmark goes to the tasks in blocks of at most about ``BLOCK_BYTES``, whose size is checked; usually one is enough.
+The benchmark is cut into blocks of about ``BLOCK_BYTES``. Tasks make a block's windows and write them to the shared folder; the driver holds a number for each block. Texts are scanned
+once: what a task has gathered is searched for one block after another, and a worker holds one block at a time.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytetext import ALNUM, hashed_words, words
-from .common import for_python, handed_back, slices, text_buffer, written
+from .common import file_system, for_python, handed_back, run_folder, slices, text_buffer
 from .fm_index import FMIndex
 
 WINDOW = 10
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 SHARD_SYMBOLS = 1 << 17
 SHARD_ROWS = 1 << 16
 SHARD_BYTES = 48 << 20
@@ -43,27 +45,60 @@ class Windows:
 
     @classmethod
     def of(cls, items: list[tuple[str, str]], window: int = WINDOW) -> Windows:
-        hashes = []
-        for _, text in items:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            hashes.append(hashed_words(raw, np.array([0, len(raw)]), ALNUM)[0])
-        vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
+        texts = [text.encode() for _, text in items]
+        at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        h, before = hashed_words(np.frombuffer(b"".join(texts), np.uint8), at, ALNUM)
+        vocabulary = np.unique(h)
+        ids = (np.searchsorted(vocabulary, h) + 1).astype(np.int32)
         names = sorted({i for i, _ in items})
-        number = {x: k for k, x in enumerate(names)}
-        found: dict[int, dict[bytes, set[int]]] = {}
-        for (item, _), h in zip(items, hashes, strict=True):
-            if len(h):
-                ids = (np.searchsorted(vocabulary, h) + 1).astype(np.int32)
-                n = min(window, len(ids))
-                for k in range(len(ids) - n + 1):
-                    found.setdefault(n, {}).setdefault(ids[k : k + n].tobytes(), set()).add(number[item])
-        by_length = {}
-        for n, of in found.items():
-            at = np.concatenate([[0], np.cumsum([len(x) for x in of.values()])])
-            by_length[n] = (np.frombuffer(b"".join(of), np.int32).reshape(-1, n), at, np.array([k for x in of.values() for k in sorted(x)]))
+        place = {x: k for k, x in enumerate(names)}
+        number = np.array([place[i] for i, _ in items], np.int64)
+        count = np.diff(before)
+        length, by_length = np.minimum(count, window), {}
+        for n in np.unique(length[length > 0]).tolist():
+            rows = np.flatnonzero(length == n)
+            many = count[rows] - n + 1
+            begin = np.repeat(before[rows] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            found = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(ids, n)[begin])
+            windows, which = np.unique(found.view(np.dtype((np.void, 4 * n))).ravel(), return_inverse=True)
+            pairs = np.unique(which * len(names) + np.repeat(number[rows], many))
+            at_item = np.searchsorted(pairs // len(names), np.arange(len(windows) + 1))
+            by_length[n] = (windows.view(np.int32).reshape(-1, n), at_item, pairs % len(names))
         return cls(vocabulary, by_length, names)
 
 
+def write_windows(items: DataFrame, folder: str, blocks: int, window: int) -> list[str]:
+    """Makes the windows of ``items`` (item, text) block by block on the executors and returns the files. A file is moved to its name when whole, so a task that is run again leaves the same one."""
+
+    def make(table: pa.Table) -> pa.Table:
+        k = table.column("k")[0].as_py()
+        made = Windows.of(sorted(zip(table.column("item").to_pylist(), table.column("text").to_pylist(), strict=True)), window)
+        files, here = file_system(folder)
+        files.create_dir(here, recursive=True)
+        own = f"{here}/{uuid.uuid4().hex}"
+        with files.open_output_stream(own) as f:
+            f.write(pickle.dumps(made, 5))
+        files.move(own, f"{here}/windows-{k}")
+        return pa.table({"k": pa.array([k], pa.int32())})
+
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).cast("int")
+    done = items.distinct().withColumn("k", block).groupBy("k").applyInArrow(make, "k int").collect()
+    return [f"{folder}/windows-{k}" for k in sorted(r[0] for r in done)]
+
+
+_loaded: dict[str, Windows] = {}
+
+
+def load_windows(path: str) -> Windows:
+    """A block's windows; a worker keeps the last one that it read."""
+    if path not in _loaded:
+        _loaded.clear()
+        files, here = file_system(path)
+        with files.open_input_file(here) as f:
+            _loaded[path] = pickle.loads(f.read())
+    return _loaded[path]
+
+
 class Shard:
     """Gathers documents' runs of benchmark words, then searches them."""
 
@@ -98,10 +133,10 @@ class Shard:
                 self.n_symbols += len(columns[0])
         self.n_docs += len(at) - 1
 
-    def search(self) -> tuple[np.ndarray, np.ndarray, dict[int, list[int]], dict[int, list[dict]]]:
-        """Words, hit words, and of the documents with any, items and spans."""
+    def search(self) -> tuple[np.ndarray, dict[int, list[int]], dict[int, list[dict]]]:
+        """Words, and of the documents with a window, items and spans."""
         n_words = np.concatenate(self.n_words) if self.n_words else np.zeros(0, np.int64)
-        n_hit, items, spans = np.zeros(self.n_docs, np.int64), {}, {}
+        items, spans = {}, {}
         if self.symbols:
             text = np.concatenate(self.symbols)
             doc, word, start, end = (np.concatenate(x) for x in zip(*self.where, strict=True))
@@ -120,7 +155,6 @@ class Shard:
                 of = np.repeat(item_at[w] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(w) else np.zeros(0, np.int64)
                 pairs.append(np.repeat(d, count) * len(self.windows.items) + item_of[of] if len(w) else np.zeros(0, np.int64))
             hit = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-            n_hit += np.bincount(doc[hit], minlength=self.n_docs)
             for x in np.unique(np.concatenate(pairs)).tolist():
                 items.setdefault(x // len(self.windows.items), []).append(x % len(self.windows.items))
             if len(hit):
@@ -128,45 +162,66 @@ class Shard:
                 for part in np.split(hit, cut):
                     a, b = part[0], part[-1]
                     spans.setdefault(int(doc[a]), []).append({"first_word": int(word[a]), "last_word": int(word[b]), "start": int(start[a]), "end": int(end[b])})
-        return n_words, n_hit, items, spans
+        return n_words, items, spans
+
+
+Part = tuple[np.ndarray, np.ndarray]
+
 
+def search_block(windows: Windows, parts: list[Part]) -> tuple[np.ndarray, dict[int, set[str]], dict[int, list[dict]]]:
+    """Words of each document of ``parts`` (bytes and offsets); items and spans of those that hold a window of the block."""
+    n_words, items, spans, base = [np.zeros(0, np.int64)], {}, {}, 0
+    shard = Shard(windows)
+    for k, (data, at) in enumerate(parts):
+        shard.add(data, at)
+        if shard.n_symbols > SHARD_SYMBOLS or k + 1 == len(parts):
+            own_words, own_items, own_spans = shard.search()
+            n_words.append(own_words)
+            items |= {base + d: {windows.items[x] for x in found} for d, found in own_items.items()}
+            spans |= {base + d: found for d, found in own_spans.items()}
+            base += shard.n_docs
+            shard = Shard(windows)
+    return np.concatenate(n_words), items, spans
 
-def _scan(docs: DataFrame, windows: Windows, text: str, cols: list[str], numbered: bool) -> DataFrame:
+
+def _scan(docs: DataFrame, blocks: list[str], text: str, cols: list[str]) -> DataFrame:
     rows, back = for_python(docs, cols, text)
-    more = {"_row": F.lit(0).cast("long")} if numbered else {}
-    schema = docs.select(*back, *[v.alias(k) for k, v in more.items()], F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast(f"array<{SPAN}>").alias("spans")).schema
+    schema = docs.select(*back, F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.lit(None).cast("array<string>").alias("items"), F.lit(None).cast(f"array<{SPAN}>").alias("spans")).schema
     span_type = pa.list_(pa.struct([(n, pa.int64()) for n in ("first_word", "last_word", "start", "end")]))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, n_bytes, base = Shard(windows), [], 0, TaskContext.get().partitionId() << 33
-
-        def out() -> Iterator[pa.RecordBatch]:
-            nonlocal base
-            n_words, n_hit, items, spans = shard.search()
-            kept = [handed_back(b, back, text) for b in held]
-            columns = [pa.concat_arrays(x) for x in zip(*kept, strict=True)]
-            n = len(n_words)
-            if numbered:
-                columns.append(pa.array(np.arange(base, base + n)))
-                base += n
-            names = windows.items
-            columns += [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64())]
-            columns += [pa.array([[names[x] for x in items.get(k, ())] for k in range(n)], pa.list_(pa.string())), pa.array([spans.get(k, []) for k in range(n)], span_type)]
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
+    def found(held: list[pa.RecordBatch], parts: list[Part]) -> pa.RecordBatch:
+        items: dict[int, set[str]] = {}
+        spans: dict[int, list[dict]] = {}
+        n_words = None
+        for path in blocks or [None]:
+            n_words, own_items, own_spans = search_block(load_windows(path) if path else Windows.of([]), parts)
+            for d, x in own_items.items():
+                items.setdefault(d, set()).update(x)
+            for d, x in own_spans.items():
+                spans[d] = merge_spans(spans[d] + x) if d in spans else x
+        n = len(n_words)
+        n_hit = np.zeros(n, np.int64)
+        for d, x in spans.items():
+            n_hit[d] = sum(s["last_word"] - s["first_word"] + 1 for s in x)
+        columns = [pa.concat_arrays(x) for x in zip(*(handed_back(b, back, text) for b in held), strict=True)]
+        columns += [pa.array(n_words, pa.int64()), pa.array(n_hit), pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string())), pa.array([spans.get(d, []) for d in range(n)], span_type)]
+        return pa.RecordBatch.from_arrays(columns, schema.names)
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, parts, n_rows, n_bytes = [], [], 0, 0
         for batch in batches:
             raw, at = text_buffer(batch.column(batch.num_columns - 1))
             for a, b in slices(at):
-                shard.add(raw[at[a] : at[b]], at[a : b + 1] - at[a])
+                parts.append((raw[at[a] : at[b]], at[a : b + 1] - at[a]))
                 held.append(batch.slice(a, b - a))
-                n_bytes += at[b] - at[a]
-                if shard.n_symbols > SHARD_SYMBOLS or shard.n_docs > SHARD_ROWS or n_bytes > SHARD_BYTES:
-                    yield from out()
-                    shard, held, n_bytes = Shard(windows), [], 0
-        if shard.n_docs:
-            yield from out()
+                n_rows, n_bytes = n_rows + b - a, n_bytes + at[b] - at[a]
+                if n_rows > SHARD_ROWS or n_bytes > SHARD_BYTES:
+                    yield found(held, parts)
+                    held, parts, n_rows, n_bytes = [], [], 0, 0
+        if parts:
+            yield found(held, parts)
 
-    return rows.mapInArrow(work, schema).select(*cols, *more, *ADDED)
+    return rows.mapInArrow(work, schema).select(*cols, *ADDED)
 
 
 def merge_spans(spans: list[dict]) -> list[dict]:
@@ -190,25 +245,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     cols = [c for c in (keep or [c for c in docs.columns if c != text]) if c not in ADDED]
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("text")).where("text is not null")
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = -(-size // block_bytes) or 1
-    scans = []
-    for k in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        scan = _scan(docs, Windows.of(sorted((r[0], r[1]) for r in block.collect()), window), text, cols, blocks > 1)
-        # Written one by one: rows are numbered by the partition, which in a union would be another one.
-        scans.append(scan if blocks == 1 else written(scan, f"block_{k}"))
-    if blocks == 1:
-        return scans[0]
-    whole = scans[0]
-    for s in scans[1:]:
-        whole = whole.unionByName(s)
-
-    joined = F.udf(lambda spans: merge_spans([s.asDict() for s in spans]), f"array<{SPAN}>")
-    first = [F.first(F.col(f"`{c}`")).alias(c) for c in cols]
-    merged = whole.groupBy("_row").agg(*first, F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("_spans"))
-    merged = merged.withColumn("spans", F.when(F.size("_spans") > 0, joined("_spans")).otherwise(F.col("_spans")))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last_word"] - s["first_word"] + 1)
-    return merged.select(*cols, "n_words", n_hit.alias("n_hit"), "items", "spans")
+    blocks = write_windows(items, run_folder(docs.sparkSession, "windows"), -(-size // block_bytes) or 1, window)
+    return _scan(docs, blocks, text, cols)
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
