@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+
+from voxelgrove.llm import sharding as S
 from voxelgrove.llm.sharding import shard_documents
 
 
@@ -53,3 +56,33 @@ def test_overfull_ranges_are_subdivided(spark, monkeypatch):
     for r in got:
         size[r.shard] = size.get(r.shard, 0) + r.size
     assert len(got) == 3300 and max(size.values()) < 1.02 * min(size.values())
+
+
+def test_splitters_against_a_walk_over_the_draws():
+    rng = np.random.default_rng(3)
+    for n, ranges in ((1, 4), (50, 7), (400, 30), (400, 500)):
+        draws = sorted({(int(h), int(s)): int(w) for h, s, w in zip(rng.choice([*rng.integers(-(1 << 62), 1 << 62, n), 5, 5, 5], n), rng.integers(-9, 9, n), rng.integers(1, 4, n), strict=True)}.items())
+        sample = S.Sample(*(np.array(x, np.int64) for x in zip(*[(h, s, w) for (h, s), w in draws], strict=True)))
+        total, want, seen, due = sum(w for _, w in draws), [], 0, 1
+        for key, w in draws:
+            seen += w
+            while due < ranges and seen >= due * (total / ranges):
+                want.append(key)
+                due += 1
+        twice = {a[0] for a, b in zip(want, want[1:], strict=False) if a[0] == b[0]}
+        fenced = {(h, s if h in twice else S.LOW) for h, s in want} | {(h, S.LOW) for h in twice} | {(h + 1, S.LOW) for h in twice}
+        assert S._splitters(sample, ranges) == fenced
+        a, b = sorted((draws[n // 3 % len(draws)][0], draws[-1][0]))
+        assert list(zip(*(x.tolist() for x in sample.between(a, b)), strict=True)) == [(*k, w) for k, w in draws if a <= k < b]
+    assert S._splitters(S.Sample(*[np.zeros(0, np.int64)] * 3), 9) == set()
+
+
+def test_draws_are_the_sizes_rounded_at_random(spark):
+    keys = spark.range(4000).selectExpr("id % 300 AS _h", "id AS _s", "id % 97 + 1 AS size")
+    total = sum(k % 97 + 1 for k in range(4000))
+    got = S._sample(keys, total, 1000, 7)
+    share = {(k % 300, k): (k % 97 + 1) * 1000 / total for k in range(4000)}
+    found = dict(zip(zip(got.h.tolist(), got.s.tolist(), strict=True), got.weight.tolist(), strict=True))
+    assert list(found) == sorted(found) and all(abs(found.get(k, 0) - x) < 1 for k, x in share.items()) and abs(sum(found.values()) - 1000) < 100
+    again = S._sample(keys.repartition(11), total, 1000, 7)
+    assert all((a == b).all() for a, b in zip(got, again, strict=True))

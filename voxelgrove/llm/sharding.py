@@ -11,8 +11,9 @@ overfull ones are subdivided; beyond ``MOST_RANGES`` the operator raises.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_right
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,23 +37,40 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.withColumns({"_h": F.xxhash64(whole), "_s": F.xxhash64(F.col(f"`{doc_id}`").cast("string"), F.lit(1)), "size": (F.octet_length(whole) + 1).cast("long")})
 
 
-def _sample(keys: DataFrame, total: int, draws: int, seed: int) -> list[tuple[int, int, int]]:
-    """(h, s, weight) of about ``draws`` size-weighted draws in order of the key; the same for the same rows and seed."""
+class Sample(NamedTuple):
+    """Draws in order of the key (h, s), with how often each was drawn."""
+
+    h: np.ndarray
+    s: np.ndarray
+    weight: np.ndarray
+
+    def between(self, a: tuple[int, int], b: tuple[int, int]) -> Sample:
+        """Those of keys from ``a`` on and before ``b``."""
+        low, high = (self._place(k) for k in (a, b))
+        return Sample(*(x[low:high] for x in self))
+
+    def _place(self, key: tuple[int, int]) -> int:
+        low, high = (int(np.searchsorted(self.h, key[0], side)) for side in ("left", "right"))
+        return low + int(np.searchsorted(self.s[low:high], key[1]))
+
+
+def _sample(keys: DataFrame, total: int, draws: int, seed: int) -> Sample:
+    """About ``draws`` size-weighted draws; the same for the same rows and seed. They come as Arrow columns, 24 bytes each."""
     share = F.col("size") * F.lit(draws / max(1, total))
     chance = F.pmod(F.xxhash64("_h", "_s", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = keys.withColumn("_w", (F.floor(share) + (chance < share - F.floor(share)).cast("int")).cast("long")).where("_w > 0")
-    return sorted((r[0], r[1], r[2]) for r in drawn.groupBy("_h", "_s").agg(F.sum("_w")).collect())
+    h, s, w = (c.to_numpy() for c in drawn.groupBy("_h", "_s").agg(F.sum("_w").alias("_w")).toArrow().columns)
+    order = np.lexsort((s, h))
+    return Sample(h[order], s[order], w[order])
 
 
-def _splitters(sample: list[tuple[int, int, int]], ranges: int) -> set[tuple[int, int]]:
+def _splitters(sample: Sample, ranges: int) -> set[tuple[int, int]]:
     """Quantile boundaries, each the first key of a range. One text that spans several is fenced off and split by the second part of its key; else a boundary moves before the text it falls in."""
-    total = sum(w for *_, w in sample)
-    step, seen, due, out = total / ranges, 0, 1, []
-    for h, s, w in sample:
-        seen += w
-        while due < ranges and seen >= due * step:
-            out.append((h, s))
-            due += 1
+    seen = np.cumsum(sample.weight)
+    if not len(seen):
+        return set()
+    at = np.searchsorted(seen, np.arange(1, ranges) * (int(seen[-1]) / ranges))
+    out = list(zip(sample.h[at].tolist(), sample.s[at].tolist(), strict=True))
     often = {h for (h, _), (g, _) in zip(out, out[1:], strict=False) if h == g}
     found = {(h, s if h in often else LOW) for h, s in out}
     for h in often:
@@ -130,12 +148,11 @@ def shard_documents(docs: DataFrame, shards: int = 8, text: str = "text", doc_id
         parts = {k: max(2, round(totals[k][0] / max(1.0, aim))) for k in over}
         inside = _ranged(keys, _range_table(spark, at, only=set(over))).select("_h", "_s", "size")
         seed += 1
-        more: dict[int, list] = {k: [] for k in over}
-        for h, s, w in _sample(inside, sum(totals[k][0] for k in over), sum(parts.values()) * SAMPLES_PER_RANGE, seed):
-            more[bisect_right(at, (h, s))].append((h, s, w))
+        drawn = _sample(inside, sum(totals[k][0] for k in over), sum(parts.values()) * SAMPLES_PER_RANGE, seed)
+        edges = [(LOW, LOW), *at, (HIGH, HIGH)]
         for k, (last, heaviest) in over.items():
             # The text of the largest record is fenced off. The last key can always be parted from the others, so each round gets on.
-            fresh = (_splitters(more[k], parts[k]) if more[k] else set()) | {(heaviest, LOW)} | ({(heaviest + 1, LOW)} if heaviest < HIGH else set())
+            fresh = _splitters(drawn.between(edges[k], edges[k + 1]), parts[k]) | {(heaviest, LOW)} | ({(heaviest + 1, LOW)} if heaviest < HIGH else set())
             splitters |= (fresh - splitters) or {last}
         if len(splitters) > MOST_RANGES:
             raise ValueError(f"{len(splitters)} ranges, more than {MOST_RANGES}: the records are too uneven for {shards} shards")
