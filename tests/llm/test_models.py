@@ -177,3 +177,22 @@ def test_long_texts_give_the_same_features_in_pieces(monkeypatch):
     monkeypatch.setattr(features, "BLOCK", 7)
     monkeypatch.setattr(bytetext, "_powers", [])
     assert all((a == b).all() for a, b in zip(whole, text_features(data, at, 14), strict=True))
+
+
+def test_bytes_are_bounded_as_by_a_walk_over_all_hashes(spark):
+    from voxelgrove.llm.common import within_bytes
+
+    rows = [(k % 60, "x" * (k % 7)) for k in range(200)] + [(5, "x" * 9)] * 300
+    t = spark.createDataFrame(rows, "id long, x string")
+    hashed = sorted((r[0], r[1]) for r in t.select(F.xxhash64(F.col("id").cast("string"), F.lit(29)), F.octet_length("x")).collect())
+    for most in (0, 40, 300, 900, 3000, 10_000):
+        seen, last = 0, None
+        for h, n in hashed:
+            seen += n
+            if seen > most:
+                last = h
+                break
+        want = [n for h, n in hashed if last is None or h < last]
+        got = [len(r.x) for r in within_bytes(t, ["id"], F.octet_length("x"), most).collect()]
+        assert sorted(got) == sorted(want) and sum(got) <= most
+    assert within_bytes(t.limit(0), ["id"], F.octet_length("x"), 10).count() == 0

@@ -76,15 +76,23 @@ def bounded_sample(df: DataFrame, keys: list[str], most: int, seed: int = 17) ->
 
 
 def within_bytes(df: DataFrame, order: list[str], size: Column, most: int) -> DataFrame:
-    """The first rows of ``df``, itself a bounded sample, whose sizes sum to ``most`` bytes at the most; only the sizes come to the driver to find where to stop."""
+    """The rows of ``df`` with the lowest hashes of ``order`` whose sizes sum to ``most`` bytes at the most; rows of one hash stay or go together.
+
+    Where to stop is found from sums over 4,096 ranges of hashes, then over parts of the range in which the bound is passed, down to one hash: the driver never holds more.
+    """
     ranked = df.withColumn("_h", F.xxhash64(*[F.col(c).cast("string") for c in order], F.lit(29)))
-    seen, last = 0, None
-    for h, n in sorted((r[0], r[1]) for r in ranked.select("_h", size.cast("long")).collect()):
-        seen += n or 0
-        if seen > most:
-            last = h
-            break
-    return (ranked if last is None else ranked.where(F.col("_h") < last)).drop("_h")
+    part, seen, step = ranked.select("_h", size.cast("long").alias("_n")), 0, 64
+    while step:
+        step = max(0, step - 12)
+        place = F.shiftright("_h", step)
+        for at, n in sorted((r[0], r[1] or 0) for r in part.groupBy(place).agg(F.sum("_n")).collect()):
+            if seen + n > most:
+                break
+            seen += n
+        else:
+            return ranked.drop("_h")
+        part = part.where(place == at)
+    return ranked.where(F.col("_h") < at).drop("_h")
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

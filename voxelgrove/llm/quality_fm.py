@@ -21,6 +21,8 @@ from .features import BINS, STATISTICS, number_bins, text_features
 
 SAMPLE = 10_000
 SAMPLE_BYTES = 64 << 20
+#: What a row counts besides its features, so that rows without any are bounded too.
+ROW_BYTES = 64
 WORD_BITS = 14
 RANK = 8
 EPOCHS = 12
@@ -117,7 +119,7 @@ def fit(labelled: DataFrame, docs: DataFrame, label: str = "quality", text: str
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([blob(cols[a:b]) for a, b in zip(indptr, indptr[1:], strict=False)], pa.binary())], ["id", "y", "cols"])
 
     made = written(rows.mapInArrow(by_slice(make, "text"), f"id {dict(rows.dtypes)['id']}, y int, cols binary"), "quality_features")
-    got = sorted((r[0], bytes(r[2]), r[1]) for r in within_bytes(made, ["id", "cols"], F.octet_length("cols"), most_bytes).collect())
+    got = sorted((r[0], bytes(r[2]), r[1]) for r in within_bytes(made, ["id", "cols"], F.octet_length("cols") + ROW_BYTES, most_bytes).collect())
     if not got:
         return None
     k = len(STATISTICS) + len(numbers)

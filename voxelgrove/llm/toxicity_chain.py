@@ -25,6 +25,8 @@ from .features import text_features
 
 SAMPLE = 12_000
 SAMPLE_BYTES = 64 << 20
+#: What a row counts besides its features, so that rows without any are bounded too.
+ROW_BYTES = 64
 WORD_BITS = 20
 WORDS = 192
 FOLDS = 5
@@ -169,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, ...
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([blob(bucket[a:b].astype(np.int32)) for a, b in zip(edges, edges[1:], strict=False)], pa.binary())], ["fold", "y", "words"])
 
     made = written(rows.mapInArrow(by_slice(words, "text"), "fold int, y int, words binary"), "toxicity_features")
-    got = sorted((bytes(r[2]), r[0], r[1]) for r in within_bytes(made, ["words", "y"], F.octet_length("words"), most_bytes).collect())
+    got = sorted((bytes(r[2]), r[0], r[1]) for r in within_bytes(made, ["words", "y"], F.octet_length("words") + ROW_BYTES, most_bytes).collect())
     if not got:
         return None
     given = None if categories is None else [word_buckets(w) for w in categories.values()]
