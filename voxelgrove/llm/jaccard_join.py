@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import BLOCK as BLOCK_OF_TEXT
 from .bytetext import SPACED, hashed_words, mix, pieces
-from .common import blob, by_slice, slices, text_buffer, written
+from .common import blob, by_slice, dropped, slices, text_buffer, written
 from .components import contract
 
 N = 5
@@ -441,6 +441,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, text: str = "text", n: int
     spark = docs.sparkSession
     kept = _with_company(docs, classes, text, n)
     sets = _shared_sets(docs, kept, text, n)
+    dropped(kept)
     segments = _segments(sets)
     total = sets.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
     fragments = _fragments(int(total), 28)
@@ -448,11 +449,14 @@ def link_classes(docs: DataFrame, classes: DataFrame, text: str = "text", n: int
     for star in (*STARS, "chain"):
         pairs = written(_candidates(sets, labels, star, fragments), f"pairs_{star}")
         if pairs.isEmpty():
+            dropped(pairs)
             continue
         found = written(_linked(pairs, segments) if star in STARS else _undecided(sets, pairs, labels), f"links_{star}")
+        dropped(pairs)
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             labels = contract(links, f"groups_{star}")
+    dropped(sets, segments)
     if links is None:
         links = spark.createDataFrame([], "a long, b long, overlap long, n_a long, n_b long")
     return links, labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -471,6 +475,7 @@ def jaccard_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     grouped = written(grouped, "grouped")
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     of_key = written(grouped.join(least, "root").select("key", "component_id", "copies"), "components")
+    dropped(grouped)
     out = classes.join(of_key, "key", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("copies", F.lit(1).cast("long")).alias("copies"))
 
