@@ -1,174 +1,30 @@
 """License scans of a file tree: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest ancestor directory.
 
 Compared are all stretches of a text of as many words as a template, so that a name or a year beside a notice does not count against it, and a long licence is known by its title
-or notice. Term frequencies are weighted by inverse document frequencies, counted over all files for every word of the stretches that could be accepted. A stretch after a
-negation is none. A licence is taken if its best stretch reaches ``ACCEPT`` and is at least ``MARGIN`` above every other licence's there; of several in
-a file the most similar, then the first. A tag with a known SPDX identifier decides before all that; -only, -or-later and + are left off. A file without a licence of its
+or notice. Words are weighted by their inverse document frequencies over the templates: a fixed scale, so that no other file changes a verdict (``license_match.py``). A stretch counts
+only if it has half of the template's words, names its versions and telling words, and no negation stands before it in its clause. A licence is taken if its best stretch reaches ``ACCEPT``
+and is at least ``MARGIN`` above every other licence's there; of several in a file the most similar, then the first, then the least name. A tag ("SPDX-License-Identifier: ...", or
+a line "License: ...") with an expression of known identifiers decides before all that and is given whole. A file without a licence of its
 own takes that of the licence file in its directory or the nearest one above, found by joins on paths.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from math import sqrt
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytetext import ALNUM, hashed_words
-from .common import by_slice, dropped, written
-from .license_texts import NEGATIONS, OTHER_IDENTIFIERS, TEMPLATES
+from .common import by_slice, written
+from .license_match import Notices
+from .license_texts import TEMPLATES
 
 ACCEPT = 0.7
 MARGIN = 0.002
 SALTS = 32
-#: Words whose counts a task holds before it hands them on.
-MOST_COUNTS = 1 << 20
-TAG = re.compile(rb"SPDX-License-Identifier:[ \t]*\(?[ \t]*([A-Za-z0-9.+-]+)", re.IGNORECASE)
 LICENSE_FILES = ("license", "licence", "copying", "unlicense", "notice")
 
 
-def tagged(raw: bytes, known: dict[str, str]) -> str | None:
-    """The identifier of the first tag that names a known licence; known: identifiers by their lower case."""
-    for m in TAG.finditer(raw):
-        name = re.sub(r"(-only|-or-later|\+)$", "", m[1].decode().rstrip(".").lower())
-        if name in known:
-            return known[name]
-    return None
-
-
-def _hashes(raw: bytes) -> np.ndarray:
-    return hashed_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM)[0]
-
-
-class Templates:
-    """Templates as unit vectors over the hashes of their words."""
-
-    def __init__(self, texts: dict[str, str]):
-        pairs = [(name, _hashes(v.encode())) for name, variants in texts.items() for v in variants.split("|")]
-        self.names, terms = [p[0] for p in pairs], [p[1] for p in pairs]
-        self.lengths = [len(t) for t in terms]
-        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *terms]))
-        self.negations = np.concatenate([_hashes(x.encode()) for x in NEGATIONS])
-        self.counts = np.array([np.bincount(np.searchsorted(self.vocabulary, t), minlength=len(self.vocabulary)) for t in terms], float).reshape(len(terms), len(self.vocabulary))
-
-    def weigh(self, df: dict[int, int], n: int) -> None:
-        """Weights from document frequencies of the vocabulary over n files."""
-        self.rare = float(np.log(n + 1) + 1)
-        self.idf = np.array([np.log((n + 1) / (df.get(int(h), 0) + 1)) + 1 for h in self.vocabulary])
-        self.vectors = self.counts * self.idf
-        self.vectors /= np.maximum(np.sqrt((self.vectors**2).sum(axis=1, keepdims=True)), 1e-300)
-
-    def places(self, hashes: np.ndarray) -> np.ndarray:
-        """Each word's place in the vocabulary; its length for other words."""
-        at = np.minimum(np.searchsorted(self.vocabulary, hashes), max(0, len(self.vocabulary) - 1))
-        return np.where(self.vocabulary[at] == hashes, at, len(self.vocabulary)) if len(self.vocabulary) else np.zeros(len(hashes), np.int64)
-
-    def stretches(self, hashes: np.ndarray, before: np.ndarray, accept: float) -> list[tuple[int, int, int, int, float]]:
-        """(row, template, first word, word after the last, most cosine) of all stretches as long as a template that could reach ``accept``; no word weighs less than 1."""
-        place, row_of, found = self.places(hashes), np.repeat(np.arange(len(before) - 1), np.diff(before)), []
-        weight = np.append(self.idf**2, 1.0)[place]
-        norms = np.concatenate([[0], weight.cumsum()])
-        negated = np.concatenate([[0], np.isin(hashes, self.negations).cumsum()])
-        # Templates of a length share their stretches' norms.
-        for n in sorted(set(self.lengths)):
-            first = np.arange(max(0, len(hashes) - n + 1))
-            first = first[row_of[first] == row_of[first + n - 1]] if n else first[:0]
-            # A text shorter than the template is one stretch, if it has at least half as many words.
-            short = np.flatnonzero((np.diff(before) < n) & (2 * np.diff(before) >= max(n, 1)))
-            a, b = np.concatenate([first, before[short]]), np.concatenate([first + n, before[short + 1]])
-            root = np.sqrt(norms[b] - norms[a])
-            for k in [k for k, m in enumerate(self.lengths) if m == n]:
-                dots = np.concatenate([[0], np.append(self.vectors[k] * self.idf, 0.0)[place].cumsum()])
-                dot = dots[b] - dots[a]
-                for i in np.flatnonzero(dot >= (accept - 1e-6) * root).tolist():
-                    r, x, y = int(row_of[a[i]]), int(a[i]), int(b[i])
-                    # Not after a negation, nor with one among the first words.
-                    if negated[min(y, x + 3)] == negated[max(int(before[r]), x - 2)]:
-                        found.append((r, k, x, y, min(1.0, float(dot[i] / root[i]))))
-        return found
-
-    def candidates(self, hashes: np.ndarray, before: np.ndarray, accept: float) -> dict[int, list[tuple]]:
-        """By row: (template, first word, word after the last, dot product, squares of the templates' words, other words, their counts) of the stretches that may be the best of their template."""
-        by: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
-        for r, k, a, b, most in self.stretches(hashes, before, accept):
-            by.setdefault((r, k), []).append((-most, a, b))
-        out: dict[int, list[tuple]] = {}
-        for (r, k), spans in by.items():
-            sure = 0.0
-            for most, a, b in sorted(spans):
-                if -most < sure - 1e-9:
-                    break
-                high, low, dot, base, other, n = self.compare(hashes[a:b], k)
-                sure = max(sure, low)
-                if high >= max(accept, sure) - 1e-9:
-                    out.setdefault(r, []).append((k, a - int(before[r]), b - int(before[r]), dot, base, other, n))
-        return out
-
-    def compare(self, hashes: np.ndarray, k: int) -> tuple[float, float, float, float, np.ndarray, np.ndarray]:
-        """Most and least cosine to a template, dot product, squares of the templates' words, and the other words with their counts."""
-        words, counts = np.unique(hashes, return_counts=True)
-        place = self.places(words)
-        inside = place < len(self.vocabulary)
-        values = counts[inside] * self.idf[place[inside]]
-        base, other, n = float((values**2).sum()), words[~inside], counts[~inside]
-        least, dot = float((n.astype(float) ** 2).sum()), float(self.vectors[k, place[inside]] @ values)
-        return dot / sqrt(max(base + least, 1e-300)), dot / sqrt(max(base + least * self.rare**2, 1e-300)), dot, base, other, n
-
-
-def word_frequencies(files: DataFrame, text: str = "text") -> DataFrame:
-    """(word, df): the hash of each word of all texts and how many files hold it."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out() -> pa.RecordBatch:
-            words, inverse = np.unique(np.concatenate([np.zeros(0, np.uint64), *(w for w, _ in held)]), return_inverse=True)
-            total = np.bincount(inverse, np.concatenate([np.zeros(0), *(n for _, n in held)]), len(words)).astype(np.int64)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(total)], ["word", "df"])
-
-        def work(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch | None:
-            h, before = hashed_words(data, at, ALNUM)
-            order = np.argsort(h, kind="stable")
-            h, row = h[order], np.repeat(np.arange(len(at) - 1), np.diff(before))[order]
-            fresh = np.ones(len(h), bool)
-            fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-            held.append(np.unique(h[fresh], return_counts=True))
-            return out() if sum(len(w) for w, _ in held) > MOST_COUNTS else None
-
-        yield from by_slice(work, text)(batches)
-        yield out()
-
-    return files.select(text).mapInArrow(count, "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
-
-
-def _decided(compared: DataFrame, frequencies: DataFrame, n: int, names: list[str], accept: float) -> DataFrame:
-    """(_row, own_license, score) of the rows with stretches to compare, the words of no template weighted by their document frequencies too."""
-    units = compared.select("_row", F.posexplode("_open").alias("_unit", "u"))
-    words = units.select("_row", "_unit", F.explode(F.arrays_zip("u.words", "u.counts")).alias("w"))
-    words = words.select("_row", "_unit", F.col("w.words").alias("word"), F.col("w.counts").alias("count"), F.pmod("_row", F.lit(SALTS)).cast("int").alias("salt"))
-    # Common words are in many units, so each word is looked up in SALTS copies.
-    idf = F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + 1)) + 1
-    weights = words.select("word").distinct().join(frequencies, "word", "left").select("word", idf.alias("idf"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rest = words.join(weights, ["word", "salt"]).groupBy("_row", "_unit").agg(F.sum((F.col("count") * F.col("idf")) ** 2).alias("rest"))
-    score = F.round(F.col("u.dot") / F.sqrt(F.col("u.base") + F.coalesce("rest", F.lit(0.0))), 12)
-    name = F.get(F.array(*[F.lit(x) for x in names]), F.col("u.k"))
-    scored = units.join(rest, ["_row", "_unit"], "left").select("_row", score.alias("score"), name.alias("name"), F.col("u.a").alias("a"), F.col("u.b").alias("b"))
-    # The best stretch of each licence in a row, so at most as many as there are licences; then the best of these: the most similar, the first, the least name.
-    best = scored.groupBy("_row", "name").agg(F.max_by(F.struct("score", (-F.col("a")).alias("before"), "a", "b", "name"), F.struct("score", -F.col("a"))).alias("s"))
-    rows = best.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct((-F.col("s.score")).alias("order"), F.col("s.a").alias("a"), "name", F.col("s.b").alias("b")))).alias("all"))
-    top = F.col("all")[0]
-    beside = F.filter("all", lambda x: (x["name"] != top["name"]) & (x["a"] < top["b"]) & (x["b"] > top["a"]))
-    second = F.coalesce(F.array_max(F.transform(beside, lambda x: -x["order"])), F.lit(0.0))
-    clear = (-top["order"] >= accept) & (-top["order"] - second >= MARGIN)
-    return rows.select("_row", F.when(clear, top["name"]).alias("own_license"), (-top["order"]).alias("score"))
-
-
 def directory(path: Column) -> Column:
     """All before the last slash; empty at the top."""
     return F.regexp_replace(path, "/?[^/]*$", "")
@@ -183,39 +39,16 @@ def scan_licenses(files: DataFrame, path: str = "path", text: str = "text", temp
     """
     added = ("own_license", "score", "license", "inherited_from")
     cols = [c for c in (keep or [c for c in files.columns if c != text]) if c not in added]
-    known = Templates(TEMPLATES if templates is None else templates)
-    rows = files.select(F.col(f"`{text}`").alias("text"))
-    frequencies, n = written(word_frequencies(rows), "word_frequencies"), files.count()
-    found = frequencies.where(F.col("word").isin(known.vocabulary.view(np.int64).tolist())).collect()
-    known.weigh({r[0] & (1 << 64) - 1: r[1] for r in found}, n)
-
+    known = Notices(TEMPLATES if templates is None else templates)
     rows = files.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{path}`").alias("_path"), F.col(f"`{text}`").alias("_text"))
-    kind = pa.list_(pa.struct([("k", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("dot", pa.float64()), ("base", pa.float64()), ("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))]))
-    open_type = "array<struct<k:int,a:int,b:int,dot:double,base:double,words:array<long>,counts:array<long>>>"
-    schema = rows.select(*cols, "_path", F.lit(0).cast("long").alias("_row"), F.lit(None).cast("string").alias("_tag"), F.array().cast(open_type).alias("_open")).schema
-    identifiers = {x.lower(): x for x in (*OTHER_IDENTIFIERS, *known.names)}
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
-
-        def work(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-            nonlocal row
-            raw, (hashes, before) = data.tobytes(), hashed_words(data, at, ALNUM)
-            tags = [tagged(raw[a:b], identifiers) for a, b in zip(at, at[1:], strict=False)]
-            near = known.candidates(hashes, before, accept)
-            undecided = [[{"k": k, "a": a, "b": b, "dot": dot, "base": base, "words": other.view(np.int64).tolist(), "counts": n.tolist()} for k, a, b, dot, base, other, n in near.get(r, ())] if tag is None else [] for r, tag in enumerate(tags)]
-            numbers = np.arange(row, row + len(tags))
-            row += len(tags)
-            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(numbers, pa.int64()), pa.array(tags, pa.string()), pa.array(undecided, kind)], schema.names)
-
-        yield from by_slice(work, "_text")(batches)
-
-    compared = written(rows.mapInArrow(match, schema), "compared_files")
-    decided = _decided(compared.where(F.size("_open") > 0).select("_row", "_open"), frequencies, n, known.names, accept) if known.names else None
-    rest = compared.where(F.size("_open") == 0).select(*cols, "_path", "_row", F.col("_tag").alias("own_license"), F.when(F.col("_tag").isNotNull(), 1.0).otherwise(0.0).alias("score"))
-    found = rest if decided is None else rest.unionByName(compared.where(F.size("_open") > 0).select(*cols, "_path", "_row").join(decided, "_row"))
-    found = written(found.withColumn("_dir", directory(F.col("_path"))), "own_licenses")
-    dropped(compared, frequencies)
+    schema = rows.select(*cols, "_path", F.lit(None).cast("string").alias("own_license"), F.lit(0.0).alias("score")).schema
+
+    def match(batch: pa.RecordBatch, data: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        names, scores = zip(*known.decide(data, at, accept, MARGIN), strict=True)
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema.names)
+
+    own = rows.mapInArrow(by_slice(match, "_text"), schema)
+    found = written(own.withColumn("_dir", directory(F.col("_path"))).withColumn("_row", F.monotonically_increasing_id()), "own_licenses")
     name = F.lower(F.regexp_replace(F.regexp_extract(F.col("_path"), "([^/]*)$", 1), r"\..*$", ""))
     notices = found.where(name.isin(*LICENSE_FILES) & F.col("own_license").isNotNull()).select("_dir", "own_license", "score")
     top = notices.groupBy("_dir").agg(F.max("score").alias("score"))
