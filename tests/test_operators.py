@@ -1,9 +1,11 @@
+import random
 from math import erf, exp, pi, sqrt
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voxelgrove.functions import voxel
 from voxelgrove.functions.voxel import check_labels, nearest_label, project_simplex
 from voxelgrove.operators import bimm, denoise, geometry, gmm, mask, phases, potts, stencil
 from voxelgrove.operators import histogram as hist
@@ -526,3 +528,21 @@ def test_pure_density_is_a_density():
     f = 4 / sqrt(pi) / a**1.5 * v * v * np.exp(-v * v / a)
     assert np.isclose(f.sum() * (v[1] - v[0]), 1, atol=1e-6)
     assert np.isclose(bimm.pure_mass(THETA, 0, -9, 9, 9), 1) and erf(1) < 1 and exp(0) == 1 and s > 0
+
+
+def test_parameter_columns_against_plain_numbers(spark):
+    """The column forms of ranges, shares and gaps give what the fit's own functions give; ends, ties and huge numbers too."""
+    r = random.Random(5)
+    rows = [[r.uniform(-1, 2) for _ in range(5)] for _ in range(200)] + [[0.5] * 5, [0.0] * 5, [1.0] * 5, [2.0, 1.0, 1.0, -1.0, -1.0], [700.0, -700.0, 1e9, 0.0, 5.0]]
+    for gap in (0.0, 0.1, 0.25, 0.4):
+        found = spark.createDataFrame([(x,) for x in rows], "x array<double>").select("x", voxel.project_gaps(F.col("x"), 5, gap).alias("p")).collect()
+        for x, p in found:
+            assert p == pytest.approx(bimm.project_gaps(x, gap), abs=1e-6)
+    shares = spark.createDataFrame([(x,) for x in rows[:-1]], "x array<double>").select("x", voxel.pinned_softmax(F.col("x")).alias("w")).collect()
+    for x, w in shares:
+        assert w == pytest.approx(bimm.softmax_from_zero(x), abs=1e-12)
+    huge = spark.createDataFrame([([1000.0, 0.0],)], "x array<double>").select(voxel.pinned_softmax(F.col("x"))).first()[0]
+    assert huge == [0.0, 1.0, 0.0]
+    numbers = spark.createDataFrame([(x,) for x in (-1e4, -3.0, 0.0, 0.5, 8.0, 1e4)], "x double")
+    for x, s, back in numbers.select("x", voxel.sigmoid(F.col("x"), -2.0, 3.0), voxel.inverse_sigmoid(voxel.sigmoid(F.col("x"), -2.0, 3.0), -2.0, 3.0)).collect():
+        assert s == pytest.approx(bimm.sigmoid(x, -2.0, 3.0)) and back == pytest.approx(bimm.inverse_sigmoid(s, -2.0, 3.0))

@@ -45,6 +45,45 @@ def project_simplex(q: Column, size: int) -> Column:
     return F.transform(q, lambda x: F.greatest(x - theta, F.lit(0.0)))
 
 
+def sigmoid(x: Column, lo: float, hi: float) -> Column:
+    """Any number into the range lo..hi."""
+    return F.lit(hi - lo) / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), x)))) + F.lit(lo)
+
+
+def inverse_sigmoid(r: Column, lo: float, hi: float) -> Column:
+    """The number that ``sigmoid`` takes to r; what lies at the ends or beyond is moved inside by a billionth of the range."""
+    inside = F.least(F.greatest(r, F.lit(lo + 1e-9 * (hi - lo))), F.lit(hi - 1e-9 * (hi - lo)))
+    return -F.log(F.lit(hi - lo) / (inside - F.lit(lo)) - 1)
+
+
+def pinned_softmax(x: Column) -> Column:
+    """Shares of one fixed 0 and the numbers of an array; the largest is taken off first, so that nothing overflows."""
+    whole = F.concat(F.array(F.lit(0.0)), x)
+    powers = F.transform(whole, lambda a: F.exp(a - F.array_max(whole)))
+    return F.transform(powers, lambda a: a / F.aggregate(powers, F.lit(0.0), lambda total, y: total + y))
+
+
+def project_gaps(x: Column, size: int, gap: float) -> Column:
+    """The nearest ``size`` numbers in 0..1 that keep the order of an array's and lie at least ``gap`` apart (equal ones keep their places' order).
+
+    With the gaps taken off the sorted numbers, the nearest ascending ones are means: for each place the greatest, over all beginnings before it, of the least over all ends after it.
+    """
+    top = max(0.0, 1 - gap * (size - 1))
+
+    def placed(order: Column) -> Column:
+        sums = [F.lit(0.0)]
+        for k in range(size):
+            sums.append(sums[-1] + order[k]["x"] - F.lit(gap * k))
+        means = {(a, b): (sums[b + 1] - sums[a]) / (b + 1 - a) for a in range(size) for b in range(a, size)}
+        lowest = {(a, k): F.array_min(F.array(*[means[a, b] for b in range(k, size)])) for k in range(size) for a in range(k + 1)}
+        level = [F.array_max(F.array(*[lowest[a, k] for a in range(k + 1)])) for k in range(size)]
+        inside = [F.least(F.greatest(level[k], F.lit(0.0)), F.lit(top)) + F.lit(gap * k) for k in range(size)]
+        return F.array_sort(F.array(*[F.struct(order[k]["k"].alias("k"), inside[k].alias("x")) for k in range(size)]))
+
+    order = F.array_sort(F.transform(x, lambda a, k: F.struct(a.alias("x"), k.alias("k"))))
+    return F.transform(F.transform(F.array(order), placed)[0], lambda t: t["x"])
+
+
 def grey_level(u: Column, gamma: float = 2.2) -> Column:
     """0 to 255 of a picture with this gamma."""
     return F.round(F.pow(F.greatest(u, F.lit(0.0)), F.lit(1 / gamma)) * 255)

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.voxel import argmax_label, denormalise, nearest_label, normalise, project_simplex
+from ..functions.voxel import argmax_label, denormalise, inverse_sigmoid, nearest_label, normalise, pinned_softmax, project_gaps, project_simplex, sigmoid
 from ..operators import bimm, denoise, export, geometry, gmm, mask, phases, potts, stencil
 from ..operators import histogram as hist
 from ..operators.blocks import shared_folder
@@ -407,6 +407,55 @@ def simplex_project(spark, sf):
     return unit(spark, sf).select("n", "row", "col", p.alias("p")).select("n", "row", "col", *[r6(F.col("p")[k]).alias(f"p{k}") for k in range(3)])
 
 
+#: The parameters' ranges, for SQL: name, least, greatest, and whether the range is one of logarithms.
+RANGES = (("weight", -4.6, 4.6, False), ("peak", 0.0, 1.0, False), ("sigma_n", 1e-3, 2.0, True), ("sigma_b", 0.1, 10.0, True), ("rho", 0.0, 0.999, False), ("ds", 0.5, 1.5, True))
+
+
+def range_sql(name: str, lo: float, hi: float, logs: bool) -> str:
+    a, b = (f"ln({lo:.6f})", f"ln({hi:.6f})") if logs else (f"{lo:.6f}", f"{hi:.6f}")
+    inside = f"({a} + ({b} - {a}) / (1 + exp(6 - 12 * u)))"
+    return f"round({f'exp({inside})' if logs else inside}, 6) AS {name}"
+
+
+@query(f"WITH {U_SQL} SELECT {VOXEL}, {', '.join(range_sql(*r) for r in RANGES)}, round(12 * u - 6, 6) AS back FROM w")
+def parameter_ranges(spark, sf):
+    """A free number of each voxel into the range of every parameter, and back from the peak's."""
+    x = 12 * F.col("u") - 6
+    limits = bimm.LIMITS | {"ds": (np.log(0.5), np.log(1.5))}
+    inside = {name: sigmoid(x, float(lo), float(hi)) for name, (lo, hi) in limits.items()}
+    logs = {"sigma_n", "sigma_b", "ds"}
+    columns = [r6(F.exp(c) if name in logs else c).alias(name) for name, c in inside.items()]
+    return unit(spark, sf).select("n", "row", "col", *columns, r6(inverse_sigmoid(inside["peak"], *limits["peak"])).alias("back"))
+
+
+@query(f"WITH {U_SQL}, t AS (SELECT *, 1 + exp(2 * u) + exp(-u) + exp(u * u) AS total FROM w) SELECT {VOXEL}, round(1 / total, 6) AS w0, round(exp(2 * u) / total, 6) AS w1, round(exp(-u) / total, 6) AS w2, round(exp(u * u) / total, 6) AS w3 FROM t")
+def weights_from_zero(spark, sf):
+    """Shares of a fixed 0 and three numbers of each voxel."""
+    u = F.col("u")
+    w = unit(spark, sf).select("n", "row", "col", pinned_softmax(F.array(2 * u, -u, u * u)).alias("w"))
+    return w.select("n", "row", "col", *[r6(F.col("w")[k]).alias(f"w{k}") for k in range(4)])
+
+
+GAP = 0.15
+GAP_VALUES = ("u", "u * u", "1.1 - u", "0.5")
+
+
+@query(
+    f"""WITH {U_SQL}, x AS (SELECT n, "row", col, unnest([0, 1, 2, 3]) AS k, unnest([{", ".join(GAP_VALUES)}]) AS x FROM w),
+    s AS (SELECT *, row_number() OVER (PARTITION BY n, "row", col ORDER BY x, k) - 1 AS place FROM x),
+    a AS (SELECT n, "row", col, list(x - {GAP} * place ORDER BY place) AS y FROM s GROUP BY ALL),
+    i AS (SELECT *, unnest(range(4)) AS b FROM a), j AS (SELECT *, unnest(range(4)) AS e FROM i), p AS (SELECT *, unnest(range(4)) AS place FROM j),
+    q AS (SELECT n, "row", col, place, b, min(list_avg(y[b + 1 : e + 1])) AS lowest FROM p WHERE b <= place AND place <= e GROUP BY ALL),
+    l AS (SELECT n, "row", col, place, greatest(0.0, least({1 - 3 * GAP}, max(lowest))) + {GAP} * place AS level FROM q GROUP BY n, "row", col, place)
+    SELECT n, "row", col, {", ".join(f"round(max(level) FILTER (k = {k}), 6) AS p{k}" for k in range(4))} FROM s JOIN l USING (n, "row", col, place) GROUP BY n, "row", col"""
+)
+def gap_projection(spark, sf):
+    """Four numbers of each voxel moved as little as can be, until all lie a gap apart in 0..1."""
+    u = F.col("u")
+    p = unit(spark, sf).select("n", "row", "col", project_gaps(F.array(u, u * u, 1.1 - u, F.lit(0.5)), 4, GAP).alias("p"))
+    return p.select("n", "row", "col", *[r6(F.col("p")[k]).alias(f"p{k}") for k in range(4)])
+
+
 @query(f"WITH {M_SQL} SELECT {VOXEL}, CAST(k AS INT) AS k, round(30.0 * (u - c) * (u - c), 6) AS term FROM m, (SELECT unnest(range(3)) AS k, unnest({LABELS}) AS c)")
 def potts_energy_terms(spark, sf):
     return phases.data_terms(masked(spark, sf), phases.label_table(spark, LABELS), 30.0).select("n", "row", "col", "k", r6(F.col("term")).alias("term"))
