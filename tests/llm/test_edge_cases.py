@@ -123,5 +123,6 @@ def test_licenses(odd, empty, spark):
     assert scan_licenses(document_paths(empty), keep=["doc_id"]).count() == 0
     tied = spark.createDataFrame([("a/LICENSE", "Licensed under the MIT License", 1), ("a/COPYING", "Licensed under the ISC License", 2), ("a/x", "", 3), ("a/x", "", 3), (None, None, 4)], "path string, text string, score int")
     got = sorted((str(r.path), r.license, r.inherited_from) for r in scan_licenses(tied).collect())
-    assert got[3:] == [("a/x", "ISC", "a")] * 2 or got[3:] == [("a/x", "MIT", "a")] * 2
+    # Of licence files that are alike in score, the least name.
+    assert got[3:] == [("a/x", "ISC", "a")] * 2
     assert got[0] == ("None", None, None)
