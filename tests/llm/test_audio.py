@@ -132,3 +132,34 @@ def test_recall_against_a_scan_of_all_offsets(spark):
                     want.add((q, i))
                     break
     assert want and len(got & want) >= 0.9 * len(want), (len(got & want), len(want))
+
+
+def test_thresholds_are_quartiles_of_all_places_of_all_recordings(spark):
+    rng = np.random.default_rng(3)
+    # Many short recordings and some long ones, with empty and null ones between them.
+    texts = [bytes(rng.integers(32, 32 + int(rng.integers(8, 95)), int(rng.integers(1, 400)))).decode() for _ in range(1700)]
+    texts += [bytes(rng.integers(32, 126, n)).decode() for n in (3000, 9000, 30_000)] + ["", "a", "aaaa"]
+    rows = [(i, t.encode()) for i, t in enumerate(texts)] + [(-1, None), (None, b"")]
+    recordings = spark.createDataFrame(rows, "id long, media binary")
+    want = prints(texts)[1]
+    for n in (1, 7):
+        assert (A.fit_thresholds(recordings.repartition(n), to=A.TEXTS) == want).all()
+    assert (A.fit_thresholds(recordings.where("id < 0"), to=A.TEXTS) == 0).all()
+
+
+def test_quartiles_from_counts():
+    rng = np.random.default_rng(4)
+    for size in (1, 2, 3, 4, 5, 50, 1001):
+        x = rng.integers(-9, 10, size)
+        step, n = np.unique(x, return_counts=True)
+        order = rng.permutation(len(step))
+        assert A.quartiles(step[order], n[order]) == np.quantile(x, [0.25, 0.5, 0.75]).tolist()
+
+
+def test_filters_stay_in_the_counted_range():
+    loud = np.zeros((A.WIDEST, A.CLASSES), np.float32)
+    for p in range(A.CLASSES):
+        for q in range(p + 1, A.CLASSES + 1):
+            loud[:] = 0
+            loud[:, p:q] = (q - p) ** -0.5
+            assert np.abs(A.filter_values(loud)).max() * A.STEPS <= A.MOST_STEPS

@@ -1,7 +1,7 @@
 """Chroma audio fingerprints and the alignment of recordings by them.
 
 A recording becomes frames of energy in 12 pitch classes. Rectangle filters over (time, pitch class), summed through an integral image, compare areas of
-that picture; each filter's value is quantised to two bits at quartiles, and 16 filters make one 32-bit integer a frame. Two recordings align where several
+that picture; each filter's value is quantised to two bits at its quartiles over all places of all recordings, and 16 filters make one 32-bit integer a frame. Two recordings align where several
 equal integers have the same offset; the share of differing bits over the overlap, or over the stretch between the first and the last of them, decides.
 
 What is looked up is an integer with the one three frames on. As a cut may fall between two frames, a query is looked up from ``PHASES`` places within the first hop, and with the
@@ -21,10 +21,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, blob, bounded_sample, slices, written
+from .common import SLICE_BYTES, blob, slices, written
 
 CLASSES = 12
-SAMPLE = 1500
 #: Queries' integers in a block, of all phases: with all keys and their places about 80 MB on a worker.
 BLOCK = 1 << 19
 PHASES = 4
@@ -42,6 +41,10 @@ WIDEST = max(w for *_, w in FILTERS)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 #: Steps of 1 in the integral image.
 UNIT = 1 << 16
+#: Steps of 1 in filters' values. These are whole steps, so their quartiles follow from counts.
+STEPS = 1 << 12
+#: Steps that no value of normed frames is beyond, either way.
+MOST_STEPS = int(np.ceil(np.log(1 + WIDEST * (CLASSES**0.5 + CLASSES / UNIT)) * STEPS))
 #: Frames that a recording has at least; a shorter one is repeated from its beginning.
 LEAST_FRAMES = WIDEST + LEAST_OVERLAP - 1
 
@@ -179,7 +182,7 @@ def filter_values(frames: np.ndarray) -> np.ndarray:
             part = area(w // 3, w - w // 3, p, q)
             rest = whole - part
         out[:, k] = np.log((1 + part) / (1 + rest))
-    return out
+    return np.rint(out * STEPS) / STEPS
 
 
 def fingerprints(signals: list[np.ndarray], thresholds: np.ndarray, to: Settings = AUDIO) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -206,25 +209,47 @@ def _signals(column: pa.Array, rate: int) -> Iterator[tuple[int, int, list[np.nd
         yield a, b, [decode(x or b"", rate) for x in column.slice(a, b - a).to_pylist()]
 
 
-def fit_thresholds(recordings: DataFrame, sample: int = SAMPLE, to: Settings = AUDIO) -> np.ndarray:
-    """Quartiles of each filter's values over a sample of recordings, at most 64 places of each."""
+def quartiles(step: np.ndarray, n: np.ndarray) -> list[float]:
+    """Quartiles, as numpy's, of numbers that occur ``n`` times each."""
+    order = np.argsort(step)
+    step, upto = step[order], np.cumsum(n[order])
+    out = []
+    for k in (1, 2, 3):
+        place, rest = divmod((int(upto[-1]) - 1) * k, 4)
+        low, high = step[np.searchsorted(upto, [place, place + (rest > 0)], side="right")]
+        out.append(float(low + (high - low) * rest / 4))
+    return out
+
+
+def fit_thresholds(recordings: DataFrame, to: Settings = AUDIO) -> np.ndarray:
+    """Quartiles of each filter's values over all places of all recordings: 16 x 3.
 
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Tasks count values; the driver gets at most 2 * MOST_STEPS + 1 counts of a filter, whatever the recordings.
+    """
+    span = 2 * MOST_STEPS + 1
+    begin = np.arange(len(FILTERS)) * span + MOST_STEPS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(len(FILTERS) * span, np.int64)
         for b in batches:
-            for _, _, signals in _signals(b.column(1), to.rate):
+            for _, _, signals in _signals(b.column(0), to.rate):
                 frames, begins = chroma(signals, to)
-                v = filter_values(frames)
-                out = []
-                for x, y in zip(begins, begins[1:], strict=False):
-                    own = v[x : max(x, y - WIDEST + 1)]
-                    out.append(blob(own[np.unique(np.linspace(0, len(own) - 1, 64).astype(int))].astype(np.float32)) if len(own) else b"")
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["v"])
-
-    drawn = bounded_sample(recordings.where("media is not null"), ["id"], sample)
-    got = [np.frombuffer(bytes(r[0]), np.float32).reshape(-1, len(FILTERS)) for r in drawn.mapInArrow(values, "v binary").collect()]
-    if not got or not sum(map(len, got)):
+                steps = np.rint(filter_values(frames) * STEPS).astype(np.int64) + begin
+                # Without the places that straddle two recordings.
+                own = np.ones(len(steps), bool)
+                for x in begins[1:-1]:
+                    own[max(0, x - WIDEST + 1) : x] = False
+                seen += np.bincount(steps[own].ravel(), minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["at", "n"])
+
+    counted = recordings.where("media is not null").select("media").mapInArrow(count, "at long, n long")
+    found = counted.groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    at, n = found["at"].to_numpy(), found["n"].to_numpy()
+    if not len(at):
         return np.zeros((len(FILTERS), 3))
-    return np.quantile(np.concatenate(got), [0.25, 0.5, 0.75], axis=0).T
+    k, step = at // span, at % span - MOST_STEPS
+    return np.array([quartiles(step[k == f], n[k == f]) for f in range(len(FILTERS))]) / STEPS
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
