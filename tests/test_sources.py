@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 
@@ -233,6 +234,31 @@ def test_written_scan(spark, tmp_path):
     assert back.join(v, ["n", "row", "col"]).where(back.u == v.u).count() == v.count()
 
 
+def test_scans_keep_every_number_and_page(spark, tmp_path):
+    rows = [(1, 0, 0, 65536.0), (1, 1, 2, 107082.0), (4, 0, 1, -3.0), (4, 1, 1, None), (6, 0, 0, 0.25)]
+    v = spark.createDataFrame(rows, "n int, row int, col int, u double")
+    tiff.write_scan(v, str(tmp_path / "scan"), pages_each=2, kind="f4")
+    scan = tiff.Scan.open(spark, str(tmp_path / "scan"))
+    back = {(r.n, r.row, r.col): r.u for r in scan.voxels().collect()}
+    assert scan.images == 7 and len(back) == 7 * 2 * 3
+    assert all(np.isnan(back[n, r, c]) if u is None else back[n, r, c] == u for n, r, c, u in rows)
+    for k, (u, kind) in enumerate([(65536.0, "u2"), (-1.0, "u2"), (None, "u2"), (2.0**24 + 1, "f4")]):
+        with pytest.raises(Exception, match="write floats" if kind == "u2" else "too large"):
+            tiff.write_scan(spark.createDataFrame([(0, 0, 0, u)], v.schema), str(tmp_path / f"bad-{k}"), kind=kind)
+
+
+def test_tiff_scan_query_beyond_16_bits(spark, tmp_path):
+    from voxelgrove.jobs.volume_queries import ORACLES, QUERIES
+
+    values = [0.0, 655.35, 655.36, 1070.82, -4.5, None, *[k / 4 for k in range(58)]]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = c.execute(f"SELECT n, \"row\", \"col\", u FROM ({ORACLES['tiff_scan']})").fetchall()
+    got = [tuple(r) for r in QUERIES["tiff_scan"](spark, str(tmp_path)).select("n", "row", "col", "u").collect()]
+    assert len(got) == len(values) and sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_text_table(spark, tmp_path):
     write_table(spark.createDataFrame([(0.5, 1.25), (0.75, 2.0)], "brightness double, ch0 double").coalesce(1), str(tmp_path / "t"))
     assert sorted(map(tuple, read_table(spark, str(tmp_path / "t")).collect())) == [(0.5, 1.25), (0.75, 2.0)]

@@ -396,19 +396,29 @@ def encode(stack: np.ndarray, big: bool = False, tile: tuple[int, int] | None =
 
 
 def write_scan(voxels: DataFrame, path: str, pages_each: int = 64, kind: str = "u2", big: bool = False, tile: tuple[int, int] | None = (64, 64), deflate: bool = True) -> None:
-    """Writes (n, row, col, u) as TIFF files of ``pages_each`` pages each to a folder that pyarrow knows; places without a voxel are 0. A task holds the pages of one file. n starts at 0."""
-    size = voxels.agg(F.max("row") + 1, F.max("col") + 1).first()
+    """Writes (n, row, col, u) as TIFF files of ``pages_each`` pages each to a folder that pyarrow knows; places without a voxel are 0. A task holds the pages of one file. n starts at 0; pages without a voxel are written too.
+
+    Raises ValueError on a value that ``kind`` can't hold: beyond 0 to 65535 or null (u2), or a whole number that 32-bit floats have no room for. A null is NaN in pages of floats.
+    """
+    size = voxels.agg(F.max("row") + 1, F.max("col") + 1, F.max("n") + 1).first()
     if size[0] is None:
         return
-    height, width = size
+    height, width, images = size
     files, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
     files.create_dir(place, recursive=True)
 
     def write(table: pa.Table) -> pa.Table:
-        n, row, col, u = (table.column(c).to_numpy() for c in ("n", "row", "col", "u"))
-        part = int(n[0]) // pages_each
-        stack = np.zeros((int(n.max()) - part * pages_each + 1, height, width), kind)
-        stack[n - part * pages_each, row, col] = u
+        part = table.column("part")[0].as_py()
+        n, row, col, u = (c.to_numpy() for c in table.filter(table.column("n").is_valid()).select(["n", "row", "col", "u"]).columns)
+        held = u.astype(np.float64)
+        if kind == "u2" and not ((held >= 0) & (held < 65536)).all():
+            raise ValueError("a value is not within 0 to 65535: write floats (f4)")
+        with np.errstate(over="ignore"):
+            kept = held.astype(kind)
+        if ((held == np.rint(held)) & (kept != held)).any():
+            raise ValueError("a whole number is too large for 32-bit floats")
+        stack = np.zeros((min(pages_each, images - part * pages_each), height, width), kind)
+        stack[n - part * pages_each, row, col] = kept
         files, here = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
         name = f"{here}/pages-{part:08d}.tif"
         with files.open_output_stream(name + ".part") as out:
@@ -417,7 +427,8 @@ def write_scan(voxels: DataFrame, path: str, pages_each: int = 64, kind: str = "
         return pa.table({"part": pa.array([part], pa.int32())})
 
     parts = voxels.select("n", "row", "col", F.col("u").cast("double").alias("u"), F.floor(F.col("n") / pages_each).cast("int").alias("part"))
-    parts.groupBy("part").applyInArrow(write, "part int").write.format("noop").mode("overwrite").save()
+    every = voxels.sparkSession.range(-(-images // pages_each)).select(F.col("id").cast("int").alias("part"))
+    parts.unionByName(every, allowMissingColumns=True).groupBy("part").applyInArrow(write, "part int").write.format("noop").mode("overwrite").save()
 
 
 def read_stacks(spark: SparkSession, path: str) -> DataFrame:
