@@ -1,4 +1,5 @@
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -134,6 +135,65 @@ def test_recall_against_a_scan_of_all_offsets(spark):
     assert want and len(got & want) >= 0.9 * len(want), (len(got & want), len(want))
 
 
+def test_recordings_are_looked_up_together(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 1 << 32, int(n), dtype=np.uint32) for n in rng.integers(8, 90, 60)]
+    # Cuts and copies with flipped bits, silence, a pattern that repeats its keys, and recordings that only make a key together.
+    texts += [np.concatenate([t[5:], texts[3]]) ^ (rng.random(len(t) - 5 + len(texts[3])) < 0.1).astype(np.uint32) for t in texts[:20]]
+    texts += [np.zeros(50, np.uint32), np.tile(texts[0][:4], 30), texts[7][:5], texts[7][5:], np.zeros(0, np.uint32), texts[9].copy()]
+    asks = [(i, np.roll(texts[i], -p), np.vstack([np.roll(texts[i], -p) ^ np.uint32(1), np.roll(texts[i], -p) ^ np.uint32(4)])) for i in (*range(12), 80, 81) for p in range(2)]
+    index = A.Block(asks)
+
+    def plain(codes):
+        hits, out = {}, {}
+        for e, (_, c, other) in enumerate(asks):
+            for k, a in zip(*A.query_keys(c, other), strict=True):
+                hits.setdefault(int(k), []).append((e, int(a)))
+        own = A._pairs(codes, codes).tolist() if len(codes) > 3 else []
+        offsets = {}
+        for at, k in enumerate(own):
+            if at == 0 or own[at - 1] != k:
+                for e, a in hits.get(k, []):
+                    offsets.setdefault((e, a - at), []).append(at)
+        for (e, o), places in offsets.items():
+            x, a, b = asks[e][1], max(0, -o), min(len(codes), len(asks[e][1]) - o)
+            if len(places) < A.LEAST_HITS or b - a < A.LEAST_OVERLAP:
+                continue
+            wrong = [(int(x[k + o]) ^ int(codes[k])).bit_count() for k in range(a, b)]
+            error = sum(wrong) / len(wrong) / 32
+            if error > A.MOST_BIT_ERRORS and max(places) + 4 - min(places) >= A.LEAST_STRETCH:
+                part = wrong[min(places) - a : max(places) + 4 - a]
+                error = sum(part) / len(part) / 32
+            if error <= A.MOST_BIT_ERRORS:
+                out.setdefault(asks[e][0], []).append((error, o, len(places)))
+        kept = []
+        for q, found in out.items():
+            best = []
+            for error, o, n in sorted(found):
+                if all(abs(o - p) >= A.WIDEST for p in best):
+                    best.append(o)
+                    kept.append((q, o, n, error))
+        return sorted(kept)
+
+    want = [plain(t) for t in texts]
+    begins = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    assert sum(map(bool, want)) > 30 and max(map(len, want)) > 1
+    for most in (1, 50, A.MOST_HITS):
+        monkeypatch.setattr(A, "MOST_HITS", most)
+        assert dict(index.align_all(np.concatenate(texts), begins)) == {k: w for k, w in enumerate(want) if w}
+    others = {k: [m for m in w if m[0] != k] for k, w in enumerate(want)}
+    assert dict(index.align_all(np.concatenate(texts), begins, list(range(len(texts))))) == {k: w for k, w in others.items() if w}
+    assert [index.align(t) for t in texts] == want
+    assert list(A.Block([]).align_all(np.concatenate(texts), begins)) == []
+    # What shares nothing with the block costs no work of its own: this took as long as one lookup for each recording.
+    many = rng.integers(0, 1 << 32, 400_000, dtype=np.uint32)
+    begins, began = np.arange(0, len(many) + 1, 40), time.perf_counter()
+    assert list(index.align_all(many, begins)) == []
+    together, began = time.perf_counter() - began, time.perf_counter()
+    assert not any(index.align(many[a : a + 40]) for a in begins[:500])
+    assert together < (time.perf_counter() - began) * 20 / 4
+
+
 def test_thresholds_are_quartiles_of_all_places_of_all_recordings(spark):
     rng = np.random.default_rng(3)
     # Many short recordings and some long ones, with empty and null ones between them.

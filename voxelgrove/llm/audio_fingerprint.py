@@ -24,10 +24,13 @@ from pyspark.sql import functions as F
 from .common import SLICE_BYTES, blob, slices, written
 
 CLASSES = 12
-#: Queries' integers in a block, of all phases: with all keys and their places about 80 MB on a worker.
-BLOCK = 1 << 19
+#: Queries' integers in a block, of all phases: with all keys, their places and bits about 130 MB on a worker.
+BLOCK = 3 << 18
 PHASES = 4
 LEAST_HITS = 3
+#: Bits for each key of a block, at least, and equal keys of recordings and queries that are gone through at once.
+SPARSE = 32
+MOST_HITS = 1 << 20
 LEAST_OVERLAP = 8
 #: Of a stretch chosen by its equal integers more is asked than of a whole overlap.
 LEAST_STRETCH = 32
@@ -38,6 +41,8 @@ SALTS = 32
 #: (kind, first pitch class, pitch classes, frames) of the 16 filters, by a rule that varies place and size.
 FILTERS = tuple((k % 6, (5 * k) % 7, 2 + 2 * (k % 3 == 0) + (k % 4), (4, 6, 9, 12, 15)[k % 5]) for k in range(16))
 WIDEST = max(w for *_, w in FILTERS)
+#: Odd, so that no two keys become one by it.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 #: Steps of 1 in the integral image.
 UNIT = 1 << 16
@@ -209,6 +214,13 @@ def _signals(column: pa.Array, rate: int) -> Iterator[tuple[int, int, list[np.nd
         yield a, b, [decode(x or b"", rate) for x in column.slice(a, b - a).to_pylist()]
 
 
+def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all rows of a binary column without nulls, and where each row's begin."""
+    _, offsets, data = column.cast(pa.large_binary()).buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] :] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8), at - at[0]
+
+
 def quartiles(step: np.ndarray, n: np.ndarray) -> list[float]:
     """Quartiles, as numpy's, of numbers that occur ``n`` times each."""
     order = np.argsort(step)
@@ -253,7 +265,12 @@ def fit_thresholds(recordings: DataFrame, to: Settings = AUDIO) -> np.ndarray:
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a[:-3].astype(np.uint64) << np.uint64(32)) | b[3:]
+    """Keys: each integer of ``a`` with the one of ``b`` three frames on, one to one spread over all 64-bit numbers, so that the high bits tell keys apart."""
+    out = a[:-3].astype(np.uint64)
+    out <<= np.uint64(32)
+    out |= b[3:]
+    out *= SPREAD
+    return out
 
 
 def _fresh(keys: np.ndarray) -> np.ndarray:
@@ -270,58 +287,109 @@ def query_keys(codes: np.ndarray, changed: np.ndarray) -> tuple[np.ndarray, np.n
         found = _pairs(a, b)
         at = _fresh(found)
         keys.append(found[at])
-        places.append(at)
+        places.append(at.astype(np.int32))
     return np.concatenate(keys), np.concatenate(places)
 
 
+def _bits(at: np.ndarray, size: np.uint64) -> np.ndarray:
+    """2**size bits of which those at ``at`` are set."""
+    bits = np.zeros(1 << (int(size) - 3), np.uint8)
+    np.bitwise_or.at(bits, (at >> np.uint64(3)).view(np.int64), np.uint8(1) << (at.astype(np.uint8) & np.uint8(7)))
+    return bits
+
+
+def _set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return bits[(at >> np.uint64(3)).view(np.int64)] >> (at.astype(np.uint8) & np.uint8(7)) & np.uint8(1)
+
+
 class Block:
     """Queries' keys in order, with the query and place of each; a query has one entry for each phase."""
 
     def __init__(self, queries: list[tuple[int, np.ndarray, np.ndarray]]):
         self.ids, self.codes = [q[0] for q in queries], [q[1] for q in queries]
-        found = [query_keys(c, other) for _, c, other in queries] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-        keys = np.concatenate([k for k, _ in found])
+        found = [query_keys(c, other) for _, c, other in queries] or [(np.zeros(0, np.uint64), np.zeros(0, np.int32))]
+        counts, keys, place = [len(k) for k, _ in found], np.concatenate([k for k, _ in found]), np.concatenate([a for _, a in found])
+        del found
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
-        self.query = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])[order].astype(np.int32)
-        self.place = np.concatenate([a for _, a in found])[order].astype(np.int32)
+        del keys
+        self.place = place[order]
+        self.query = np.repeat(np.arange(len(counts), dtype=np.int32), counts)[order]
+
+    def __getstate__(self) -> dict:
+        return {k: x for k, x in self.__dict__.items() if k != "known"}
+
+    @cached_property
+    def known(self) -> tuple[np.uint64, list[np.ndarray]]:
+        """By how much to shift a key to its first bit, and the bits of all keys by two parts of a key: of either at most one of ``SPARSE`` is set. Made where it is used, not shipped."""
+        size = np.uint64(max(10, (len(self.keys) * SPARSE - 1).bit_length()))
+        return np.uint64(64) - size, [_bits(self.keys >> (np.uint64(64) - size), size), _bits(self.keys << size >> (np.uint64(64) - size), size)]
+
+    def found(self, codes: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of recordings one after the other: the recording and place of each of their keys that the block has, in order, and where its entries begin and end. Of a run of equal keys only the first.
+
+        All keys are looked up in the bits at once; only what is found there is searched for.
+        """
+        (shift, (first, second)), keys = self.known, _pairs(codes, codes)
+        at = np.flatnonzero(_set(first, keys >> shift))
+        at = at[_set(second, keys[at] << (np.uint64(64) - shift) >> shift).astype(bool)]
+        own = np.searchsorted(begins, at, side="right") - 1
+        fresh = (at == begins[own]) | (keys[at] != keys[at - 1])
+        inside = fresh & (at + 3 < begins[own + 1])
+        at, own = at[inside], own[inside]
+        low, high = (np.searchsorted(self.keys, keys[at], side=side) for side in ("left", "right"))
+        same = high > low
+        return own[same], (at - begins[own])[same], low[same], high[same]
 
     def align(self, codes: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(query, offset, hits, bit error) of the queries that align with a recording: place in the query is place in the recording plus offset. Of offsets that share frames the best one."""
-        found = _pairs(codes, codes)
-        at = _fresh(found)
-        low, high = np.searchsorted(self.keys, found[at]), np.searchsorted(self.keys, found[at], side="right")
-        many = high - low
-        if not many.sum():
-            return []
-        hit = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        own = np.repeat(at, many)
-        pairs = (self.query[hit].astype(np.int64) << 32) + (self.place[hit] - own) + (1 << 31)
-        order = np.argsort(pairs, kind="stable")
-        pairs, own = pairs[order], own[order]
-        begin = _fresh(pairs)
-        hits = np.diff(np.append(begin, len(pairs)))
-        first, last = own[begin], own[begin + hits - 1] + 4
-        kept: dict[int, list[tuple[float, int, int]]] = {}
-        for i in np.flatnonzero(hits >= LEAST_HITS).tolist():
-            q, o = int(pairs[begin[i]]) >> 32, (int(pairs[begin[i]]) & 0xFFFFFFFF) - (1 << 31)
-            x, a, b = self.codes[q], max(0, -o), min(len(codes), len(self.codes[q]) - o)
-            if b - a < LEAST_OVERLAP:
+        return dict(self.align_all(codes, np.array([0, len(codes)]))).get(0, [])
+
+    def align_all(self, codes: np.ndarray, begins: np.ndarray, own_ids: list | None = None) -> Iterator[tuple[int, list[tuple[int, int, int, float]]]]:
+        """``align`` of recordings one after the other: the number of each that a query aligns with, but for the query of its own id, and what aligns."""
+        rec, place, low, high = self.found(codes, begins)
+        upto = np.concatenate([[0], np.cumsum(np.bincount(rec, weights=high - low, minlength=len(begins) - 1))]).astype(np.int64)
+        for a, b in slices(upto, MOST_HITS):
+            if upto[b] - upto[a] < LEAST_HITS:
                 continue
-            wrong = np.bitwise_count(x[a + o : b + o] ^ codes[a:b])
-            errors = float(wrong.mean() / 32)
-            if errors > MOST_BIT_ERRORS and last[i] - first[i] >= LEAST_STRETCH:
-                errors = float(wrong[first[i] - a : last[i] - a].mean() / 32)
-            if errors <= MOST_BIT_ERRORS:
-                kept.setdefault(self.ids[q], []).append((errors, o, int(hits[i])))
-        out = []
-        for q, offsets in kept.items():
-            best: list[int] = []
-            for errors, o, n in sorted(offsets):
-                if all(abs(o - p) >= WIDEST for p in best):
-                    best.append(o)
-                    out.append((q, o, n, errors))
-        return sorted(out, key=lambda m: (m[0] is None, m))
+            i, j = np.searchsorted(rec, [a, b])
+            many = (high - low)[i:j]
+            hit = np.repeat(low[i:j] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+            at, own, query = np.repeat(rec[i:j], many), np.repeat(place[i:j], many), self.query[hit]
+            pairs = (query.astype(np.int64) << 32) + (self.place[hit] - own) + (1 << 31)
+            order = np.lexsort((pairs, at))
+            pairs, at, own = pairs[order], at[order], own[order]
+            begin = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]) | (at[1:] != at[:-1])]))
+            hits = np.diff(np.append(begin, len(pairs)))
+            first, last = own[begin], own[begin + hits - 1] + 4
+            kept: dict[int, dict[int, list[tuple[float, int, int]]]] = {}
+            for k in np.flatnonzero(hits >= LEAST_HITS).tolist():
+                r, q, o = int(at[begin[k]]), int(pairs[begin[k]]) >> 32, (int(pairs[begin[k]]) & 0xFFFFFFFF) - (1 << 31)
+                if own_ids is not None and own_ids[r] == self.ids[q]:
+                    continue
+                errors = self.errors(q, o, codes[begins[r] : begins[r + 1]], int(first[k]), int(last[k]))
+                if errors <= MOST_BIT_ERRORS:
+                    kept.setdefault(r, {}).setdefault(self.ids[q], []).append((errors, o, int(hits[k])))
+            for r, queries in kept.items():
+                out = []
+                for q, offsets in queries.items():
+                    best: list[int] = []
+                    for errors, o, n in sorted(offsets):
+                        if all(abs(o - p) >= WIDEST for p in best):
+                            best.append(o)
+                            out.append((q, o, n, errors))
+                yield r, sorted(out, key=lambda m: (m[0] is None, m))
+
+    def errors(self, q: int, o: int, codes: np.ndarray, first: int, last: int) -> float:
+        """The share of differing bits of the overlap of query and recording, or of the stretch from ``first`` to ``last`` if that is less and long enough; 1 if they overlap too little."""
+        x, a, b = self.codes[q], max(0, -o), min(len(codes), len(self.codes[q]) - o)
+        if b - a < LEAST_OVERLAP:
+            return 1.0
+        wrong = np.bitwise_count(x[a + o : b + o] ^ codes[a:b])
+        errors = int(wrong.sum()) / len(wrong) / 32
+        if errors > MOST_BIT_ERRORS and last - first >= LEAST_STRETCH:
+            errors = int(wrong[first - a : last - a].sum()) / len(wrong[first - a : last - a]) / 32
+        return errors
 
 
 MATCH = "array<struct<query: long, offset: long, hits: long, bit_error: double>>"
@@ -364,14 +432,18 @@ def align_recordings(recordings: DataFrame, is_query, media: str = "media", id_c
         def probe(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             kind = pa.list_(pa.struct([("query", pa.int64()), ("offset", pa.int64()), ("hits", pa.int64()), ("bit_error", pa.float64())]))
             for b in batches:
-                out = []
-                for own, codes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    out.append([{"query": q, "offset": o, "hits": n, "bit_error": e} for q, o, n, e in shipped.value.align(np.frombuffer(codes, np.uint32)) if q != own])
-                yield pa.RecordBatch.from_arrays([b.column(2), pa.array(out, kind)], ["print", "matches"])
+                raw, at = flat(b.column(1))
+                rows, out = [], []
+                for i, j in slices(at, SLICE_BYTES):
+                    codes, begins = raw[at[i] : at[j]].view(np.uint32), (at[i : j + 1] - at[i]) // 4
+                    for r, found in shipped.value.align_all(codes, begins, b.column(0).slice(i, j - i).to_pylist()):
+                        rows.append(i + r)
+                        out.append([{"query": q, "offset": o, "hits": n, "bit_error": e} for q, o, n, e in found])
+                yield pa.RecordBatch.from_arrays([b.column(2).take(pa.array(rows, pa.int64())), pa.array(out, kind)], ["print", "matches"])
 
         # Written before the next block is collected, so that the driver holds one block at a time.
         scan = once.select("class_id", "codes", "print").mapInArrow(probe, f"print long, matches {MATCH}")
-        scans.append(written(scan.where(F.size("matches") > 0), f"matches_{k}"))
+        scans.append(written(scan, f"matches_{k}"))
         shipped.destroy()
     found = scans[0]
     for scan in scans[1:]:
