@@ -444,6 +444,24 @@ def test_interface_fit_by_batches_and_passes(spark):
     assert bimm.fit(table.limit(0), THETA, window, batches=2)[0] is THETA
 
 
+def test_costs_from_sums_over_tiles(monkeypatch):
+    rng = np.random.default_rng(6)
+    u, v = rng.beta(2, 2, 3000), rng.gamma(2, 0.1, 3000) + 1e-4
+    rows, direct, plain = bimm.Rows(u, v), [], bimm.costs
+    monkeypatch.setattr(bimm, "costs", lambda u, v, t, count: direct.append(len(u)) or plain(u, v, t, count))
+    three = bimm.Theta([0.3, 0.2, 0.3, 0.08, 0.05, 0.07], [0.3, 0.5, 0.7], 0.12, 0.9, 1.2, 0.3)
+    assert np.isclose(rows.costs(three, 24), plain(u, v, three, 24), rtol=0, atol=1e-6) and not direct
+    for k in range(40):
+        t = bimm.restrict((np.array(bimm.free(three)) + rng.normal(0, (0.3, 1.0, 3.0)[k % 3], 12)).tolist(), 3)
+        assert np.isclose(rows.costs(t, 24), plain(u, v, t, 24), rtol=1e-12, atol=1e-6)
+    # Both ways were taken, also for one set of parameters; narrow peaks, equal ones, two and one phases, v next to 0, one place, no row.
+    assert 0 < min(direct) < 3000 == max(direct)
+    for t in (bimm.Theta(three.weights, three.peaks, 1e-3, 0.9, 1.2, 0.9), bimm.Theta(three.weights, [0.5] * 3, 0.12, 0.9, 1.2, 0.3), THETA, bimm.Theta([1.0], [0.4], 0.2, 1.0, 1.0, 0.1)):
+        assert np.isclose(rows.costs(t, 24), plain(u, v, t, 24), rtol=1e-12, atol=1e-6)
+    for x, y in ((u, v - 1e-4 + 1e-12 * (v < 2e-2)), (u, np.where(v < 0.1, 1e-200, v)), (u * 0 + 0.5, v * 0 + 0.1), (u[:7], v[:7]), (u[:0], v[:0])):
+        assert np.isclose(bimm.Rows(x, y).costs(three, 24), plain(x, y, three, 24), rtol=1e-12, atol=1e-6)
+
+
 def test_simplex_with_several_corners_at_once():
     from voxelgrove.operators.samples import in_step
 
